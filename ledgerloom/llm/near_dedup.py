@@ -1,18 +1,20 @@
 """Operator 3: near-duplicate documents by a chosen-path set similarity join.
 
 A document's set: distinct k-word shingles (A-Z lower-cased; with fewer words the whole sequence). Each set gets
-`coordinates` minwise values. A tree's root nodes are the values of `roots` coordinates chosen for level one; two
-sets of similarity s share at least one of them with probability 1 - (1 - s)**roots. A node of at most `leaf` sets is
-compared exhaustively; a larger one is compared with one pivot, and if it still holds sets of different components it
-branches: each member goes to `branches` child nodes, by its values at the coordinates chosen for the next level. All
-rootings are independent trees: with the defaults a pair at 0.85 is missed with probability below 4e-8 (0.15**9) in
-small nodes, and below 1e-6 where it has to be followed down. Nodes that are still large and mixed below the last
-level are compared in full, in blocks, so no pair is dropped there.
-
-Pairs that pass the length bound and agree in at least `agree` of the coordinates (for similarity 0.85 the chance to
-fail is below 1e-9) are confirmed on their full sets; links join into components by distributed star rounds. A pair
-whose two sets are already in one component needs no comparison, as it can't change a component: that, with pivots,
-keeps thousands of mutual near copies from becoming all their pairs. Exact copies are folded to one set first.
+`coordinates` minwise values. A tree's root nodes are the values of one of `roots` coordinates; two
+sets of similarity s share at least one root with probability 1 - (1 - s)**roots. A node of at most `leaf` sets is
+compared exhaustively; a larger one is first compared with one pivot. Where it then still holds different components,
+the sets outside its largest one meet all of its sets if they are at most `leaf`; else the node branches: each member
+goes to `branches` child nodes, by its values at the coordinates chosen for the next level. The roots are independent
+trees: with the defaults a pair at 0.85 is missed with probability 4e-8 (0.15**9) in small nodes, and below 1e-6 where
+it has to be followed down. Nodes that no level could split are compared in full (all outside the largest component
+with all), so no pair is dropped there.
+
+Pairs that pass the length bound and agree in at least `agree` of the 64 coordinates' four-bit values (for similarity
+0.85 the chance to fail is below 1e-7) are confirmed on their full sets; links join into components by distributed star
+rounds. A pair whose two sets are already in one component needs no comparison, as it can't change a component: that,
+with pivots, keeps thousands of mutual near copies from becoming all their pairs. Exact copies are folded to one set
+first.
 
 Nulls and texts without words: empty set, linked with nothing, component of its own. Repeated rows with one doc_id are
 one document, of which the result holds each row. Null doc_id: component null if it is alone. Empty table: empty
@@ -68,8 +70,10 @@ def _summaries(k: int):
                     lo64[full] = wk.mix(np.bitwise_xor.reduceat(wk.mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + size[full].astype(np.uint64))
                     for j in range(COORDINATES):
                         sig[full, j] = np.minimum.reduceat(h * _ODD[j], at) >> np.uint64(32)
+                nibble = sig.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
+                keys = [wk.signed(np.bitwise_or.reduce(nibble[:, g : g + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)) for g in range(0, COORDINATES, 16)]
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.view(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(wk.signed(hi64)), pa.array(wk.signed(lo64)), values], ["doc_id", "n", "s1", "s2", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(wk.signed(hi64)), pa.array(wk.signed(lo64)), *map(pa.array, keys), values], ["doc_id", "n", "s1", "s2", *KEYS, "sig"])
 
     return run
 
@@ -101,87 +105,89 @@ def _confirm(percent: int):
     return run
 
 
+KEYS = ["k1", "k2", "k3", "k4"]  # four bits of each coordinate, sixteen coordinates a long
+
+
 def _near(a: str, b: str, percent: int, agree: int) -> Column:
-    """Length bound and sketch agreement of two members."""
-    return (
-        (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent)
-        & (F.size(F.filter(F.zip_with(f"{a}.sig", f"{b}.sig", lambda x, y: x == y), lambda same: same)) >= agree)
-    )
+    """Length bound and sketch agreement of two members, in plain bit operations."""
+    same = F.lit(0)
+    for k in KEYS:
+        x = F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        same = same + 16 - F.bit_count(x)
+    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (same >= agree)
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, percent: int = 85, shingle: int = 5, roots: int = 9, branches: int = 5, levels: int = 4, leaf: int = 16, agree: int = 34
+    spark: SparkSession, docs: DataFrame, percent: int = 85, shingle: int = 5, roots: int = 9, branches: int = 5, levels: int = 3, leaf: int = 16, agree: int = 38
 ) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, kept for every row."""
     stage = Stage(spark, "near-dedup")
     docs = fields(docs, doc_id="long", text="string")
-    every = stage.write(docs.mapInArrow(_summaries(shingle), "doc_id long, n long, s1 long, s2 long, sig array<int>"), "sets")
+    every = stage.write(docs.mapInArrow(_summaries(shingle), f"doc_id long, n long, s1 long, s2 long, {', '.join(f'{k} long' for k in KEYS)}, sig array<int>"), "sets")
     # exact copies fold to their least doc_id; that row's sketch stands for them
     fold = stage.write(every.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).where("id is not null"), "fold")
-    heads = stage.write(every.where("n > 0").join(fold.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id"]), "heads")
+    heads = stage.write(every.where("n > 0").join(fold.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "n", *KEYS, "sig").dropDuplicates(["id"]), "heads")
     stage.release()
+    found: list[DataFrame] = []
+    label: DataFrame | None = None
 
-    def links(pairs: DataFrame) -> DataFrame | None:
-        """Pairs (a, b) of ids that hold on their full sets; None if there is nothing to confirm."""
+    def confirm(pairs: DataFrame) -> None:
+        """Adds the pairs (a, b) that hold on their full sets to the links, and labels every linked id anew."""
+        nonlocal label
         pairs = stage.write(pairs.distinct(), "pairs")
         if pairs.isEmpty():
-            return None
+            return
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = stage.write(docs.join(ids, "doc_id").mapInArrow(_sets(shingle), "doc_id long, set binary").dropDuplicates(["doc_id"]), "full")
         joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-        out = stage.write(joined.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
+        found.append(stage.write(joined.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links"))
         stage.drop(sets, pairs)
         stage.release()
-        return out
+        links = found[0]
+        for more in found[1:]:
+            links = links.union(more)
+        label = stage.write(components(stage, links.toDF("u", "v")).select(F.col("node").alias("id"), F.col("component").alias("label")), "label")
+        stage.release()
 
-    found = spark.createDataFrame([], "u long, v long")
-    label = None
-    node = lambda level, at, path: F.xxhash64(F.lit(level), at, path)
-    pick = lambda level, n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.get("sig", (i + (roots + branches * (level - 1) if level else 0)) % COORDINATES).alias("x"))))
-    members = heads.select("id", "n", pick(0, roots).alias("c")).select(node(0, F.col("c.i"), F.col("c.x")).alias("node"), "id")
+    def labelled(members: DataFrame) -> DataFrame:
+        if label is None:
+            return members.withColumn("label", F.col("id"))
+        return members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    def choose(level: int, n: int) -> Column:
+        at = lambda i: (i + (roots + branches * (level - 1) if level else 0)) % COORDINATES
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.get("sig", at(i)).alias("x"))))
+
+    members = heads.select("id", "n", *KEYS, choose(0, roots).alias("c")).select(F.xxhash64(F.lit(0), "c.i", "c.x").alias("node"), "id", "n", *KEYS)
     for level in range(levels):
-        # nodes with one member have nothing to compare
-        size = members.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1")
-        members = stage.write(members.join(size, "node").join(heads, "id"), "members")
+        # nodes with one member, or within one component, have nothing to compare
+        members = labelled(members)
+        size = members.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and l0 <> l1").select("node", "c", "pivot")
+        members = stage.write(members.join(size, "node"), "members")
         if members.isEmpty():
             break
-        if label is not None:  # a node within one component is done
-            members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            mixed = members.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
-            members = stage.write(members.join(mixed, "node"), "members")
-        else:
-            members = members.withColumn("label", F.col("id"))
         small, big = members.where(F.col("c") <= leaf), members.where(F.col("c") > leaf)
         a, b = small.alias("a"), small.alias("b")
         pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & _near("a", "b", percent, agree)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        if last := level == levels - 1:  # exact way for what no level could split: every pair, in blocks of the node
-            blocks = 16
-            side = lambda one: big.withColumn("mine", F.pmod(F.hash("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", F.when(F.lit(one), F.col("mine") * blocks + F.col("other")).otherwise(F.col("other") * blocks + F.col("mine")))
-            a, b = side(True).alias("a"), side(False).alias("b")
-            rest = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & _near("a", "b", percent, agree))
-            pairs = pairs.union(rest.select(F.col("a.id"), F.col("b.id")))
-        else:
-            p = heads.select(F.col("id").alias("pivot"), F.col("n"), F.col("sig")).alias("p")
-            star = big.alias("m").join(p, F.col("m.pivot") == F.col("p.pivot")).where((F.col("m.id") != F.col("p.pivot")) & _near("m", "p", percent, agree))
-            pairs = pairs.union(star.select(F.col("m.pivot"), F.col("m.id")))
-        new = links(pairs)
-        if new is not None:
-            found = stage.write(found.union(new.select("a", "b")), "found")
-            label = stage.write(components(stage, found.toDF("u", "v")).select(F.col("node").alias("id"), F.col("component").alias("label")), "label")
-        stage.release()
-        if last or big.isEmpty():
+        pivots = big.where("id = pivot").alias("p")
+        star = big.alias("m").join(pivots, (F.col("m.node") == F.col("p.node")) & (F.col("m.id") != F.col("p.id")) & (F.col("m.label") != F.col("p.label")) & _near("m", "p", percent, agree))
+        confirm(pairs.union(star.select(F.col("p.id"), F.col("m.id"))))
+        if big.isEmpty():
             break
-        rest = big.select("node", "id", "sig")
-        if label is not None:
-            rest = rest.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            mixed = rest.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
-            rest = rest.join(mixed, "node")
-        members = rest.select("id", "node", pick(level + 1, branches).alias("c")).select(node(level + 1, F.col("c.i"), F.struct("node", "c.x")).alias("node"), "id")
+        # of a node's component pairs, one side at least is outside its largest component
+        big = labelled(big.drop("label", "c", "pivot"))
+        parts = big.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", "c").alias("most"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+        big = stage.write(big.join(parts, "node"), "big")
+        done = big if level == levels - 1 else big.where(F.col("others") <= leaf)
+        a, b = done.where("label <> most").alias("a"), done.alias("b")
+        met = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & ((F.col("a.id") < F.col("b.id")) | (F.col("b.label") == F.col("b.most"))) & _near("a", "b", percent, agree))
+        confirm(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")))
+        rest = big.where(F.col("others") > leaf).select("node", "id", "n", *KEYS).join(heads.select("id", "sig"), "id")
+        members = rest.select("id", "n", *KEYS, "node", choose(level + 1, branches).alias("c")).select(F.xxhash64(F.lit(level + 1), "node", "c.i", "c.x").alias("node"), "id", "n", *KEYS)
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(fold, ["s1", "s2"], "left")
-    if label is not None:
-        out = out.join(label, "id", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
+    out = labelled(out)
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
