@@ -49,7 +49,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most `shingle` values
     candidates = None
     for k in lengths:
-        told = docs.select("doc_id", words_of("text").alias("w")).select("doc_id", shingles_of("w", F.lit(k)).alias("s")).select("doc_id", F.size("s").alias("size"), F.explode("s").alias("h"))
+        told = docs.select("doc_id", words_of("text").alias("w")).select("doc_id", shingles_of("w", F.lit(k)).alias("s")).select("doc_id", F.size("s").alias("size"), F.explode_outer("s").alias("h"))  # outer: a filter inferred for explode would be pushed below the words and split the text for every shingle
         met = told.join(sketch.where(F.col("k") == k), "h").where(F.col("size") >= need(F.col("n"))).select("doc_id", "item_id", "k").distinct()
         candidates = met if candidates is None else candidates.union(met)
     if candidates is None:

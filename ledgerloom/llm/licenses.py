@@ -108,7 +108,8 @@ def scan(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[str, str],
     some = base.where(F.arrays_overlap("own", _texts(rare)) & (F.size("own") >= min(r[5] for r in rows))).select("row_id").distinct()
     half = block // 2
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - half), F.lit(half)), lambda s: F.array_intersect(F.slice("w", s, block), _texts(vocabulary)))
-    blocks = read.join(some, "row_id").where("size(w) > 0").select("row_id", F.explode(cut).alias("b")).where(F.arrays_overlap("b", _texts(rare))).distinct()
+    # outer: a filter inferred for explode would be pushed below the words and split the text for every block
+    blocks = read.join(some, "row_id").select("row_id", F.explode_outer(cut).alias("b")).where(F.arrays_overlap("b", _texts(rare))).distinct()
     rank = F.create_map(*[x for t, i in order.items() for x in (F.lit(t), F.lit(i))])
     ordered = F.array_sort(F.transform("b", lambda t: F.struct(F.element_at(rank, t).alias("r"), t.alias("t"))))
     told = blocks.select("row_id", "b", F.posexplode(ordered).alias("q", "x")).select("row_id", "b", "q", F.col("x.t").alias("token"))
