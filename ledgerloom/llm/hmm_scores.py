@@ -3,9 +3,11 @@
 Tokens: white-space words (A-Z lower-cased), then one end. Corpus counts of every word are taken over all training
 texts (pre-aggregated in each chunk). The model: `states` latent states emit symbols; the `own` most frequent words
 and the end are symbols of their own, every other word belongs to a class (by its last two bytes), and the word within
-its class has probability (c + 0.1) / (N_class + 0.1 * (V_class + 1)), so that unseen words have some. Each Baum-Welch
-round runs the scaled forward and backward recursions over every training text and sums expected transitions and
-emissions, by chunk, then by partition, then over the corpus; what reaches the driver is the model's own size. A text's
+its class has probability (c + 0.1) / (N_class + 0.1 * (V_class + 1)), so that unseen words have some. Training is
+one incremental Baum-Welch pass: the training texts are dealt into `rounds` equal parts by hash, and each round runs
+the scaled forward and backward recursions over its part, so that every training text is counted, once. Expected
+transitions and emissions are summed by chunk, then by partition, then over the part; what reaches the driver is the
+model's own size. The new sums replace all but `keep` of the earlier ones. A text's
 score is its exact log10 likelihood by the scaled forward recursion plus its words' log10 shares of their classes.
 
 The `table_words` most frequent words' counts (a fixed bound) are handed to the tasks; the counts of all others are
@@ -140,16 +142,17 @@ def padded(texts: list[np.ndarray], rows: list[int]) -> tuple[np.ndarray, np.nda
 def log10_likelihood(m: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Exact, by the scaled forward recursion; memory does not grow with the states' history."""
     out = np.zeros(len(texts))
+    turn, emit = np.ascontiguousarray(m.move.T), np.ascontiguousarray(m.emit.T)
     for rows in batches_of(texts):
         sym, live = padded(texts, rows)
-        total, state = np.zeros(len(rows)), np.tile(m.start, (len(rows), 1))
+        scales = np.ones(sym.shape)
+        state = np.repeat(m.start[:, None], len(rows), axis=1)
         for t in range(len(sym)):
             k = live[t]
-            a = (state[:k] if not t else state[:k] @ m.move) * m.emit[sym[t, :k]]
-            scale = a.sum(1)
-            state[:k] = a / scale[:, None]
-            total[:k] += np.log(scale)
-        out[rows] = total / TEN
+            a = (state[:, :k] if not t else turn @ state[:, :k]) * emit[:, sym[t, :k]]
+            c = np.add.reduce(a, 0, out=scales[t, :k])
+            state = a / c
+        out[rows] = np.log(scales).sum(0) / TEN
     return out
 
 
@@ -157,6 +160,7 @@ def expected(m: Model, texts: list[np.ndarray], segment: int = 4096) -> tuple[np
     """Baum-Welch sums over texts: starts, transitions and emissions."""
     n, states = m.emit.shape
     begin, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((n, states))
+    turn, emits = np.ascontiguousarray(m.move.T), np.ascontiguousarray(m.emit.T)
     carried = [(t[s : s + segment], i, s) for i, t in enumerate(texts) for s in range(0, len(t), segment)]
     held: dict[int, np.ndarray] = {}
     for wave in sorted({s for _, _, s in carried}):  # a text's later segments start from where the earlier ended
@@ -164,32 +168,33 @@ def expected(m: Model, texts: list[np.ndarray], segment: int = 4096) -> tuple[np
         for rows in batches_of([t for t, _ in part]):
             sym, live = padded([t for t, _ in part], rows)
             size, width = sym.shape
-            alpha, scale = np.zeros((size, width, states)), np.ones((size, width))
-            first = np.array([held[part[r][1]] @ m.move if wave else m.start for r in rows])
+            alpha, weight = np.zeros((size, states, width)), np.zeros((size, states, width))
+            first = np.array([turn @ held[part[r][1]] if wave else m.start for r in rows]).T
             for t in range(size):
                 k = live[t]
-                a = (first[:k] if not t else alpha[t - 1, :k] @ m.move) * m.emit[sym[t, :k]]
-                c = a.sum(1)
-                alpha[t, :k], scale[t, :k] = a / c[:, None], c
-            beta = np.ones((width, states))
+                e = emits[:, sym[t, :k]]
+                a = (first[:, :k] if not t else turn @ alpha[t - 1, :, :k]) * e
+                c = 1.0 / np.add.reduce(a, 0)
+                np.multiply(a, c, out=alpha[t, :, :k])
+                np.multiply(e, c, out=weight[t, :, :k])
+            for c, r in enumerate(rows):  # the last state is carried on
+                held[part[r][1]] = alpha[len(part[r][0]) - 1, :, c].copy()
+            beta = np.ones((states, width))
             for t in range(size - 1, -1, -1):
                 k = live[t]
-                gamma = alpha[t, :k] * beta[:k]
-                alpha_before = alpha[t - 1, :k].copy() if t else None
-                weighted = m.emit[sym[t, :k]] * beta[:k] / scale[t, :k, None]
                 if t:
-                    move += (alpha_before.T @ weighted) * m.move
-                    beta[:k] = weighted @ m.move.T
-                elif not wave:
-                    begin += gamma.sum(0)
-                if t == size - 1 or k != (live[t + 1] if t + 1 < size else 0):  # where texts end their last state is carried on
-                    for c in range(live[t + 1] if t + 1 < size else 0, k):
-                        held[part[rows[c]][1]] = alpha[t, c].copy()
-                alpha[t, :k] = gamma
-            flat, on = sym.ravel(), (np.arange(width)[None, :] < live[:, None]).ravel()
+                    ahead = weight[t, :, :k] * beta[:, :k]
+                    move += alpha[t - 1, :, :k] @ ahead.T
+                    alpha[t, :, :k] *= beta[:, :k]
+                    beta[:, :k] = m.move @ ahead
+                else:
+                    alpha[t, :, :k] *= beta[:, :k]
+                    begin += alpha[t, :, :k].sum(1) if not wave else 0.0
+            on = np.arange(width)[None, :] < live[:, None]
+            flat = sym[on]
             for s in range(states):
-                emit[:, s] += np.bincount(flat[on], alpha[:, :, s].ravel()[on], n)
-    return begin, move, emit
+                emit[:, s] += np.bincount(flat, alpha[:, s, :][on], n)
+    return begin, move * m.move, emit
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
@@ -231,7 +236,7 @@ def _score(m: Model):
     return run
 
 
-def scores(spark: SparkSession, docs: DataFrame, states: int = 8, own: int = 2000, table_words: int = 1 << 16, rounds: int = 4) -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, states: int = 8, own: int = 2000, table_words: int = 1 << 16, rounds: int = 4, keep: float = 0.5) -> DataFrame:
     """docs(doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     stage = Stage(spark, "hmm")
     docs = fields(docs, doc_id="long", text="string")
@@ -263,10 +268,12 @@ def scores(spark: SparkSession, docs: DataFrame, states: int = 8, own: int = 200
     weights = np.concatenate([n_class + 1.0, [ends + 1.0], c[: min(own, len(top))]])
     model = initial(states, weights)
     n = len(weights)
-    for _ in range(rounds if ends else 0):
-        sums = encoded.where("not held_out").select("n_tokens", "symbols").mapInArrow(_round(model), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()  # the model's size
-        x = np.zeros(states + states * states + n * states)
-        x[sums["cell"].to_numpy()] = sums["x"].to_numpy()
+    x = np.zeros(states + states * states + n * states)
+    for turn in range(rounds if ends else 0):
+        part = F.pmod(F.xxhash64("row_id"), F.lit(rounds)) == turn
+        sums = encoded.where("not held_out").where(part).select("n_tokens", "symbols").mapInArrow(_round(model), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()  # the model's size
+        x *= keep
+        np.add.at(x, sums["cell"].to_numpy(), sums["x"].to_numpy())
         begin, move, emit = x[:states] + 1e-3, x[states : states + states * states].reshape(states, states) + 1e-3, x[states + states * states :].reshape(n, states)
         emit = emit + weights[:, None] / weights.sum() * 5.0  # the corpus as prior, so that no symbol is impossible
         model = Model(begin / begin.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))

@@ -9,7 +9,7 @@ text are its words and their first four and five bytes.
 Trained here: the character model from all documents (counts summed in each task, then over the corpus); label weights
 from at most `max_train_rows` labelled rows whose crc32(doc_id as text) mod 5 is not 0, taken in hash order, near
 copies of one text (one shared minwise value) counted once. A feature gets its log odds if its G2 statistic stands out
-among as many features as were tested. A text's score is the logistic of its distinct words' weights over a threshold
+for as many features as were tested (a few may by chance; a text needs more evidence than one). A text's score is the logistic of its distinct words' weights over a threshold
 set in the gap of the training rows. lang, source, labels and ids are no inputs of a score.
 
 Nulls and empty texts: score of no evidence. No usable labels: every score is 0.0. A label given twice counts as toxic
@@ -36,7 +36,7 @@ from .common import Stage, fields, table
 SYMBOLS = 60
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c"}
 APART = ".-_*~'`,"
-SUBSTITUTED, DROPPED, REPEATED, BROKEN = 1.2, 2.0, 0.7, 1.5  # costs of the channel, in nats
+SUBSTITUTED, DROPPED, REPEATED, BROKEN = 1.0, 4.5, 0.7, 3.0  # costs of the channel, in nats
 BEAM, RUN = 24, 48
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -311,7 +311,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows:
     g2 = 2 * (term(t, both * T / n) + term(c, both * C / n) + term(T - t, (n - both) * T / n) + term(C - c, (n - both) * C / n))
     odds = F.log((t + 0.5) / (T + 1)) - F.log((c + 0.5) / (C + 1))
     # as many features may stand out as were tested; at most a fixed number is kept, the strongest
-    kept = counted.select("f", g2.alias("g2"), odds.alias("w")).where((F.col("w") > 1.5) & (F.col("g2") > 2 * (math.log(tested + 1) + 2))).orderBy(F.desc("g2"), "f").limit(20_000).toPandas()
+    kept = counted.select("f", g2.alias("g2"), odds.alias("w")).where((F.col("w") > 1.5) & (F.col("g2") > 2 * max(7.0, math.log(tested + 1) - 3))).orderBy(F.desc("g2"), "f").limit(20_000).toPandas()
     h = kept["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     weights = Weights(h[order], np.minimum(kept["w"].to_numpy(float)[order], 6.0), 0.0)
