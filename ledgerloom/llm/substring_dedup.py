@@ -99,51 +99,59 @@ def _candidates(window: int):
     return run
 
 
-def _remove(window: int, with_text: bool):
+def _kept(b: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
+    """By chunk: first and end row, words, words removed, and the kept words of each row joined by one space."""
+    for lo, hi, data, offsets in wk.chunks(b.column("text")):
+        w = wk.words(data, offsets, False)
+        rows, n = hi - lo, len(w.hash)
+        lists = b.column("at").slice(lo, rows).fill_null([])
+        row_of = np.repeat(np.arange(rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        begin = w.first[row_of] + lists.flatten().to_numpy()
+        cover = np.zeros(n + 1, np.int64)
+        np.add.at(cover, begin, 1)
+        np.subtract.at(cover, begin + window, 1)
+        gone = np.cumsum(cover)[:n] > 0
+        total = np.diff(w.first)
+        lost = np.zeros(n + 1, np.int64)
+        lost[1:] = np.cumsum(gone)
+        removed = lost[w.first[1:]] - lost[w.first[:-1]]
+        raw = data.tobytes()
+        keep: list[bytes] = []
+        for r in range(rows):
+            if not removed[r]:
+                keep.append(b" ".join(raw[offsets[r] : offsets[r + 1]].split()))  # bytes.split() knows the same six white-space bytes
+            elif removed[r] == total[r]:
+                keep.append(b"")
+            else:
+                i = np.arange(w.first[r], w.first[r + 1])[~gone[w.first[r] : w.first[r + 1]]]
+                keep.append(b" ".join(raw[s:e] for s, e in zip(w.starts[i].tolist(), w.ends[i].tolist(), strict=True)))
+        yield lo, hi, total, removed, keep
+
+
+def _digest(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offsets in wk.chunks(b.column("text")):
-                w = wk.words(data, offsets, False)
-                rows, n = hi - lo, len(w.hash)
-                lists = b.column("at").slice(lo, rows).fill_null([])
-                row_of = np.repeat(np.arange(rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                begin = w.first[row_of] + lists.flatten().to_numpy()
-                cover = np.zeros(n + 1, np.int64)
-                np.add.at(cover, begin, 1)
-                np.subtract.at(cover, begin + window, 1)
-                gone = np.cumsum(cover)[:n] > 0
-                total = np.diff(w.first)
-                lost = np.zeros(n + 1, np.int64)
-                lost[1:] = np.cumsum(gone)
-                removed = lost[w.first[1:]] - lost[w.first[:-1]]
-                raw = data.tobytes()
-                keep: list[bytes] = []
-                for r in range(rows):
-                    if not removed[r]:
-                        keep.append(b" ".join(raw[offsets[r] : offsets[r + 1]].split()))  # bytes.split() knows the same six white-space bytes
-                    elif removed[r] == total[r]:
-                        keep.append(b"")
-                    else:
-                        i = np.arange(w.first[r], w.first[r + 1])[~gone[w.first[r] : w.first[r + 1]]]
-                        keep.append(b" ".join(raw[s:e] for s, e in zip(w.starts[i].tolist(), w.ends[i].tolist(), strict=True)))
-                ids = b.column("doc_id").slice(lo, rows)
-                out = [ids, pa.array(total.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in keep], pa.string())]
-                if with_text:
-                    text = b.column("text").slice(lo, rows)
-                    kept = [t if not x else k.decode() for t, x, k in zip(text.to_pylist(), removed.tolist(), keep, strict=True)]
-                    out.append(pa.array(kept, pa.string()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(out)])
+            for lo, hi, total, removed, keep in _kept(b, window):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(lo, hi - lo), pa.array(total.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in keep], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                )
 
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
-    """docs(doc_id, text) to one row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text
-    (the text unchanged where nothing goes, else the kept words joined by one space)."""
-    stage = Stage(spark, "substring-dedup")
-    docs = fields(docs, doc_id="long", text="string")
-    # a row's own key, which holds where doc_ids are missing or repeat
-    keyed = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
+def _replace(window: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, _, removed, keep in _kept(b, window):
+                part = b.slice(lo, hi - lo)
+                text = [t if not x else k.decode() for t, x, k in zip(part.column("text").to_pylist(), removed.tolist(), keep, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else part.column(c) for c in names], names)
+
+    return run
+
+
+def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
+    """keyed(row_id, text) to row_id and the start of each window that starts anywhere else too."""
     repeated = stage.write(
         keyed.select("text").mapInArrow(_count_anchors(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors"
     )
@@ -160,9 +168,25 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, with_
     gone = stage.write(windows.join(again, "h").groupBy("row_id").agg(F.collect_list("pos").alias("at")), "gone")
     stage.drop(windows, again)
     stage.release()
-    return keyed.join(gone, "row_id", "left").select("doc_id", "text", "at").mapInArrow(
-        _remove(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    )
+    return gone
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
+    """docs(doc_id, text) to one row a document: doc_id, n_words, n_removed, kept_sha256."""
+    docs = fields(docs, doc_id="long", text="string")
+    keyed = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))  # a row's own key, which holds where doc_ids are missing or repeat
+    gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed, window)
+    return keyed.join(gone, "row_id", "left").select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
+    """docs with all their columns; texts that lose words become their kept words joined by one space, others stay as
+    they are. n_chars, where there is one, is counted anew."""
+    names = docs.columns
+    keyed = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
+    gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select("row_id", F.col("text").cast("string").alias("text")), window)
+    out = keyed.join(gone, "row_id", "left").select(*[F.col(f"`{c}`") for c in names], "at").mapInArrow(_replace(window, names), docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -339,6 +339,21 @@ def scores(docs: DataFrame, model: np.ndarray, weights: Weights) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _clean_rows(model: np.ndarray, weights: Weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in wk.chunks(_lower(b.column("text").cast(pa.string()))):
+                row, h = features(data, offsets, model)
+                yield b.slice(lo, hi - lo).filter(pa.array(evidence(row, h, hi - lo, weights) < weights.threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: np.ndarray, weights: Weights) -> DataFrame:
+    """docs, with all their columns, less the rows whose predicted label is 1."""
+    return docs.mapInArrow(_clean_rows(model, weights), docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scores(docs, *fit(spark, docs, table(spark, sf_dir, "labels")))
