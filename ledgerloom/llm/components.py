@@ -26,20 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(stage: Stage, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(u, v) to (node, component): the least node reachable, for every node of an edge."""
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = stage.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = mark(edges)
     for _ in range(max_rounds):
-        if not seen[0]:
+        # settled edges are stars: every node points at one least node, which points at none
+        total, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+        if total == nodes and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
         after = stage.write(_star(_star(edges, True), False), "edges")
-        now = mark(after)
         stage.drop(edges)
         edges = after
-        if tuple(now) == tuple(seen):
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
-    # settled edges are stars: every node points at the least of its component
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -4,7 +4,7 @@ A document's set: distinct k-word shingles (A-Z lower-cased; with fewer words th
 `coordinates` minwise values. A tree's root nodes are the values of one of `roots` coordinates; two
 sets of similarity s share at least one root with probability 1 - (1 - s)**roots. A node of at most `leaf` sets is
 compared exhaustively; a larger one is first compared with one pivot. Where it then still holds different components,
-the sets outside its largest one meet all of its sets if they are at most `leaf`; else the node branches: each member
+the sets outside its largest one meet all of its sets if that takes at most `work` comparisons of sketches; else the node branches: each member
 goes to `branches` child nodes, by its values at the coordinates chosen for the next level. The roots are independent
 trees: with the defaults a pair at 0.85 is missed with probability 4e-8 (0.15**9) in small nodes, and below 1e-6 where
 it has to be followed down. Nodes that no level could split are compared in full (all outside the largest component
@@ -120,7 +120,7 @@ def _near(a: str, b: str, percent: int, agree: int) -> Column:
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, percent: int = 85, shingle: int = 5, roots: int = 9, branches: int = 5, levels: int = 3, leaf: int = 16, agree: int = 38
+    spark: SparkSession, docs: DataFrame, percent: int = 85, shingle: int = 5, roots: int = 9, branches: int = 5, levels: int = 3, leaf: int = 16, work: int = 1 << 18, agree: int = 38
 ) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, kept for every row."""
     stage = Stage(spark, "near-dedup")
@@ -134,21 +134,29 @@ def near_duplicates(
     label: DataFrame | None = None
 
     def confirm(pairs: DataFrame) -> None:
-        """Adds the pairs (a, b) that hold on their full sets to the links, and labels every linked id anew."""
-        nonlocal label
+        """Adds the pairs (a, b) that hold on their full sets to the links."""
         pairs = stage.write(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             return
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = stage.write(docs.join(ids, "doc_id").mapInArrow(_sets(shingle), "doc_id long, set binary").dropDuplicates(["doc_id"]), "full")
+        sets = docs.join(ids, "doc_id").mapInArrow(_sets(shingle), "doc_id long, set binary").dropDuplicates(["doc_id"])
+        sets = stage.write(sets, "full")
         joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
         found.append(stage.write(joined.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links"))
         stage.drop(sets, pairs)
         stage.release()
+
+    def connect() -> None:
+        """Labels every linked id with its component, from the links found since and the labels before."""
+        nonlocal label
+        if not found:
+            return
         links = found[0]
         for more in found[1:]:
             links = links.union(more)
-        label = stage.write(components(stage, links.toDF("u", "v")).select(F.col("node").alias("id"), F.col("component").alias("label")), "label")
+        links = links.toDF("u", "v")
+        label = stage.write(components(stage, links if label is None else links.union(label.select("id", "label"))).select(F.col("node").alias("id"), F.col("component").alias("label")), "label")
+        found.clear()
         stage.release()
 
     def labelled(members: DataFrame) -> DataFrame:
@@ -176,16 +184,24 @@ def near_duplicates(
         confirm(pairs.union(star.select(F.col("p.id"), F.col("m.id"))))
         if big.isEmpty():
             break
+        connect()
         # of a node's component pairs, one side at least is outside its largest component
         big = labelled(big.drop("label", "c", "pivot"))
-        parts = big.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", "c").alias("most"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+        parts = big.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", "c").alias("most"), F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
         big = stage.write(big.join(parts, "node"), "big")
-        done = big if level == levels - 1 else big.where(F.col("others") <= leaf)
-        a, b = done.where("label <> most").alias("a"), done.alias("b")
+        if big.isEmpty():
+            break
+        whole = F.lit(level == levels - 1) | (F.col("others") * F.col("c") <= work)
+        a, b = big.where(whole).where("label <> most").alias("a"), big.where(whole).alias("b")
         met = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & ((F.col("a.id") < F.col("b.id")) | (F.col("b.label") == F.col("b.most"))) & _near("a", "b", percent, agree))
         confirm(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")))
-        rest = big.where(F.col("others") > leaf).select("node", "id", "n", *KEYS).join(heads.select("id", "sig"), "id")
+        rest = big.where(~whole)
+        if rest.isEmpty():
+            break
+        connect()
+        rest = rest.select("node", "id", "n", *KEYS).join(heads.select("id", "sig"), "id")
         members = rest.select("id", "n", *KEYS, "node", choose(level + 1, branches).alias("c")).select(F.xxhash64(F.lit(level + 1), "node", "c.i", "c.x").alias("node"), "id", "n", *KEYS)
+    connect()
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(fold, ["s1", "s2"], "left")
     out = labelled(out)
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "id", "doc_id"))
