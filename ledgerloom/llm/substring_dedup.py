@@ -99,12 +99,12 @@ def _candidates(window: int):
     return run
 
 
-def _kept(b: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
+def _kept(b: pa.RecordBatch, window: int, at: str = "at") -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
     """By chunk: first and end row, words, words removed, and the kept words of each row joined by one space."""
     for lo, hi, data, offsets in wk.chunks(b.column("text")):
         w = wk.words(data, offsets, False)
         rows, n = hi - lo, len(w.hash)
-        lists = b.column("at").slice(lo, rows).fill_null([])
+        lists = b.column(at).slice(lo, rows).fill_null([])
         row_of = np.repeat(np.arange(rows), lists.value_lengths().to_numpy(zero_copy_only=False))
         begin = w.first[row_of] + lists.flatten().to_numpy()
         cover = np.zeros(n + 1, np.int64)
@@ -139,10 +139,10 @@ def _digest(window: int):
     return run
 
 
-def _replace(window: int, names: list[str]):
+def _replace(window: int, names: list[str], at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, _, removed, keep in _kept(b, window):
+            for lo, hi, _, removed, keep in _kept(b, window, at):
                 part = b.slice(lo, hi - lo)
                 text = [t if not x else k.decode() for t, x, k in zip(part.column("text").to_pylist(), removed.tolist(), keep, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else part.column(c) for c in names], names)
@@ -183,9 +183,10 @@ def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame
     """docs with all their columns; texts that lose words become their kept words joined by one space, others stay as
     they are. n_chars, where there is one, is counted anew."""
     names = docs.columns
-    keyed = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
-    gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select("row_id", F.col("text").cast("string").alias("text")), window)
-    out = keyed.join(gone, "row_id", "left").select(*[F.col(f"`{c}`") for c in names], "at").mapInArrow(_replace(window, names), docs.schema)
+    key, at = (next(n for n in (f"_{x}{'_' * i}" for i in range(len(names) + 1)) if n not in names) for x in ("row", "at"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select(F.col(key).alias("row_id"), F.col("text").cast("string").alias("text")), window)
+    out = keyed.join(gone.toDF(key, at), key, "left").select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
