@@ -326,3 +326,36 @@ def w4_clamped_depth(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = _table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(-1).alias("d")).withColumn("s", F.sum("d").over(w))
     return e.select("event_id", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).alias("depth"))
+
+
+# Outlines are held against what their formats' rules give for small files, stated as values.
+_SOURCES = {
+    "yaml": ("k8s.yaml", "apiVersion: v1\nkind: Pod\n# note\nmetadata:\n  name: x\n  labels:\n    a: b\nlist:\n- one\n- two\n", [(1, 1, "apiVersion"), (2, 3, "kind"), (4, 7, "metadata: {name, labels, a}"), (8, 10, "list: list[2]")]),
+    "toml": ("Cargo.toml", 'top = 1\n\n[package]\nname = "x"\nversion = "1"\n\n[[bin]]\nname = "a"\n', [(1, 2, "root: top"), (3, 6, "[package] — name, version"), (7, 8, "[[bin]] — name")]),
+    "dockerfile": ("Dockerfile", "# c\nFROM --platform=x golang:1.24 AS build\nRUN a\nRUN b\nCOPY . .\n\nFROM alpine\nCMD x\n", [(2, 6, "FROM golang:1.24 AS build — RUN, COPY"), (7, 8, "FROM alpine — CMD")]),
+    "makefile": ("Makefile", "X := 1\n.PHONY: build test\nbuild: a\n\t# c\n\tgo build ./...\n\ntest:\n\tgo test\ninclude y\n", [(3, 6, "build (phony): go build ./..."), (7, 8, "test (phony): go test")]),
+    "python": ("m.py", '"""Doc."""\nimport os\nfrom a import b\n\n@dec\nclass A(B):\n    def f(self):\n        pass\n    async def g(self):\n        pass\n\ndef top():\n    return 1\n\nx = 1\n', [(2, 3, "imports"), (5, 11, "class A — methods: f, g"), (12, 15, "def top")]),
+    "json": ("a.json", '{\n  "a": 1,\n  "b": {\n    "y": 1,\n    "x": 2\n  },\n  "c": [1, 2]\n}\n', [(1, 2, "a: 1"), (2, 5, "b: object {x, y}"), (6, 7, "c: array[2]")]),
+    "sql": ("s.sql", "-- c\nCREATE TABLE users (\n  id int\n);\nCREATE UNIQUE INDEX i ON users (id);\nCREATE FUNCTION f() RETURNS int AS $$\n select 1;\n$$ LANGUAGE sql;\n", [(2, 4, "table users"), (5, 5, "index i on users"), (6, 8, "function f")]),
+    "proto": ("p.proto", 'package a.b;\nmessage M {\n  string x = 1; // }\n}\nservice S {\n  rpc Get (M) returns (M);\n  rpc Put (M) returns (M) {}\n}\n', [(2, 4, "message M"), (5, 8, "service S — Get, Put")]),
+    "hcl": ("m.tf", 'resource "aws_x" "y" {\n  a = "}"\n}\nlocals {\n  t = <<EOT\n{\nEOT\n}\n', [(1, 3, "resource aws_x.y"), (4, 8, "locals")]),
+}
+
+
+def _outline_query(name: str, parser: str):
+    from ..operators import outline, scanners
+
+    path, text, want = _SOURCES[parser]
+    values = ", ".join(f"({s}, {e}, {_sql_text(k)})" for s, e, k in want)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = spark.createDataFrame([(path, text), ("none", "nothing here\n")], "path string, text string")
+        made = outline.outline(files, parser) if parser in outline.OUTLINES else scanners.outline(files, parser)
+        return made.select("start_line", "end_line", "kind")
+
+    run.__name__ = name
+    query(f"SELECT * FROM (VALUES {values}) AS v(start_line, end_line, kind)")(run)
+
+
+for _name, _parser in (("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
+    _outline_query(_name, _parser)
