@@ -339,6 +339,9 @@ _SOURCES = {
     "sql": ("s.sql", "-- c\nCREATE TABLE users (\n  id int\n);\nCREATE UNIQUE INDEX i ON users (id);\nCREATE FUNCTION f() RETURNS int AS $$\n select 1;\n$$ LANGUAGE sql;\n", [(2, 4, "table users"), (5, 5, "index i on users"), (6, 8, "function f")]),
     "proto": ("p.proto", 'package a.b;\nmessage M {\n  string x = 1; // }\n}\nservice S {\n  rpc Get (M) returns (M);\n  rpc Put (M) returns (M) {}\n}\n', [(2, 4, "message M"), (5, 8, "service S — Get, Put")]),
     "hcl": ("m.tf", 'resource "aws_x" "y" {\n  a = "}"\n}\nlocals {\n  t = <<EOT\n{\nEOT\n}\n', [(1, 3, "resource aws_x.y"), (4, 8, "locals")]),
+    "typescript": ("a.ts", "import x from 'y'\nconst f = require('f')\n\nexport abstract class A {\n  m() { return '}' }\n}\nexport const k = 1\nfunction g() {\n}\nconst h = () => {\n  return 1\n}\nconst plain = 2\nexport default class {\n}\n", [(1, 2, "imports"), (4, 6, "export abstract class A"), (7, 7, "export const k"), (8, 9, "function g"), (10, 12, "const h"), (14, 15, "export default")]),
+    "rust": ("l.rs", "//! Does things.\nuse a::b;\n\n#[derive(Debug)]\npub struct S {\n    x: u8,\n}\n\nimpl T for S {\n    fn f() {}\n}\npub(crate) fn g() -> u8 { 1 }\nmod m;\n", [(2, 2, "use declarations"), (4, 7, "pub struct S"), (9, 11, "impl S"), (12, 12, "pub fn g"), (13, 13, "mod m")]),
+    "shell": ("x.sh", "#!/bin/bash\n# c\nbuild() {\n  if x; then { y; }\n  fi\n}\nfunction one { echo; }\nbuild\n", [(3, 6, "build"), (7, 7, "one")]),
 }
 
 
@@ -357,5 +360,5 @@ def _outline_query(name: str, parser: str):
     query(f"SELECT * FROM (VALUES {values}) AS v(start_line, end_line, kind)")(run)
 
 
-for _name, _parser in (("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
+for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
     _outline_query(_name, _parser)
