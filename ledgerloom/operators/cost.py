@@ -129,3 +129,39 @@ def cache_lookup(items: DataFrame, cache: DataFrame, key: str = "key") -> tuple[
 
 def sweep(cache: DataFrame, now: Column, age: str = "7 days", mtime: str = "mtime") -> DataFrame:
     return cache.where(F.col(mtime) >= now - F.expr(f"interval {age}"))
+
+
+def _with_models(df: DataFrame, prices: DataFrame, worker: str, session: str) -> DataFrame:
+    return with_price(with_price(df.withColumns({"w_model": F.lit(worker), "s_model": F.lit(session)}), prices, "w_model", "w_"), prices, "s_model", "s_")
+
+
+def _without_prices(df: DataFrame) -> DataFrame:
+    return df.drop("w_model", "s_model", *[f"{p}{c}_price" for p in ("w_", "s_") for c in ("input", "output", "cache_write", "cache_read")])
+
+
+def plan_greps(df: DataFrame, sample_bytes: str, full_bytes: str, prices: DataFrame, ratio: Column | float = DEFAULT_RATIO, worker: str = PRICES[0][0], session: str = "claude-opus-5-5") -> DataFrame:
+    """Adds the plan of condensing search results: the worker reads the sample, the saving is that of the full result."""
+    ratio = F.lit(ratio) if isinstance(ratio, float) else ratio
+    orig = token_estimate(F.col(full_bytes))
+    d = _with_models(df, prices, worker, session)
+    e = evaluate(orig, token_estimate(F.col(sample_bytes)) + OVERHEAD_TOKENS, (orig * ratio).cast("int"), F.col("w_input_price"), F.col("w_output_price"), F.col("s_input_price"))
+    out = d.withColumns({"orig_tokens": orig, **e})
+    return _without_prices(out.withColumn("strategy", F.when(F.col("should_intercept"), "CHEAP_WORKER").otherwise("DIRECT")))
+
+
+def plan_runs(reduced: DataFrame, prices: DataFrame, calibrated: DataFrame | None = None, text: str = "text", worker: str = PRICES[0][0], session: str = "claude-opus-5-5") -> DataFrame:
+    """Adds the plan of condensing command output to the rows of reduce_output: a complete reduction needs no worker,
+    else the worker reads what the reducer left."""
+    d = with_ratio(reduced, calibrated) if calibrated is not None else reduced.withColumn("_own", F.col("ratio")).withColumn("ratio", F.lit(DEFAULT_RATIO))
+    orig = token_estimate(F.octet_length(text))
+    d = _with_models(d, prices, worker, session)
+    e = evaluate(orig, token_estimate(F.octet_length("output")) + OVERHEAD_TOKENS, (orig * F.col("ratio")).cast("int"), F.col("w_input_price"), F.col("w_output_price"), F.col("s_input_price"))
+    done = F.col("complete") & F.col("reduced")
+    out = d.withColumns({"orig_tokens": orig, **e})
+    return _without_prices(out.withColumn("strategy", F.when(done, "DETERMINISTIC").when(F.col("should_intercept"), "CHEAP_WORKER").otherwise("DIRECT"))).drop("_own")
+
+
+def run_entries(df: DataFrame, orig_bytes: str, digest_bytes: str) -> DataFrame:
+    """Ledger figures of command runs: both sizes as tokens, and what was saved."""
+    o, d = token_estimate(F.col(orig_bytes)), token_estimate(F.col(digest_bytes))
+    return df.withColumns({"orig_tokens_est": o, "digest_tokens_est": d, "saved_est": o - d})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import cost, ledger, measure, reduce, render, search
+from . import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -362,3 +363,57 @@ def _outline_query(name: str, parser: str):
 
 for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
     _outline_query(_name, _parser)
+
+
+_GREP = _PLAN.replace("(t + 650) * 0.8", "(((b // 2) + 3) // 4 + 650) * 0.8").replace("WHEN b <= 0 THEN 'PASSTHROUGH'", "WHEN b <= 0 THEN 'DIRECT'")
+
+
+@query(_GREP)
+def r3_grep_plans(spark, sf_dir):
+    m = measure.measure(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("half", F.floor(F.col("bytes") / 2))
+    plans = cost.plan_greps(m, "half", "bytes", cost.pricing(spark))
+    return plans.select("doc_id", "orig_tokens", "strategy", F.round("est_savings_usd", 9).alias("net"))
+
+
+@query("SELECT * FROM (VALUES ('build', 'DETERMINISTIC'), ('generic_test', 'DETERMINISTIC'), ('git_status', 'DETERMINISTIC'), ('go_test', 'DETERMINISTIC'), ('git_diff', 'DIRECT'), ('', 'DIRECT'), ('', 'CHEAP_WORKER')) AS v(kind, strategy)")
+def r4_run_plans(spark, sf_dir):
+    texts = [(t,) for _, t, _ in _OUTPUTS] + [(_DIFF,), ("a plain line of output without any marker\n" * 200,)]
+    return cost.plan_runs(reduce.reduce_output(spark.createDataFrame(texts, "text string")), cost.pricing(spark)).select("kind", "strategy")
+
+
+@query("SELECT doc_id, ((strlen(text) + 3) // 4 - (strlen(text) // 3 + 3) // 4)::BIGINT AS saved_est FROM documents")
+def r17_run_savings(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("o")).withColumn("d", F.floor(F.col("o") / 3))
+    return cost.run_entries(d, "o", "d").select("doc_id", "saved_est")
+
+
+_STATS = [("Read", "DETERMINISTIC", 20000, 0.0, True), ("Read", "CHEAP_WORKER", 5000, 0.05, False), ("Bash", "DIRECT", 0, 0.0, None)]
+
+
+@query("""SELECT * FROM (VALUES (1001, '  Bash              1              0       0.0000'), (1002, '  Read              2          25000       0.0500'), (2001, '  cache   1 hit / 1 miss (50% hit rate, Read only)'),
+(3001, '  DETERMINISTIC                 1          20000       0.0000   no worker — AST/regex'), (3002, '  CHEAP_WORKER                  1           5000       0.0500   Haiku worker'), (3003, '  DIRECT                        1              0       0.0000   engine: not worth intercepting'),
+(4001, '  assuming a opus-5 session (5.00 $/Mtok in), content surviving 10 more turns:'), (5001, '    saved    ~25000 tokens  =  $0.1250 on first read, $0.2500 with re-sends'),
+(6001, '    spent    $0.0500 actually billed by the worker (1 of 3 calls reported cost)'), (7001, '    net      $+0.2000  — ahead')) AS v(ord, line)""")
+def r12_stats_report(spark, sf_dir):
+    return reports.stats(spark, spark.createDataFrame(_STATS, "tool string, strategy string, saved_est long, worker_cost_usd double, cache_hit boolean"))
+
+
+@query("SELECT * FROM (VALUES (2, 'Read  b.go  CHEAP_WORKER  net $0.0100  gap $0.0010 (under-estimated)'), (3, 'Read  c.go  DIRECT  net $0.0000')) AS v(ord, line)")
+def r14_explain_report(spark, sf_dir):
+    rows = [(1, "Read", "a.go", "DIRECT", 0.0, 0.0, 0.0), (2, "Read", "b.go", "CHEAP_WORKER", 0.01, 0.002, 0.003), (3, "read", "c.go", "DIRECT", 0.0, 0.0, 0.0), (4, "Bash", "c.go", "DIRECT", 0.0, 0.0, 0.0)]
+    log = spark.createDataFrame(rows, "seq int, tool string, target string, strategy string, est_net_savings_usd double, est_worker_cost_usd double, actual_worker_cost_usd double")
+    return reports.explain(log.withColumn("tool", F.initcap("tool")), "READ", ".go", 2)
+
+
+@query("SELECT model, i::DOUBLE AS input FROM (VALUES " + ", ".join(f"('{m}', {9.5 if m == 'opus-5' else p[0]})" for m, *p in cost.PRICES) + ", ('new', 7.0)) AS v(model, i)")
+def j2_r13_price_overrides(spark, sf_dir):
+    o = spark.createDataFrame([("opus-5", 9.5, None, None, None), ("new", 7.0, 1.0, 1.0, 1.0)], "model string, input double, output double, cache_write double, cache_read double")
+    return cost.pricing(spark, o).select("model", "input")
+
+
+@query(f"SELECT 's.sql' AS path, {_sql_text(render.FRAMING + 's.sql is large — digest instead of full contents.' + chr(10) * 2 + 'SQL — 1 table, 1 index, 1 function' + chr(10) * 2 + 'Structure:' + chr(10) + '  2-4        table users' + chr(10) + '  5          index i on users' + chr(10) + '  6-8        function f' + chr(10) * 2 + 'Key symbols: table users, index i on users, function f' + chr(10) * 2 + 'For exact lines, Read again with offset/limit on the range you need.' + chr(10) + 'To force the full file: loom cat s.sql' + chr(10))} AS text")
+def r15_map_report(spark, sf_dir):
+    from ..operators import scanners
+
+    path, text, _ = _SOURCES["sql"]
+    return reports.map_report(scanners.outline(spark.createDataFrame([(path, text)], "path string, text string"), "sql"))
