@@ -24,6 +24,8 @@ def test_decontamination_against_brute_force(spark, odd, none):
             if shared >= 0.8 * len(sets(t, k)) and r["doc_id"] is not None:
                 want[r["doc_id"], i] = (len(sets(t, k)), shared)
     assert got == want and (1, 1) in got and (6, 2) in got
+    shuffled = decontaminate.contaminated(spark, d, spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=0)
+    assert {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in shuffled.collect()} == want
     assert decontaminate.contaminated(spark, none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.contaminated(spark, d, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
