@@ -84,32 +84,33 @@ def scan(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[str, str],
     if any(len(t.split()) > block // 2 for _, t in templates):
         raise ValueError("a template is longer than half a block")
     read = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), _words().alias("w"))
-    # one pass over the texts: base results, and of each document only its template tokens
+    need = [math.ceil(threshold * len(t) - 1e-9) for t in tokens]
+    # one pass over the texts: base results, each document's template tokens, and the blocks of those documents that
+    # hold enough tokens of some template (no other can have a matching block)
+    half = block // 2
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - half), F.lit(half)), lambda s: F.array_intersect(F.slice("w", s, block), _texts(vocabulary)))
+    enough = F.lit(False)
+    for own, n in zip(tokens, need, strict=True):
+        enough = enough | (F.size(F.array_intersect("own", _texts(own))) >= n)
     places = [_places(p) for p in PHRASES.values()]
     base = read.select(
         "doc_id", "row_id", F.size("w").cast("long").alias("n_words"),
         F.struct(*[x.alias(f"p{i}") for i, x in enumerate(places)]).alias("p"),
-        F.array_intersect("w", _texts(vocabulary)).alias("own"),
-    ).withColumn("all", F.concat(*[F.col(f"p.p{i}") for i in range(len(places))]))
+        F.array_intersect("w", _texts(vocabulary)).alias("own"), "w",
+    ).withColumn("blocks", F.when(enough, F.array_distinct(cut))).withColumn("all", F.concat(*[F.col(f"p.p{i}") for i in range(len(places))]))
     base_labels = F.array_sort(F.array_compact(F.array(*[F.when(F.size(F.col(f"p.p{i}")) > 0, F.lit(k)) for i, k in enumerate(PHRASES)])))
     base = stage.write(
-        base.select("doc_id", "row_id", "n_words", F.size("all").cast("long").alias("n_base"), F.array_min("all").cast("long").alias("first_word"), F.array_max("all").cast("long").alias("last_word"), base_labels.alias("base"), "own"), "base"
+        base.select("doc_id", "row_id", "n_words", F.size("all").cast("long").alias("n_base"), F.array_min("all").cast("long").alias("first_word"), F.array_max("all").cast("long").alias("last_word"), base_labels.alias("base"), "own", "blocks"), "base"
     )
     seen = {r["t"]: r["n"] for r in base.select(F.explode("own").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row a template token
     order = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (seen.get(t, 0), t)))}
     rows = []
     for number, ((label, _), own) in enumerate(zip(templates, tokens, strict=True)):
         own = sorted(own, key=order.__getitem__)
-        need = math.ceil(threshold * len(own) - 1e-9)
-        rows += [(number, label, t, place, len(own), need, own) for place, t in enumerate(own[: len(own) - need + 1])]
+        rows += [(number, label, t, place, len(own), need[number], own) for place, t in enumerate(own[: len(own) - need[number] + 1])]
     prefix = spark.createDataFrame(rows, "template int, label string, token string, place int, size int, need int, tokens array<string>")
     rare = sorted({r[2] for r in rows})
-    # documents that hold a prefix token are read again, in blocks
-    some = base.where(F.arrays_overlap("own", _texts(rare)) & (F.size("own") >= min(r[5] for r in rows))).select("row_id").distinct()
-    half = block // 2
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - half), F.lit(half)), lambda s: F.array_intersect(F.slice("w", s, block), _texts(vocabulary)))
-    # outer: a filter inferred for explode would be pushed below the words and split the text for every block
-    blocks = read.join(some, "row_id").select("row_id", F.explode_outer(cut).alias("b")).where(F.arrays_overlap("b", _texts(rare))).distinct()
+    blocks = base.where("blocks is not null").select("row_id", F.explode("blocks").alias("b")).where(F.arrays_overlap("b", _texts(rare))).distinct()
     rank = F.create_map(*[x for t, i in order.items() for x in (F.lit(t), F.lit(i))])
     ordered = F.array_sort(F.transform("b", lambda t: F.struct(F.element_at(rank, t).alias("r"), t.alias("t"))))
     told = blocks.select("row_id", "b", F.posexplode(ordered).alias("q", "x")).select("row_id", "b", "q", F.col("x.t").alias("token"))
@@ -122,7 +123,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates: tuple[tuple[str, str],
     )
     method = met.groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max(shared / F.col("size")).alias("best"))
     none = F.array().cast("array<string>")
-    out = base.join(method, "row_id", "left")
+    out = base.drop("own", "blocks").join(method, "row_id", "left")
     every = F.array_sort(F.array_union("base", F.coalesce("found", none)))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
