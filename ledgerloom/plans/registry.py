@@ -345,6 +345,8 @@ _SOURCES = {
     "java": ("A.java", "package a;\n/* class No {\n*/\n@X\npublic final class A {\n  // {\n  private int n = 1;\n  public int f(int x) {\n    return g(x);\n  }\n  static { h(); }\n  List<String> names() { return null; }\n}\ninterface B\n{\n  void m();\n}\n", [(5, 13, "final class A — f, names"), (14, 17, "interface B — m")]),
     "zig": ("src/m.zig", 'const std = @import("std");\npub const P = struct {\n    pub fn inner() void {}\n};\nfn a() void {}\npub fn b() u8 { return 1; }\nexport fn c() void {}\nfn d() void {}\n', [(1, 8, "module m — P, a, b, c (+1)")]),
     "haskell": ("M.hs", "{- a\n{- b -} data No = No -}\nmodule A.B where\nimport X\ndata T = T\nclass Eq a => C a where\n  m :: a\nf, g :: Int\nf = 1\n", [(1, 9, "module A.B — T, C, f, g")]),
+    "erlang": ("m.erl", "%% c\n-module(m).\n-record(r, {a}).\n-type t() :: any().\nf() -> ok.\nf(A, {B, C}, \"x,y\") ->\n  g(A).\nf(A, B, C) -> 1.\n", [(1, 8, "module m — r, t, f/0, f/3")]),
+    "ocaml": ("m.ml", "(* let no = 1\n   (* *) *)\nopen X\nmodule M = Y\ntype 'a t = A\nlet rec f x = x\nlet _ = f 1\n  let inner = 2\nexception E\n", [(1, 9, "module m — M, t, E, f")]),
     "shell": ("x.sh", "#!/bin/bash\n# c\nbuild() {\n  if x; then { y; }\n  fi\n}\nfunction one { echo; }\nbuild\n", [(3, 6, "build"), (7, 7, "one")]),
 }
 
@@ -364,7 +366,7 @@ def _outline_query(name: str, parser: str):
     query(f"SELECT * FROM (VALUES {values}) AS v(start_line, end_line, kind)")(run)
 
 
-for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
+for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
     _outline_query(_name, _parser)
 
 
