@@ -347,6 +347,8 @@ _SOURCES = {
     "haskell": ("M.hs", "{- a\n{- b -} data No = No -}\nmodule A.B where\nimport X\ndata T = T\nclass Eq a => C a where\n  m :: a\nf, g :: Int\nf = 1\n", [(1, 9, "module A.B — T, C, f, g")]),
     "erlang": ("m.erl", "%% c\n-module(m).\n-record(r, {a}).\n-type t() :: any().\nf() -> ok.\nf(A, {B, C}, \"x,y\") ->\n  g(A).\nf(A, B, C) -> 1.\n", [(1, 8, "module m — r, t, f/0, f/3")]),
     "ocaml": ("m.ml", "(* let no = 1\n   (* *) *)\nopen X\nmodule M = Y\ntype 'a t = A\nlet rec f x = x\nlet _ = f 1\n  let inner = 2\nexception E\n", [(1, 9, "module m — M, t, E, f")]),
+    "fsharp": ("m.fs", "(* let no = 1 *)\nmodule A.B\nopen X\ntype T = A | B\nlet rec f x =\n  let inner = 1\n  x\nlet s = \"\"\"\nlet hidden = 1\n\"\"\"\nlet inline g y = y\n", [(1, 11, "module A.B — T, f, s, g")]),
+    "clojure": ("c.clj", "; (def no 1)\n(ns a.b (:require [x]))\n(defrecord R [a])\n(defn- f [x]\n  (def inner 1))\n(defmacro m [] \"(\")\n(defonce v 1)\n(def w 2)\n", [(1, 8, "module a.b — R, f, m, v (+1)")]),
     "shell": ("x.sh", "#!/bin/bash\n# c\nbuild() {\n  if x; then { y; }\n  fi\n}\nfunction one { echo; }\nbuild\n", [(3, 6, "build"), (7, 7, "one")]),
 }
 
@@ -366,7 +368,7 @@ def _outline_query(name: str, parser: str):
     query(f"SELECT * FROM (VALUES {values}) AS v(start_line, end_line, kind)")(run)
 
 
-for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
+for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f31_outline_fsharp", "fsharp"), ("f30_outline_clojure", "clojure"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
     _outline_query(_name, _parser)
 
 
