@@ -350,6 +350,8 @@ _SOURCES = {
     "fsharp": ("m.fs", "(* let no = 1 *)\nmodule A.B\nopen X\ntype T = A | B\nlet rec f x =\n  let inner = 1\n  x\nlet s = \"\"\"\nlet hidden = 1\n\"\"\"\nlet inline g y = y\n", [(1, 11, "module A.B — T, f, s, g")]),
     "clojure": ("c.clj", "; (def no 1)\n(ns a.b (:require [x]))\n(defrecord R [a])\n(defn- f [x]\n  (def inner 1))\n(defmacro m [] \"(\")\n(defonce v 1)\n(def w 2)\n", [(1, 8, "module a.b — R, f, m, v (+1)")]),
     "r": ("a.R", "# f <- function(no)\nsetClass('P', representation(x = 'numeric'))\nQ <- R6Class('Q', list(\n  inner = function() 1\n))\nf <- function(x) {\n  g <- function(y) y\n}\nsetGeneric(\"area\", function(s) 1)\n", [(1, 9, "module a — P, Q, f, area")]),
+    "lua": ("m.lua", "--[[ function no() ]]\nlocal function f(x)\n  for i = 1, 2 do local g = function() end end\nend\nM.h = function()\n  local s = [[ function q( ]]\nend\nfunction M:k() end\n", [(1, 8, "module m — f, M.h, M:k")]),
+    "graphql": ("s.graphql", "# c\ntype A implements N {\n  x: Int # }\n}\nunion U =\n  | A\n  | B\nscalar Date\nextend type A { y: Int }\nquery { a }\nschema {\n  query: Q\n}\n", [(2, 4, "type A"), (5, 7, "union U"), (8, 8, "scalar Date"), (9, 9, "type A"), (10, 10, "query (anonymous #1)"), (11, 13, "schema")]),
     "shell": ("x.sh", "#!/bin/bash\n# c\nbuild() {\n  if x; then { y; }\n  fi\n}\nfunction one { echo; }\nbuild\n", [(3, 6, "build"), (7, 7, "one")]),
 }
 
@@ -369,7 +371,7 @@ def _outline_query(name: str, parser: str):
     query(f"SELECT * FROM (VALUES {values}) AS v(start_line, end_line, kind)")(run)
 
 
-for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f31_outline_fsharp", "fsharp"), ("f27_outline_r", "r"), ("f30_outline_clojure", "clojure"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
+for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f31_outline_fsharp", "fsharp"), ("f27_outline_r", "r"), ("f25_outline_lua", "lua"), ("f14_outline_graphql", "graphql"), ("f30_outline_clojure", "clojure"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
     _outline_query(_name, _parser)
 
 
