@@ -247,7 +247,11 @@ def scores(spark: SparkSession, docs: DataFrame, states: int = 8, own: int = 200
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = words + ends, kinds + (ends > 0)
     norm = float(np.log10(total + 0.1 * (kinds + 1)))
-    top = counts.orderBy(F.desc("c"), "h").limit(table_words).toPandas()  # a fixed number of rows
+    # the most frequent words: whole classes of like counts, as many as fit; a few hundred rows tell which
+    level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    sizes = sorted(((r["level"], r["many"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("many")).collect()), reverse=True)
+    fit = [lv for (lv, _), so_far in zip(sizes, np.cumsum([m for _, m in sizes]), strict=True) if so_far <= table_words]
+    top = counts.where(level >= (fit[-1] if fit else 1 << 30)).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     order = np.argsort(top["h"].to_numpy().view(np.uint64))
     c = top["c"].to_numpy(np.float64)
     symbol = np.full(len(top), -1)
