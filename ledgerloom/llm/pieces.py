@@ -67,10 +67,10 @@ def starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts, by chunk. encode: a list of pre-tokens to a list of id lists."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], special_id: int, slots: int = 1 << 20, most: int = 1 << 20):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], special_id: int, slots: int = 1 << 22, most: int = 1 << 21):
         self.encode_pieces, self.special_id, self.most = encode, special_id, most
         self.mask = np.uint64(slots - 1)
-        self.key, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        self.key, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
         self.clear()
 
     def clear(self) -> None:
