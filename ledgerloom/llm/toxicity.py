@@ -288,12 +288,25 @@ def restored(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return fields(docs, doc_id="long", text="string").mapInArrow(_restore_texts(model), "doc_id long, text string")
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000) -> tuple[np.ndarray, Weights]:
+def _first(df: DataFrame, slot, most: int) -> int:
+    """The slot before which df has at most `most` rows; a count a slot is gathered, of a few thousand slots."""
+    sizes = sorted((r["slot"], r["n"]) for r in df.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect())
+    total = 0
+    for at, n in sizes:
+        total += n
+        if total > most:
+            return at
+    return 1 << 30
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, max_features: int = 20_000) -> tuple[np.ndarray, Weights]:
     stage = Stage(spark, "toxicity")
     docs = fields(docs, doc_id="long", text="string")
     model = fit_character_model(docs)
     mine = fields(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    sample = mine.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(max_train_rows)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("int")
+    sample = mine.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sample = sample.where(slot < _first(sample, slot, max_train_rows))
     # at most max_train_rows ids and labels are handed to the tasks
     texts = stage.write(docs.join(F.broadcast(sample), "doc_id").mapInArrow(_minwise, "doc_id long, toxic int, text string, `group` long"), "sample")
     ones = texts.groupBy("group", "toxic").agg(F.min("doc_id").alias("doc_id"))
@@ -311,7 +324,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows:
     g2 = 2 * (term(t, both * T / n) + term(c, both * C / n) + term(T - t, (n - both) * T / n) + term(C - c, (n - both) * C / n))
     odds = F.log((t + 0.5) / (T + 1)) - F.log((c + 0.5) / (C + 1))
     # as many features may stand out as were tested; at most a fixed number is kept, the strongest
-    kept = counted.select("f", g2.alias("g2"), odds.alias("w")).where((F.col("w") > 1.5) & (F.col("g2") > 2 * max(7.0, math.log(tested + 1) - 3))).orderBy(F.desc("g2"), "f").limit(20_000).toPandas()
+    found = counted.select("f", g2.alias("g2"), odds.alias("w")).where((F.col("w") > 1.5) & (F.col("g2") > 2 * max(7.0, math.log(tested + 1) - 3)))
+    rank = F.lit(1024) - F.floor(F.log2("g2") * 32).cast("int")  # strong ones first, in classes of like strength
+    kept = found.where(rank < _first(found, rank, max_features)).orderBy("f").toPandas()
     h = kept["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     weights = Weights(h[order], np.minimum(kept["w"].to_numpy(float)[order], 6.0), 0.0)
