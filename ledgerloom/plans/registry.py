@@ -353,6 +353,7 @@ _SOURCES = {
     "lua": ("m.lua", "--[[ function no() ]]\nlocal function f(x)\n  for i = 1, 2 do local g = function() end end\nend\nM.h = function()\n  local s = [[ function q( ]]\nend\nfunction M:k() end\n", [(1, 8, "module m — f, M.h, M:k")]),
     "graphql": ("s.graphql", "# c\ntype A implements N {\n  x: Int # }\n}\nunion U =\n  | A\n  | B\nscalar Date\nextend type A { y: Int }\nquery { a }\nschema {\n  query: Q\n}\n", [(2, 4, "type A"), (5, 7, "union U"), (8, 8, "scalar Date"), (9, 9, "type A"), (10, 10, "query (anonymous #1)"), (11, 13, "schema")]),
     "ruby": ("a.rb", "# class No\nclass A < B\n  def self.make(x)\n    x.each do |y|\n      z\n    end\n  end\n  def ok? = true\n  def one; 1; end\n  T = <<~EOS\n    class Hidden\n  EOS\nend\n\nmodule M\nend\n", [(2, 13, "class A — self.make, ok?, one"), (15, 16, "module M")]),
+    "elixir": ("m.ex", "defmodule A.B do\n  @moduledoc \"\"\"\n  def no do\n  \"\"\"\n  use X\n  def f(x), do: x\n  def f(y) do\n    Enum.map(y, fn z -> z end)\n  end\n  defp g do\n    'end'\n  end\nend\ndefimpl P, for: A do\nend\n", [(1, 13, "defmodule A.B — f, g"), (14, 15, "defimpl P for A")]),
     "shell": ("x.sh", "#!/bin/bash\n# c\nbuild() {\n  if x; then { y; }\n  fi\n}\nfunction one { echo; }\nbuild\n", [(3, 6, "build"), (7, 7, "one")]),
 }
 
@@ -372,7 +373,7 @@ def _outline_query(name: str, parser: str):
     query(f"SELECT * FROM (VALUES {values}) AS v(start_line, end_line, kind)")(run)
 
 
-for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f31_outline_fsharp", "fsharp"), ("f27_outline_r", "r"), ("f25_outline_lua", "lua"), ("f14_outline_graphql", "graphql"), ("f15_outline_ruby", "ruby"), ("f30_outline_clojure", "clojure"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
+for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f31_outline_fsharp", "fsharp"), ("f27_outline_r", "r"), ("f25_outline_lua", "lua"), ("f14_outline_graphql", "graphql"), ("f15_outline_ruby", "ruby"), ("f24_outline_elixir", "elixir"), ("f30_outline_clojure", "clojure"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
     _outline_query(_name, _parser)
 
 
