@@ -9,7 +9,7 @@ encoding comes after it, in order, and streams in chunks.
 The library encodes every distinct pre-token a worker has not met; a bounded memo gives the ids of the others. That
 is exact: a byte-level pre-token's ids don't depend on its surroundings.
 
-Nulls are empty texts: their row holds the end id alone. Rows of one doc_id follow each other in text order; null
+Nulls are empty texts: their row holds the end id alone. Rows of one doc_id follow each other in the order of their texts' hashes; null
 doc_ids come first. Other columns are ignored. An empty table gives an empty result and no rows on file.
 """
 
@@ -72,7 +72,7 @@ def _encode(path: str, end_id: int):
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, files: int | None = None, stripe_bytes: int = 16 << 20) -> None:
     """Writes docs(doc_id, text) as ORC rows (doc_id, seq: the row's place in its file, n_tokens, ids)."""
     docs = fields(docs, doc_id="long", text="string")
-    ordered = docs.repartitionByRange(files or shuffle_partitions(docs.sparkSession), "doc_id", "text" if files == 0 else F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(files or shuffle_partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     encoded = ordered.mapInArrow(_encode(vocabulary, end_id), "doc_id long, seq long, n_tokens long, ids array<int>")
     encoded.write.options(**{"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(stripe_bytes), "orc.compress": "ZSTD"}).orc(path)
 
