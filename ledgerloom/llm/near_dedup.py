@@ -172,7 +172,8 @@ def near_duplicates(
     for level in range(levels):
         # nodes with one member, or within one component, have nothing to compare
         members = labelled(members)
-        size = members.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and l0 <> l1").select("node", "c", "pivot")
+        pivot = F.min_by("id", F.xxhash64("id", F.lit(level))) if level else F.min("id")  # another one at each level
+        size = members.groupBy("node").agg(F.count("*").alias("c"), pivot.alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and l0 <> l1").select("node", "c", "pivot")
         members = stage.write(members.join(size, "node"), "members")
         if members.isEmpty():
             break
