@@ -1,13 +1,12 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
 1. toxicity: fit on the labelled rows of labels, documents predicted toxic go;
-2. near_dedup: one document of each group of near duplicates (0.8 of their 5-word shingles shared) stays (rows that share
-   a doc_id are one document);
+2. near_dedup: one row of each group of near duplicates (0.8 of their 5-word shingles shared) stays;
 3. substring_dedup: words of passages of 35 words or more that occur more than once among what is left go;
 4. decontamination: documents that hold 80 % of a benchmark item's shingles go;
 5. bpe: what is left is encoded and decoded; the result is a digest a document.
 
-Each stage judges its own input. All but the last return the columns of documents. SQL can't express learned scores, so
+Each stage judges its own input, row by row, whether a row has a doc_id, shares it with others, or lacks one. All but the last return the columns of documents. SQL can't express learned scores, so
 there is no oracle; tests hold the stages against brute force.
 """
 
@@ -27,9 +26,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.without_toxic(docs, *tox.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
+def _key(docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(spark, docs, percent=80, agree=34).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    """Every row is a document under a key of its own; the key is written once, so that all readings of a row agree."""
+    key = _key(docs)
+    stage = Stage(spark, "pipeline-rows")
+    keyed = stage.write(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = near_dedup.near_duplicates(spark, keyed.select(F.col(key).alias("doc_id"), "text"), percent=80, agree=34).where("n_shingles > 0")
+    # the least doc_id of a group stays, of rows without one the first by text; equal rows differ by their keys only
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(key).alias("row"))
+    rows = stage.write(groups.select(F.col("doc_id").alias("row"), "component_id").join(keyed.select(F.col(key).alias("row"), rank.alias("rank")), "row"), "groups")
+    stay = rows.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.row").alias("row"))
+    gone = rows.join(stay, "row", "left_anti").select(F.col("row").alias(key))
+    return keyed.join(gone, key, "left_anti").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +53,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    key = _key(docs)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))  # equal rows share a verdict
+    found = decontaminate.contaminated(spark, keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,3 +15,20 @@ def test_near_copies_from_four_fifths_on_go(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     left = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]  # 90 of 110; 85 of 115
+
+
+def test_rows_without_an_id_are_rows_of_their_own(spark, tmp_path):
+    copy, other, near, leak = words("b", 104), words("c", 104), changed(words("c", 104), 50), words("i", 30)
+    rows = [(1, copy), (None, copy), (None, copy), (None, other), (None, other), (None, near), (None, words("d", 40)), (None, [*words("e", 9), *leak]), (None, []), (7, words("f", 40)), (7, words("g", 40)), (7, leak)]
+    docs = spark.createDataFrame([(i, " ".join(w), "x") for i, w in rows], "doc_id long, text string, row_key string")
+    once = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert once.columns == docs.columns
+    left = [(r["doc_id"], r["text"].split()) for r in once.collect()]
+    kept = [(1, copy), (None, words("d", 40)), (None, [*words("e", 9), *leak]), (None, []), (7, words("f", 40)), (7, words("g", 40)), (7, leak)]
+    assert len(left) == len(kept) + 1 and all(x in left for x in kept)
+    assert ((None, other) in left) != ((None, near) in left)
+    spark.createDataFrame([(1, " ".join(leak))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, once, str(tmp_path))
+    assert clean.columns == docs.columns
+    gone = [(None, [*words("e", 9), *leak]), (7, leak)]
+    assert sorted(map(str, ((r["doc_id"], r["text"].split()) for r in clean.collect()))) == sorted(map(str, (x for x in left if x not in gone)))
