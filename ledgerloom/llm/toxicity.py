@@ -3,8 +3,9 @@
 A noisy channel turns words into what is written: letters into look-alikes (1d10t), letters doubled (idiooot), letters
 apart (i d i o t, i.d.i.o.t). A token that the channel may have touched becomes a lattice of what each of its
 characters can stand for; Viterbi decoding under a character trigram model finds the likeliest reading. A token of
-letters alone, none of them three times in a row, has one reading and is taken as it stands. Features of the restored
-text are its words and their first four and five bytes.
+letters alone, none of them twice in a row, has one reading and is taken as it stands. Look-alikes at a token's end may
+be letters or punctuation, and a doubled letter may be meant: such tokens have several readings, which count as one
+word, by the best of them. Features of the restored text are its words and their first four and five bytes.
 
 Trained here: the character model from all documents (counts summed in each task, then over the corpus); label weights
 from at most `max_train_rows` labelled rows whose crc32(doc_id as text) mod 5 is not 0, taken in hash order, near
@@ -37,11 +38,14 @@ SYMBOLS = 60
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c"}
 APART = ".-_*~'`,"
 SUBSTITUTED, DROPPED, REPEATED, BROKEN = 1.0, 4.5, 0.7, 3.0  # costs of the channel, in nats
+ENDING = "!$|+()@"  # look-alikes that also end words
 BEAM, RUN = 24, 48
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _NOISE = np.zeros(256, bool)
 _NOISE[[ord(c) for c in [*LOOKS, *APART]]] = True
+_LOOK = np.zeros(256, bool)
+_LOOK[[ord(c) for c in LOOKS]] = True
 _SYMBOL = np.zeros(256, np.int64)  # 0: everything that is no letter
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + np.arange(128) % 32
@@ -118,6 +122,30 @@ def _restored(token: str, model: np.ndarray) -> str:
     return _memo[token]
 
 
+def readings(token: str, model: np.ndarray) -> tuple[str, ...]:
+    """What a token may stand for, once without the look-alikes at its end and once with each run of them; and its
+    letters as they are, if it has no others."""
+    whole = token.rstrip(APART)
+    stem = whole.rstrip(ENDING + APART)
+    cuts, end = [stem] if stem else [], whole[len(stem) :]
+    if len(end) <= RUN:
+        cuts += [stem + end[:i] for i in range(1, len(end)) if end[i] != end[i - 1]]
+    cuts.append(whole)
+    found = [_restored(x, model) for x in dict.fromkeys(cuts)]
+    return tuple(dict.fromkeys([*found, stem] if stem.isalpha() else found))
+
+
+_tokens: dict[bytes, tuple[bytes, ...]] = {}
+
+
+def _readings(token: bytes, model: np.ndarray) -> tuple[bytes, ...]:
+    if token not in _tokens:
+        if len(_tokens) > 100_000:
+            _tokens.clear()
+        _tokens[token] = tuple(x.encode() + b" " for x in readings(token.decode("utf-8", "replace"), model))
+    return _tokens[token]
+
+
 def suspects(w: wk.Words) -> list[tuple[int, int]]:
     """Byte spans of tokens, or of runs of single letters, that have more than one reading."""
     d, n = w.data, len(w.data)
@@ -125,27 +153,35 @@ def suspects(w: wk.Words) -> list[tuple[int, int]]:
         return []
     letter, noise = _LETTER[d], _NOISE[d]
     mark = np.zeros(n + 1, bool)
-    mark[: n - 1] |= noise[:-1] & letter[1:]  # a look-alike or a mark before a letter
-    if n > 2:
-        mark[2:n] |= letter[2:] & (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2]) & (d[2:] < 128)
+    mark[: n - 1] |= noise[:-1] & letter[1:]  # a mark before a letter
+    mark[:n] |= _LOOK[d]
+    mark[1:n] |= letter[1:] & (d[1:] == d[:-1]) & (d[1:] < 128)
+    for wide, lead in ((2, 0xC2), (3, 0xE0)):  # letters of more bytes twice
+        if n >= 2 * wide:
+            same = d[wide:] == d[:-wide]
+            twice = (d[: n - 2 * wide + 1] >= lead) & (d[: n - 2 * wide + 1] < (0xE0, 0xF0)[wide - 2])
+            for i in range(wide):
+                twice &= same[i : n - 2 * wide + 1 + i]
+            mark[: n - 2 * wide + 1] |= twice
     count = np.zeros(n + 2, np.int64)
     np.cumsum(mark, out=count[1:])
-    letters = np.zeros(n + 1, np.int64)
-    np.cumsum(letter, out=letters[1:])
-    odd = (count[w.ends] > count[w.starts]) & (letters[w.ends] - letters[w.starts] > 1)
+    signs = np.zeros(n + 1, np.int64)
+    np.cumsum(letter | _LOOK[d], out=signs[1:])
+    odd = (count[w.ends] > count[w.starts]) & (signs[w.ends] - signs[w.starts] > 1)
     out = list(zip(w.starts[odd].tolist(), w.ends[odd].tolist(), strict=True))
     single = (w.ends - w.starts == 1) & (letter[w.starts] | noise[w.starts])
     row = np.searchsorted(w.first, np.arange(len(single)), side="right")
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         for r in np.split(np.arange(s, e), np.flatnonzero(np.diff(row[s:e])) + 1):
-            if len(r) > 3:
+            if len(r) > 1:
                 out.append((int(w.starts[r[0]]), int(w.ends[r[-1]])))
     return out
 
 
-def features(data: np.ndarray, offsets: np.ndarray, model: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hashes by kind) of every word of the restored texts; hash 0 where a word is too short for the kind."""
+def features(data: np.ndarray, offsets: np.ndarray, model: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hashes by kind, word) of every word of the restored texts; hash 0 where a word is too short for the kind.
+    word is the word's own hash; in further readings of a token it is that of the token's first word."""
     w = wk.words(data, offsets, False)
     spans = suspects(w) if model is not None else []
     if spans:
@@ -153,13 +189,26 @@ def features(data: np.ndarray, offsets: np.ndarray, model: np.ndarray | None) ->
         data = data.copy()
         rows = np.searchsorted(offsets, [s for s, _ in spans], side="right") - 1
         extra: list[bytes] = []
-        for s, e in spans:
+        span: list[int] = []
+        first: list[bool] = []
+        for i, (s, e) in enumerate(spans):
             data[s:e] = 32
-            extra.append(_restored(raw[s:e].decode("utf-8", "replace").rstrip("!$|+()@" + APART), model).encode() + b" ")
+            for k, x in enumerate(_readings(raw[s:e], model)):
+                extra.append(x)
+                span.append(i)
+                first.append(not k)
         tail = np.concatenate([[0], np.cumsum([len(x) for x in extra])])
         one, two = _words(data, offsets), _words(np.frombuffer(b"".join(extra), np.uint8), tail)
-        return np.concatenate([one[0], rows[two[0]]]), np.concatenate([one[1], two[1]], axis=1)
-    return _words(data, offsets)
+        own, main = np.asarray(span, np.int64)[two[0]], np.asarray(first, bool)[two[0]]
+        word = two[1][0].copy()
+        long = np.flatnonzero(word)
+        token, at = np.unique(own[long], return_index=True)  # each token's first word
+        head = np.zeros(len(spans), np.uint64)
+        head[token] = word[long[at]]
+        word = np.where(main, word, head[own])
+        return np.concatenate([one[0], rows[own]]), np.concatenate([one[1], two[1]], axis=1), np.concatenate([one[1][0], word])
+    row, h = _words(data, offsets)
+    return row, h, h[0]
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +235,8 @@ class Weights(NamedTuple):
     threshold: float
 
 
-def evidence(row: np.ndarray, h: np.ndarray, rows: int, weights: Weights) -> np.ndarray:
-    """Sum of each row's distinct words' weights, a word having its best kind's."""
+def evidence(row: np.ndarray, h: np.ndarray, word: np.ndarray, rows: int, weights: Weights) -> np.ndarray:
+    """Sum of each row's distinct words' weights, a word having its best kind's and reading's."""
     out = np.zeros(rows)
     if not len(weights.hashes) or not len(row):
         return out
@@ -201,8 +250,8 @@ def evidence(row: np.ndarray, h: np.ndarray, rows: int, weights: Weights) -> np.
         x = h[i, near]
         at = np.minimum(np.searchsorted(weights.hashes, x), len(weights.hashes) - 1)
         best = np.maximum(best, np.where(weights.hashes[at] == x, weights.values[at], 0.0))
-    word, own = np.where(h[0, near] > 0, h[0, near], 1), row[near]
-    order = np.lexsort((word, own))
+    word, own = np.where(word[near] > 0, word[near], 1), row[near]
+    order = np.lexsort((-best, word, own))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (own[order][1:] != own[order][:-1]) | (word[order][1:] != word[order][:-1])
     np.add.at(out, own[order[fresh]], best[order[fresh]])
@@ -227,7 +276,7 @@ def _label_counts(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(_lower(b.column("text"))):
-                row, h = features(data, offsets, model)
+                row, h, _ = features(data, offsets, model)
                 toxic = b.column("toxic").slice(lo, hi - lo).to_numpy().astype(np.int64)
                 pair = np.unique(np.stack([np.tile(row, len(KINDS)).astype(np.uint64), h.ravel()])[:, h.ravel() > 0], axis=1)
                 feature, at = np.unique(pair[1], return_inverse=True)
@@ -241,8 +290,7 @@ def _evidence(model: np.ndarray, weights: Weights, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(_lower(b.column("text"))):
-                row, h = features(data, offsets, model)
-                x = evidence(row, h, hi - lo, weights)
+                x = evidence(*features(data, offsets, model), hi - lo, weights)
                 yield pa.RecordBatch.from_arrays([b.column(column).slice(lo, hi - lo), pa.array(x)], [column, "x"])
 
     return run
@@ -358,8 +406,7 @@ def _clean_rows(model: np.ndarray, weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(_lower(b.column("text").cast(pa.string()))):
-                row, h = features(data, offsets, model)
-                yield b.slice(lo, hi - lo).filter(pa.array(evidence(row, h, hi - lo, weights) < weights.threshold))
+                yield b.slice(lo, hi - lo).filter(pa.array(evidence(*features(data, offsets, model), hi - lo, weights) < weights.threshold))
 
     return run
 
