@@ -8,8 +8,8 @@ be letters or punctuation, and a doubled letter may be meant: such tokens have s
 word, by the best of them. Features of the restored text are its words and their first four and five bytes.
 
 Trained here: the character model from all documents (counts summed in each task, then over the corpus); label weights
-from at most `max_train_rows` labelled rows whose crc32(doc_id as text) mod 5 is not 0, taken in hash order, near
-copies of one text (one shared minwise value) counted once. A feature gets its log odds if its G2 statistic stands out
+from at most `max_train_rows` labelled rows whose crc32(doc_id as text) mod 5 is not 0, taken in hash order, equal
+texts of one label counted once. A feature gets its log odds if its G2 statistic stands out
 for as many features as were tested (a few may by chance; a text needs more evidence than one). A text's score is the logistic of its distinct words' weights over a threshold
 set in the gap of the training rows. lang, source, labels and ids are no inputs of a score.
 
@@ -258,20 +258,6 @@ def evidence(row: np.ndarray, h: np.ndarray, word: np.ndarray, rows: int, weight
     return out
 
 
-def _minwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One minwise word pair of each text, by which near copies meet."""
-    for b in batches:
-        for lo, hi, data, offsets in wk.chunks(b.column("text")):
-            w = wk.words(data, offsets, True)
-            at, h = wk.runs(w, 2)
-            own = np.searchsorted(w.first, at, side="right") - 1
-            value = np.zeros(hi - lo, np.uint64)
-            some = np.unique(own)
-            if len(some):
-                value[some] = np.minimum.reduceat(h, np.searchsorted(own, some))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "toxic", "text")), pa.array(wk.signed(value))], ["doc_id", "toxic", "text", "group"])
-
-
 def _label_counts(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,6 +333,11 @@ def _first(df: DataFrame, slot, most: int) -> int:
     return 1 << 30
 
 
+def training_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """toxic and text of the labelled rows, equal texts of one label once."""
+    return docs.join(F.broadcast(sample), "doc_id").select("toxic", "text").distinct()
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, max_features: int = 20_000) -> tuple[np.ndarray, Weights]:
     stage = Stage(spark, "toxicity")
     docs = fields(docs, doc_id="long", text="string")
@@ -356,9 +347,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows:
     sample = mine.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = sample.where(slot < _first(sample, slot, max_train_rows))
     # at most max_train_rows ids and labels are handed to the tasks
-    texts = stage.write(docs.join(F.broadcast(sample), "doc_id").mapInArrow(_minwise, "doc_id long, toxic int, text string, `group` long"), "sample")
-    ones = texts.groupBy("group", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    train = stage.write(texts.join(F.broadcast(ones.select("doc_id")), "doc_id").select("doc_id", "toxic", "text"), "train")
+    train = stage.write(training_rows(docs, sample), "train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     nothing = Weights(np.zeros(0, np.uint64), np.zeros(0), math.inf)

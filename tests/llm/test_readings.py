@@ -48,3 +48,12 @@ def test_doubled_letters_of_more_bytes_have_two_readings():
         assert toxicity.suspects(wk.words(data, offsets, False)) == [(0, len(text.encode()))]
     (_, _, data, offsets), *_ = wk.chunks(pa.array(["schön é日é plain"]))
     assert toxicity.suspects(wk.words(data, offsets, False)) == []
+
+
+def test_training_keeps_all_but_equal_texts(spark):
+    phrase = "in any case"  # unrelated texts that share their least word pair
+    texts = [f"{phrase} {' '.join(f'q{i}w{k}' for k in range(3))}" for i in range(40)] + ["one", "two", "", None, "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(44)] + [(44, 1)], "doc_id long, toxic int")
+    got = sorted((r["toxic"], r["text"] or "") for r in toxicity.training_rows(docs, labels).collect())
+    assert got == sorted([*((int(i % 4 == 0), t or "") for i, t in enumerate(texts[:44]))])
