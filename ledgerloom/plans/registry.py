@@ -266,6 +266,12 @@ def s12_tails(spark, sf_dir):
     return measure.tail(d, 64).select("doc_id", F.md5("tail").alias("tail"))
 
 
+@query("SELECT doc_id, md5(encode(text)[-64:]) AS tail FROM documents")
+def s12_byte_tails(spark, sf_dir):
+    """Of all texts: a tail may begin inside a character."""
+    return measure.tail(_table(spark, sf_dir, "documents"), 64).select("doc_id", F.md5("tail").alias("tail"))
+
+
 _OUTPUTS = (
     ("go_test", "=== RUN   TestA\n--- PASS: TestA (0.00s)\n=== RUN   TestB\n\tb_test.go:12: want 1, got 2\n--- FAIL: TestB (0.01s)\nFAIL\nFAIL\texample.com/x\t0.02s\nsome chatter that is dropped\n", "[1 tests passed — output omitted]\n\tb_test.go:12: want 1, got 2\n--- FAIL: TestB (0.01s)\nFAIL\nFAIL\texample.com/x\t0.02s"),
     ("git_status", "On branch main\nYour branch is up to date.\n\nChanges not staged for commit:\n  (use \"git add <file>...\" to update)\n\tmodified:   a.go\n\tdeleted:    b.go\n\nUntracked files:\n  (use \"git add <file>...\" to include)\n\tc.txt\n", "On branch main\nYour branch is up to date.\nChanges (2):\n\tmodified:   a.go\n\tdeleted:    b.go\nUntracked (1):\n\tc.txt"),
