@@ -77,11 +77,11 @@ def best_of_block(q: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> li
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, np.ndarray] = {}
+        floors: dict[tuple[int, int], np.ndarray] = {}  # by length of vector and query block
         for b in batches:
             for r in range(b.num_rows):
                 dims = b.column("dims")[r].as_py()
-                part = b.column("q_block")[r].as_py()
+                part = (dims, b.column("q_block")[r].as_py())
                 qid, cid = (np.asarray(b.column(c)[r].values, np.int64) for c in ("q_ids", "c_ids"))
                 q, x = (np.floor(256.0 * np.asarray(b.column(c)[r].values, np.float64)).reshape(-1, dims) for c in ("q_values", "c_values"))
                 floor = floors.get(part)
