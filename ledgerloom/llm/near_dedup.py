@@ -6,8 +6,9 @@ sets of similarity s share at least one root with probability 1 - (1 - s)**roots
 compared exhaustively; a larger one is first compared with one pivot. Where it then still holds different components,
 the sets outside its largest one meet all of its sets if that takes at most `work` comparisons of sketches; else the node branches: each member
 goes to `branches` child nodes, by its values at the coordinates chosen for the next level. The roots are independent
-trees: with the defaults a pair at 0.85 is missed with probability 4e-8 (0.15**9) in small nodes, and below 1e-6 where
-it has to be followed down. Nodes that no level could split are compared in full (all outside the largest component
+trees: with the defaults a pair at 0.85 is missed with probability 4e-8 (0.15**9) in small nodes. Below the root all
+nodes of a level take the same coordinates, so a pair that has to be followed down is missed with 0.15**5 = 7.6e-5 a
+level (3.2e-4 at 0.8). Nodes that no level could split are compared in full (all outside the largest component
 with all), so no pair is dropped there.
 
 Pairs that pass the length bound and agree in at least `agree` of the 64 coordinates' four-bit values (for similarity
