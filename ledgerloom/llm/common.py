@@ -1,21 +1,27 @@
-"""Shared plumbing of the training-data operators: staged tables, clean-up and input normalising."""
+"""Shared plumbing of the training-data operators: staged tables, clean-up, grouped batches and input normalising."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests, one machine) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a new one if all runs in
+    this process's machine (tests), else an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (own := spark.sparkContext.getCheckpointDir()) is not None:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -35,12 +41,14 @@ class Stage:
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes staged tables that are read no more."""
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Deletes staged tables that are read no more. Paths are compared without their scheme: /x, file:/x and
+        file:///x are one folder."""
+        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root).toUri().getPath()
         for df in tables:
             for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                if path.split(":", 1)[-1].startswith(self.root.split(":", 1)[-1]):
-                    p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                if p.toUri().getPath().startswith(root + "/"):
                     p.getFileSystem(hadoop).delete(p, True)
 
     def release(self) -> None:
@@ -60,3 +68,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_key(df: DataFrame, *then: str) -> DataFrame:
+    """df with the rows of a `key` (long) in one partition, in the order of key and `then`."""
+    return df.repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key", *then)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Batches of by_key, cut between keys. With `most`, a key of more rows comes alone, in pieces that say True."""
+    held: list[pa.RecordBatch] = []
+    key, begun = 0, False
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column("key").to_numpy()
+        cut = 0
+        if held or begun:
+            cut = int(np.searchsorted(k, key, "right"))
+            if cut:
+                held.append(b.slice(0, cut))
+        if cut < b.num_rows:
+            if held:
+                yield joined(), begun
+            key, begun = int(k[-1]), False
+            last = int(np.searchsorted(k, key))
+            if last > cut:
+                yield b.slice(cut, last - cut), False
+            held = [b.slice(last)]
+        if most and sum(x.num_rows for x in held) > most:
+            yield joined(), True
+            held, begun = [], True
+    if held:
+        yield joined(), begun

@@ -1,25 +1,29 @@
 """Operator 3: near-duplicate documents by a chosen-path set similarity join.
 
-A document's set: distinct k-word shingles (A-Z lower-cased; with fewer words the whole sequence). Each set gets
-`coordinates` minwise values. A tree's root nodes are the values of one of `roots` coordinates; two
-sets of similarity s share at least one root with probability 1 - (1 - s)**roots. A node of at most `leaf` sets is
-compared exhaustively; a larger one is first compared with one pivot. Where it then still holds different components,
-the sets outside its largest one meet all of its sets if that takes at most `work` comparisons of sketches; else the node branches: each member
-goes to `branches` child nodes, by its values at the coordinates chosen for the next level. The roots are independent
-trees: with the defaults a pair at 0.85 is missed with probability 4e-8 (0.15**9) in small nodes. Below the root all
-nodes of a level take the same coordinates, so a pair that has to be followed down is missed with 0.15**5 = 7.6e-5 a
-level (3.2e-4 at 0.8). Nodes that no level could split are compared in full (all outside the largest component
-with all), so no pair is dropped there.
-
-Pairs that pass the length bound and agree in at least `agree` of the 64 coordinates' four-bit values (for similarity
-0.85 the chance to fail is below 1e-7; at 0.8 it is 1.3e-5 with 38 and below 1e-7 with 34) are confirmed on their full sets; links join into components by distributed star
-rounds. A pair whose two sets are already in one component needs no comparison, as it can't change a component: that,
-with pivots, keeps thousands of mutual near copies from becoming all their pairs. Exact copies are folded to one set
-first.
-
-Nulls and texts without words: empty set, linked with nothing, component of its own. Repeated rows with one doc_id are
-one document, of which the result holds each row. Null doc_id: component null if it is alone. Empty table: empty
-result. Other columns, whatever their names, are ignored.
+A document's set: distinct k-word shingles (A-Z lower-cased; with fewer words the whole sequence). Equal sets are
+folded to one vertex. Each set gets minwise values at COORDINATES coordinates; four bits of each make its sketch.
+
+Search (on sketches only). Each of `roots` independent trees puts a set at the root node of its minwise value. A node
+of at most `leaf` sets is compared exhaustively. A larger one is compared with PIVOTS of its sets; sets within CORE
+sketch positions of a pivot are done there (whatever is near them is within CORE + near of that pivot, by the triangle
+inequality, and is tied to it), all others branch to `branches` child nodes by their values at coordinates chosen by
+the node's own hash. A node beyond `levels` is compared in full, so no pair is dropped. Two sets of similarity s share
+a root but for (1 - s)**9 (4e-8 at 0.85, 5e-7 at 0.8), a child node of one tree but for (1 - s)**5 a level, and their
+sketches agree in at least `agree` of 64 positions (38 at 0.85, 34 at 0.8) but for 1e-7. A task ties the sets of a
+node together by fewer links than it has sets; never by all of its pairs.
+
+Confirmation (on full sets). What is tied together is a cluster; two linked sets are in one. A cluster's full sets meet in
+one task, which finds its true components: from each set reached, all sets not yet reached are compared, exactly, so
+copies of one text are settled by one set's comparisons. A cluster beyond `task_sets` or `task_hashes` is dealt out
+in parts that all hold a few of its sets; then those outside its largest component meet all of it, block by block.
+Links join into components by distributed star rounds.
+
+Hot nodes, those with over 1/16384 of all entries, are at most 16384: they alone are broadcast, and dealt
+out over tasks, each part with the node's pivots.
+
+Nulls and texts without words: empty set, linked with nothing, component of its own. Rows are documents of their own,
+also where doc_ids repeat or are null: rows of one id with different texts have different sets. component_id is the
+least doc_id reachable, null if rows without an id reach none. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +36,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import Stage, fields, table
+from .common import Stage, by_key, fields, table, whole_groups
 from .components import components
 
-COORDINATES = 64
+COORDINATES, POOL = 64, 24
+PIVOTS, CORE = 4, 10
+CHUNK = 2048  # sets a task takes of a hot node
 _ODD = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEYS = ["k1", "k2", "k3", "k4"]  # four bits of each coordinate, sixteen coordinates a long
+_ONES = np.uint64(0x1111111111111111)
 
 
 def shingle_sets(w: wk.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,162 +64,363 @@ def shingle_sets(w: wk.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(row, np.arange(len(w.first)))
 
 
-def _summaries(k: int):
+def _identity(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row's set; 0 of an empty one."""
+    size = np.diff(first)
+    full = np.flatnonzero(size)
+    one, two = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+    if len(full):
+        at = first[full]
+        one[full] = wk.mix(np.add.reduceat(h, at))
+        two[full] = wk.mix(np.bitwise_xor.reduceat(wk.mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + size[full].astype(np.uint64))
+    return one, two
+
+
+def _summaries(k: int, roots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = roots + POOL
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(b.column("text")):
                 h, first = shingle_sets(wk.words(data, offsets, True), k)
                 size = np.diff(first)
                 full = np.flatnonzero(size)
-                hi64, lo64 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-                sig = np.zeros((len(size), COORDINATES), np.uint32)
+                one, two = _identity(h, first)
+                least = np.zeros((len(size), COORDINATES), np.uint64)
                 if len(full):
-                    at = first[full]
-                    hi64[full] = wk.mix(np.add.reduceat(h, at))
-                    lo64[full] = wk.mix(np.bitwise_xor.reduceat(wk.mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + size[full].astype(np.uint64))
                     for j in range(COORDINATES):
-                        sig[full, j] = np.minimum.reduceat(h * _ODD[j], at) >> np.uint64(32)
-                nibble = sig.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)
+                        least[full, j] = np.minimum.reduceat(h * _ODD[j], first[full])
+                nibble = wk.mix(least) >> np.uint64(60)
                 keys = [wk.signed(np.bitwise_or.reduce(nibble[:, g : g + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)) for g in range(0, COORDINATES, 16)]
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * COORDINATES), pa.array(sig.view(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(wk.signed(hi64)), pa.array(wk.signed(lo64)), *map(pa.array, keys), values], ["doc_id", "n", "s1", "s2", *KEYS, "sig"])
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * wide), pa.array(wk.signed(np.ascontiguousarray(least[:, :wide])).ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "r")), pa.array(size.astype(np.int64)), pa.array(wk.signed(one)), pa.array(wk.signed(two)), *map(pa.array, keys), values], ["doc_id", "r", "n", "s1", "s2", *KEYS, "sig"])
+
+    return run
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sketch positions in which rows differ."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & _ONES).sum(-1, dtype=np.int64)
+
+
+class Search:
+    """Ties within nodes; sets that have to branch."""
+
+    def __init__(self, near: int, percent: int, leaf: int, last: bool):
+        self.near, self.percent, self.leaf, self.last = near, percent, leaf, last
+        self.pivots: tuple[int, np.ndarray, np.ndarray] | None = None
+        self.ties: list[np.ndarray] = []
+        self.down: list[np.ndarray] = []
+
+    def close(self, k: np.ndarray, n: np.ndarray, k2: np.ndarray, n2: np.ndarray) -> np.ndarray:
+        return (np.minimum(n, n2) * 100 >= np.maximum(n, n2) * self.percent) & (_apart(k, k2) <= self.near)
+
+    def small(self, key: np.ndarray, v: np.ndarray, n: np.ndarray, k: np.ndarray, size: np.ndarray) -> None:
+        """Nodes of at most 16 sets: all of a batch at once, by distance in the order."""
+        pairs = []
+        for d in range(1, int(min(16, size.max(initial=1)))):
+            i = np.flatnonzero((key[d:] == key[:-d]) & (size[d:] <= 16))
+            if not len(i):
+                break
+            i = i[self.close(k[i], n[i], k[i + d], n[i + d])]
+            pairs.append(np.stack([i, i + d], 1))
+        head: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := head.get(x, x)) != x:
+                x = y
+            return x
+
+        keep = []
+        for i, j in np.concatenate(pairs).tolist() if pairs else ():
+            a, b = top(i), top(j)
+            if a != b:
+                head[max(a, b)] = min(a, b)
+                keep.append((i, j))
+        if keep:
+            self.ties.append(v[np.array(keep)])
+
+    def all(self, v: np.ndarray, n: np.ndarray, k: np.ndarray) -> None:
+        """From each set reached, all that are not yet reached are compared."""
+        left = np.arange(1, len(v))
+        queue = [0]
+        while len(left):
+            if not queue:
+                queue, left = [int(left[0])], left[1:]
+                continue
+            i = queue.pop()
+            hit = self.close(k[left], n[left], k[i], n[i])
+            if hit.any():
+                found = left[hit]
+                self.ties.append(np.stack([np.full(len(found), v[i]), v[found]], 1))
+                queue += found.tolist()
+                left = left[~hit]
+
+    def large(self, key: int, v: np.ndarray, k: np.ndarray, fresh: bool) -> None:
+        """Pivots: a node's first sets; the rest is tied to them, done, or goes down."""
+        if fresh or self.pivots is None or self.pivots[0] != key:
+            self.pivots = (key, v[:PIVOTS].copy(), k[:PIVOTS].copy())
+        _, pv, pk = self.pivots
+        apart = np.stack([_apart(k, p) for p in pk], 1)
+        tied = apart <= self.near + CORE
+        first = np.argmax(tied, 1)
+        some = tied.any(1)
+        self.ties.append(np.stack([pv[first[some]], v[some]], 1))
+        for p in range(1, len(pv)):
+            both = np.unique(first[some & tied[:, p]])
+            self.ties.append(np.stack([pv[both], np.full(len(both), pv[p])], 1))
+        go = apart.min(1) > CORE
+        if go.any():
+            self.down.append(np.unique(v[go]))
+
+    def take(self, b: pa.RecordBatch, piece: bool) -> Iterator[pa.RecordBatch]:
+        key, v, n = (b.column(c).to_numpy() for c in ("key", "v", "n"))
+        node = b.column("node").to_numpy()
+        hot = b.column("hot").to_numpy(zero_copy_only=False)
+        k = np.stack([b.column(c).to_numpy().view(np.uint64) for c in KEYS], 1)
+        self.ties, out = [], []
+        if piece:
+            self.down = []
+            self.large(int(key[0]), v, k, False)
+            out += [(int(node[0]), x) for x in self.down]
+        else:
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            size = np.diff(edge)
+            each = np.where(np.repeat(hot[edge[:-1]], size), 17, np.repeat(size, size))
+            self.small(key, v, n, k, each)
+            for g in np.flatnonzero((size > 16) | hot[edge[:-1]]).tolist():
+                s, e = int(edge[g]), int(edge[g + 1])
+                if (size[g] > self.leaf or hot[s]) and not self.last:
+                    self.down = []
+                    self.large(int(key[s]), v[s:e], k[s:e], True)
+                    out += [(int(node[s]), x) for x in self.down]
+                else:
+                    self.all(v[s:e], n[s:e], k[s:e])
+        ties = np.concatenate(self.ties) if self.ties else np.zeros((0, 2), np.int64)
+        ties = ties[ties[:, 0] != ties[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1]), pa.array(np.zeros(len(ties), bool))], ["a", "b", "down"])
+        for at, x in out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at)), pa.array(x), pa.array(np.ones(len(x), bool))], ["a", "b", "down"])
+
+
+def _meet(near: int, percent: int, leaf: int, last: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Search(near, percent, leaf, last)
+        for b, piece in whole_groups(batches, 0 if last else max(2 * leaf, 1 << 16)):
+            yield from search.take(b, piece)
 
     return run
 
 
 def _sets(k: int):
-    """(doc_id, text) to (doc_id, set as the bytes of its ascending 64-bit hashes)."""
+    """Rows with their text to the bytes of their set's ascending 64-bit hashes, where it is the set that is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(b.column("text")):
                 h, first = shingle_sets(wk.words(data, offsets, True), k)
+                one, two = _identity(h, first)
+                part = b.slice(lo, hi - lo)
+                right = (wk.signed(one) == part.column("s1").to_numpy()) & (wk.signed(two) == part.column("s2").to_numpy())
                 raw = h.tobytes()
                 out = [raw[8 * s : 8 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("cluster"), pa.array(np.diff(first)), pa.array(out, pa.binary())], ["v", "cluster", "n", "set"]).filter(pa.array(right))
 
     return run
 
 
-def _confirm(percent: int):
+class Overlaps:
+    """Exact intersections of the sets of one group, by bits over the elements that two or more of them hold."""
+
+    def __init__(self, sets: list[np.ndarray], most_bits: int = 1 << 29):
+        size = np.array([len(s) for s in sets])
+        _, back, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = many > 1
+        number = np.cumsum(shared) - 1
+        row = np.repeat(np.arange(len(sets)), size)
+        keep = shared[back]
+        row, col = row[keep], number[back[keep]]
+        wide = int(shared.sum())
+        self.bits = self.order = None
+        if len(sets) * max(64, wide) <= most_bits:
+            self.bits = np.zeros((len(sets), -(-max(wide, 1) // 64)), np.uint64)
+            np.bitwise_or.at(self.bits, (row, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        else:  # lists of the sets that hold an element
+            self.col, self.first = col, np.searchsorted(row, np.arange(len(sets) + 1))
+            by = np.argsort(col, kind="stable")
+            self.order, self.start = row[by], np.searchsorted(col[by], np.arange(wide + 1))
+            self.rows = len(sets)
+
+    def of(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[others] & self.bits[i]).sum(1, dtype=np.int64)
+        own = self.col[self.first[i] : self.first[i + 1]]
+        hits = [self.order[s:e] for s, e in zip(self.start[own].tolist(), self.start[own + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate(hits), minlength=self.rows)[others] if hits else np.zeros(len(others), np.int64)
+
+
+def _links(percent: int):
+    """Of each key's sets: links that give its components. Sets of role 1, if there are any, meet all of another label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for b, _ in whole_groups(batches):
+            key = b.column("key").to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            a_out, b_out = [], []
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                part = b.slice(s, e - s)
+                v, role, label = (part.column(c).to_numpy() for c in ("v", "role", "label"))
+                v, one = np.unique(v * 2 + role, return_index=True)  # a row that repeats is one set
+                role, label = role[one], label[one]
+                v >>= 1
+                sets = [np.frombuffer(part.column("set")[i].as_buffer(), np.uint64) for i in one.tolist()]
+                n = np.array([len(x) for x in sets])
+                over = Overlaps(sets)
+
+                def linked(i: int, others: np.ndarray) -> np.ndarray:
+                    both = over.of(i, others)  # noqa: B023
+                    return 100 * both >= percent * (n[others] + n[i] - both)  # noqa: B023
+
+                if not role.any():
+                    left, queue = np.arange(1, len(v)), [0]
+                    while len(left):
+                        if not queue:
+                            queue, left = [int(left[0])], left[1:]
+                            continue
+                        i = queue.pop()
+                        hit = linked(i, left)
+                        if hit.any():
+                            found = left[hit]
+                            a_out.append(np.full(len(found), v[i]))
+                            b_out.append(v[found])
+                            queue += found.tolist()
+                            left = left[~hit]
+                else:
+                    every = np.flatnonzero(role == 0)
+                    for i in np.flatnonzero(role).tolist():
+                        others = every[label[every] != label[i]]
+                        found = others[linked(i, others)]
+                        found = found[np.unique(label[found], return_index=True)[1]]  # one link a component
+                        a_out.append(np.full(len(found), v[i]))
+                        b_out.append(v[found])
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
 
     return run
 
 
-KEYS = ["k1", "k2", "k3", "k4"]  # four bits of each coordinate, sixteen coordinates a long
+def _ties(stage: Stage, heads: DataFrame, percent: int, roots: int, branches: int, levels: int, leaf: int, near: int) -> DataFrame:
+    """heads(v, n, k1..k4, sig) to ties (a, b): linked sets are tied together."""
 
+    def choose(count: int, node: Column | None) -> Column:
+        at = (lambda i: i) if node is None else (lambda i: F.pmod(F.xxhash64(node) + i * 7, F.lit(POOL)).cast("int") + roots)
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(at(i).alias("i"), F.get("sig", at(i)).alias("x"))))
 
-def _near(a: str, b: str, percent: int, agree: int) -> Column:
-    """Length bound and sketch agreement of two members, in plain bit operations."""
-    same = F.lit(0)
-    for k in KEYS:
-        x = F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        same = same + 16 - F.bit_count(x)
-    return (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent) & (same >= agree)
+    found: list[DataFrame] = []
+    rows = heads.select("v", "n", *KEYS, choose(roots, None).alias("c")).select(F.xxhash64("c.i", "c.x").alias("node"), "v", "n", *KEYS)
+    total, down = heads.count() * roots, None
+    for level in range(levels + 1):
+        last = level == levels
+        single = rows.withColumn("key", F.col("node")).withColumn("hot", F.lit(False)).withColumn("role", F.lit(1))
+        if not last:
+            most = max(CHUNK, total // 16384)
+            hot = stage.write(rows.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") > most), "hot")  # at most 16384
+            if not hot.isEmpty():
+                hot = F.broadcast(hot)
+                seat = F.xxhash64("v", F.lit(level))
+                pivot = F.min(F.struct(seat.alias("s"), "v", "n", *KEYS)).alias("p")
+                pivots = rows.join(hot, "node").groupBy("node", "c", F.pmod(seat, F.lit(PIVOTS))).agg(pivot)
+                parts = F.ceil(F.col("c") / CHUNK)
+                key = F.xxhash64("node", "part")
+                led = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("node", "p.v", "p.n", *[f"p.{x}" for x in KEYS], key.alias("key"), F.lit(True).alias("hot"), F.lit(0).alias("role"))
+                dealt = rows.join(hot, "node", "left").withColumn("part", F.pmod(F.xxhash64("v"), parts))
+                dealt = dealt.select("node", "v", "n", *KEYS, F.when(F.col("c").isNull(), F.col("node")).otherwise(key).alias("key"), F.col("c").isNotNull().alias("hot"), F.lit(1).alias("role"))
+                single = dealt.unionByName(led)
+        met = stage.write(by_key(single, "role").mapInArrow(_meet(near, percent, leaf, last), "a long, b long, down boolean"), "met")
+        stage.release()
+        found.append(met.where("not down").select("a", "b"))
+        rest = met.where("down").select(F.col("a").alias("node"), F.col("b").alias("v")).distinct()
+        if down is not None:
+            stage.drop(down)
+        if last or (total := met.where("down").count() * branches) == 0:
+            break
+        down = stage.write(rest.join(heads.select("v", "n", *KEYS, "sig"), "v"), "down")
+        rows = down.select("v", "n", *KEYS, "node", choose(branches, F.col("node")).alias("c")).select(F.xxhash64(F.lit(level + 1), "node", "c.i", "c.x").alias("node"), "v", "n", *KEYS)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.toDF("u", "v")
 
 
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, percent: int = 85, shingle: int = 5, roots: int = 9, branches: int = 5, levels: int = 3, leaf: int = 16, work: int = 1 << 18, agree: int = 38
+    spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, roots: int = 9, branches: int = 5, levels: int = 8, leaf: int = 256, agree: int = 34, task_sets: int = 4096, task_hashes: int = 1 << 21
 ) -> DataFrame:
-    """docs(doc_id, text) to doc_id, n_shingles, component_id, kept for every row."""
+    """docs(doc_id, text) to doc_id, n_shingles, component_id, kept for every row; `agree` belongs to `percent`."""
     stage = Stage(spark, "near-dedup")
-    docs = fields(docs, doc_id="long", text="string")
-    every = stage.write(docs.mapInArrow(_summaries(shingle), f"doc_id long, n long, s1 long, s2 long, {', '.join(f'{k} long' for k in KEYS)}, sig array<int>"), "sets")
-    # exact copies fold to their least doc_id; that row's sketch stands for them
-    fold = stage.write(every.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")).where("id is not null"), "fold")
-    heads = stage.write(every.where("n > 0").join(fold.select(F.col("id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "n", *KEYS, "sig").dropDuplicates(["id"]), "heads")
+    docs = fields(docs, doc_id="long", text="string").withColumn("r", F.xxhash64("doc_id", "text"))
+    every = stage.write(docs.mapInArrow(_summaries(shingle, roots), f"doc_id long, r long, n long, s1 long, s2 long, {', '.join(f'{k} long' for k in KEYS)}, sig array<long>"), "sets")
+    # equal sets fold to one vertex, which the row of the least r stands for
+    vertex = every.where("n > 0").groupBy("s1", "s2", "n", *KEYS, "sig").agg(F.min("doc_id").alias("id"), F.min("r").alias("r"))
+    heads = stage.write(vertex.withColumn("v", F.monotonically_increasing_id()), "heads")
+    stage.release()
+    tied = components(stage, _ties(stage, heads, percent, roots, branches, levels, leaf, COORDINATES - agree))
+    clusters = stage.write(tied.select(F.col("node").alias("v"), F.col("component").alias("cluster")).join(heads.select("v", "n", "r", "s1", "s2"), "v"), "clusters")
     stage.release()
-    found: list[DataFrame] = []
-    label: DataFrame | None = None
-
-    def confirm(pairs: DataFrame) -> None:
-        """Adds the pairs (a, b) that hold on their full sets to the links."""
-        pairs = stage.write(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = docs.join(ids, "doc_id").mapInArrow(_sets(shingle), "doc_id long, set binary").dropDuplicates(["doc_id"])
-        sets = stage.write(sets, "full")
-        joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-        found.append(stage.write(joined.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links"))
-        stage.drop(sets, pairs)
-        stage.release()
-
-    def connect() -> None:
-        """Labels every linked id with its component, from the links found since and the labels before."""
-        nonlocal label
-        if not found:
-            return
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
-        links = links.toDF("u", "v")
-        label = stage.write(components(stage, links if label is None else links.union(label.select("id", "label"))).select(F.col("node").alias("id"), F.col("component").alias("label")), "label")
-        found.clear()
-        stage.release()
 
-    def labelled(members: DataFrame) -> DataFrame:
-        if label is None:
-            return members.withColumn("label", F.col("id"))
-        return members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-    def choose(level: int, n: int) -> Column:
-        at = lambda i: (i + (roots + branches * (level - 1) if level else 0)) % COORDINATES
-        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.get("sig", at(i)).alias("x"))))
-
-    members = heads.select("id", "n", *KEYS, choose(0, roots).alias("c")).select(F.xxhash64(F.lit(0), "c.i", "c.x").alias("node"), "id", "n", *KEYS)
-    for level in range(levels):
-        # nodes with one member, or within one component, have nothing to compare
-        members = labelled(members)
-        pivot = F.min_by("id", F.xxhash64("id", F.lit(level))) if level else F.min("id")  # another one at each level
-        size = members.groupBy("node").agg(F.count("*").alias("c"), pivot.alias("pivot"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("c > 1 and l0 <> l1").select("node", "c", "pivot")
-        members = stage.write(members.join(size, "node"), "members")
-        if members.isEmpty():
-            break
-        small, big = members.where(F.col("c") <= leaf), members.where(F.col("c") > leaf)
-        a, b = small.alias("a"), small.alias("b")
-        pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & _near("a", "b", percent, agree)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        pivots = big.where("id = pivot").alias("p")
-        star = big.alias("m").join(pivots, (F.col("m.node") == F.col("p.node")) & (F.col("m.id") != F.col("p.id")) & (F.col("m.label") != F.col("p.label")) & _near("m", "p", percent, agree))
-        confirm(pairs.union(star.select(F.col("p.id"), F.col("m.id"))))
-        if big.isEmpty():
-            break
-        connect()
-        # of a node's component pairs, one side at least is outside its largest component
-        big = labelled(big.drop("label", "c", "pivot"))
-        parts = big.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("label", "c").alias("most"), F.sum("c").alias("c"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
-        big = stage.write(big.join(parts, "node"), "big")
-        if big.isEmpty():
-            break
-        whole = F.lit(level == levels - 1) | (F.col("others") * F.col("c") <= work)
-        a, b = big.where(whole).where("label <> most").alias("a"), big.where(whole).alias("b")
-        met = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & ((F.col("a.id") < F.col("b.id")) | (F.col("b.label") == F.col("b.most"))) & _near("a", "b", percent, agree))
-        confirm(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")))
-        rest = big.where(~whole)
-        if rest.isEmpty():
-            break
-        connect()
-        rest = rest.select("node", "id", "n", *KEYS).join(heads.select("id", "sig"), "id")
-        members = rest.select("id", "n", *KEYS, "node", choose(level + 1, branches).alias("c")).select(F.xxhash64(F.lit(level + 1), "node", "c.i", "c.x").alias("node"), "id", "n", *KEYS)
-    connect()
-    out = every.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(fold, ["s1", "s2"], "left")
-    out = labelled(out)
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "id", "doc_id"))
+    # full sets of the clusters' rows; up to a million row keys are handed out, so that other texts stay where they are
+    asked = clusters.select("r", "v", "cluster", "s1", "s2")
+    texts = docs.select("r", "text")
+    if clusters.count() <= 1 << 20:
+        texts = texts.join(F.broadcast(clusters.select("r")), "r", "left_semi")
+    sets = stage.write(texts.join(asked, "r").select("v", "cluster", "s1", "s2", "text").mapInArrow(_sets(shingle), "v long, cluster long, n long, set binary"), "full")
+    stage.release()
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("hashes"))
+    parts = F.ceil(F.greatest(F.col("c") / task_sets, F.col("hashes") / task_hashes))
+    large = stage.write(size.where((F.col("c") > task_sets) | (F.col("hashes") > task_hashes)).select("cluster", (parts * 2).cast("long").alias("parts")), "large")
+    none = [F.lit(0).cast("long").alias("role"), F.lit(0).cast("long").alias("label")]
+    confirm = lambda rows, name: stage.write(by_key(rows).mapInArrow(_links(percent), "a long, b long"), name).toDF("u", "v")
+    one = sets.join(large, "cluster", "left_anti").select(F.col("cluster").alias("key"), "v", *none, "set")
+    links = confirm(one, "links")
+    if not large.isEmpty():
+        big = stage.write(sets.join(large, "cluster"), "big")
+        part = F.pmod(F.xxhash64("v"), F.col("parts"))
+        # a few sets of a cluster are in all of its parts
+        chosen = big.groupBy("cluster", F.pmod(F.xxhash64("v"), F.lit(2 * PIVOTS))).agg(F.min("v").alias("v")).select("v", F.lit(True).alias("leads"))
+        whole = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        dealt = big.join(chosen, "v", "left").withColumn("part", F.explode(F.when(F.col("leads"), whole).otherwise(F.array(part))))
+        links = links.union(confirm(dealt.select(F.xxhash64("cluster", "part").alias("key"), "v", *none, "set"), "links"))
+        # whatever is outside a cluster's largest component meets all of it, block by block
+        known = components(stage, links).select(F.col("node").alias("v"), F.col("component").alias("label"))
+        named = stage.write(big.select("v", "cluster", "parts", "n").join(known, "v", "left").withColumn("label", F.coalesce("label", "v")), "named")
+        most = named.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", "c").alias("most"))
+        others = named.join(most, "cluster").where("label <> most").select("v", "cluster", "n")
+        blocks = F.ceil(F.greatest(F.count("*") / (task_sets // 4), F.sum("n") / (task_hashes // 4))).cast("long")
+        blocks = stage.write(others.groupBy("cluster").agg(blocks.alias("blocks")), "blocks")
+        if not blocks.isEmpty():
+            rows = big.select("v", "set").join(named.join(blocks, "cluster").join(most, "cluster"), "v")
+            whole, block = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks"))
+            all_of = rows.select("cluster", "v", "label", "set", F.lit(0).cast("long").alias("role"), part.alias("part"), F.explode(whole).alias("block"))
+            out_of = rows.where("label <> most").select("cluster", "v", "label", "set", F.lit(1).cast("long").alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), block.alias("block"))
+            met = all_of.unionByName(out_of).select(F.xxhash64("cluster", "part", "block").alias("key"), "v", "role", "label", "set")
+            links = links.union(confirm(met, "links"))
+        stage.drop(big)
+    label = components(stage, links).select(F.col("node").alias("v"), F.col("component").alias("label"))
+    named = stage.write(heads.select("v", "s1", "s2", "id").join(label, "v", "left").withColumn("label", F.coalesce("label", "v")), "labels")
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = stage.write(named.join(least, "label").select("s1", "s2", "component_id"), "components")
+    stage.drop(sets, clusters, heads)
+    stage.release()
+    out = every.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(named, ["s1", "s2"], "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85, agree=38)
 
 
 ORACLE = r"""

@@ -7,6 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerloom.llm import near_dedup
 from ledgerloom.llm import wordkernel as wk
 from ledgerloom.llm.near_dedup import near_duplicates, shingle_sets
 from ledgerloom.llm.substring_dedup import cleaned, cover_for, remove_repeats
@@ -109,11 +110,35 @@ def test_near_duplicates_against_brute_force(spark):
     rows += [(500, None), (501, ""), (502, "a b"), (503, "A  b"), (504, "a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute_components(rows)
-    for how in ({}, {"leaf": 4, "work": 20}):  # small nodes; nodes that must branch
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark, df, **how).collect()}
+    for how in ({}, {"leaf": 4}, {"leaf": 2, "levels": 1, "task_sets": 8}):  # small nodes; nodes that must branch; clusters beyond a task
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark, df, percent=85, agree=38, **how).collect()}
         assert got == want
 
 
+def test_hot_nodes_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 8)
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in (70, 30, 3):
+        base = [f"h{x}" for x in rng.integers(0, 10**6, 120)]
+        for _ in range(size):
+            w = list(base)
+            for k in rng.integers(0, len(w), int(rng.integers(0, 4))):
+                w[k] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"leaf": 8}, {"leaf": 2, "levels": 2, "task_hashes": 1000}):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark, df, percent=85, agree=38, **how).collect()}
+        assert got == brute_components(rows)
+
+
+def test_one_id_with_two_texts_links_both(spark):
+    a, b = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (8, " ".join([*b, "y"])), (None, " ".join([*a, "z"]))]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 5), (5, 5), (5, 5), (7, 5), (8, 5)]
+
+
 def test_near_duplicates_edge_cases(spark, odd, none):
     rows = near_duplicates(spark, odd).collect()
     assert len(rows) == odd.count()
