@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = _key(docs)
     stage = Stage(spark, "pipeline-rows")
     keyed = stage.write(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    groups = near_dedup.near_duplicates(spark, keyed.select(F.col(key).alias("doc_id"), "text"), percent=80, agree=34).where("n_shingles > 0")
+    groups = near_dedup.near_duplicates(spark, keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
     # the least doc_id of a group stays, of rows without one the first by text; equal rows differ by their keys only
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(key).alias("row"))
     rows = stage.write(groups.select(F.col("doc_id").alias("row"), "component_id").join(keyed.select(F.col(key).alias("row"), rank.alias("rank")), "row"), "groups")
@@ -70,5 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents in turn."""
     stage, docs = Stage(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, step in STAGES:
-        docs = stage.write(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage.write(step(spark, docs, sf_dir), name)
+        stage.drop(before)  # of written tables only
+        stage.release()
     return docs
