@@ -10,7 +10,9 @@ machine over bytes that keeps at most three bytes of an unfinished character.
 
 Nulls are empty texts: 0 tokens. The text <|endoftext|> is the vocabulary's special token, as in the tokenizers
 library. Repeated rows, ties and null doc_ids are encoded row by row; other columns are ignored; an empty table
-gives an empty result; long texts are cut into chunks of rows, a long row stands alone.
+gives an empty result. Texts are read in chunks of rows; a text longer than a chunk in windows, whose ids pass through
+the decoder and the digests and are held no longer. Short pre-tokens, of at most twice the lookahead, fit the
+transducer's buffer whole: one fill of it gives their ids, which a memo keeps.
 """
 
 from __future__ import annotations
@@ -124,7 +126,33 @@ class Transducer:
 @functools.lru_cache(2)
 def transducer(path: str) -> tuple[Transducer, Encoder]:
     t = Transducer(path)
-    return t, Encoder(t.encode_pieces, t.special_id)
+    return t, Encoder(t.encode_pieces, t.special_id, t.stream)
+
+
+def _whole(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a chunk; a long text's are gathered from its windows."""
+    if len(offsets) == 2 and len(data) > wk.CHUNK_BYTES:
+        ids = np.concatenate([np.zeros(0, np.int32), *encoder.long(data)])
+        return ids, np.array([0, len(ids)])
+    return encoder.chunk(data, offsets)
+
+
+def _streamed(t: Transducer, encoder: Encoder, data: np.ndarray, name: list[bytes]) -> tuple[list, list, list]:
+    """The digests of one long text: ids leave window by window, go through the decoder at once, and are forgotten."""
+    n, hashed, back = 0, hashlib.sha256(), hashlib.sha256()
+
+    def ids() -> Iterator[int]:
+        nonlocal n
+        for part in encoder.long(data):
+            own = part.tolist()
+            if own:
+                hashed.update(b"," * bool(n) + b",".join(map(name.__getitem__, own)))
+            n += len(own)
+            yield from own
+
+    for part in t.decode(ids()):
+        back.update(part.encode())
+    return [n], [hashed.hexdigest()], [back.hexdigest()]
 
 
 def _digest(path: str):
@@ -133,6 +161,9 @@ def _digest(path: str):
         name = [b"%d" % i for i in range(len(t.bytes_of))]
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(b.column("text")):
+                if hi - lo == 1 and len(data) > wk.CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, 1), *map(pa.array, _streamed(t, encoder, data, name))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    continue
                 ids, first = encoder.chunk(data, offsets)
                 hashes, decoded = [], []
                 for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -152,7 +183,7 @@ def _ids(path: str):
         _, encoder = transducer(path)
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(b.column("text")):
-                ids, first = encoder.chunk(data, offsets)
+                ids, first = _whole(encoder, data, offsets)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return run

@@ -2,31 +2,52 @@
 
 The split is that of the pattern 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+, found for a
 whole chunk of texts at once from character classes. Every pre-token is hashed; a direct-mapped table of fixed size
-answers for those met before, the rest are encoded once each.
+answers for those met before, the rest are encoded once each. Characters that this Python's Unicode tables don't
+know are classed by the library's own pre-tokenizer, when one is met.
+
+A text longer than a chunk is read in windows. What a window's end may still change is held back: its last pre-token,
+and the two characters that a contraction may take. A pre-token longer than a window is encoded as it streams.
 """
 
 from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 
 from . import wordkernel as wk
 
-LETTER, NUMBER, SPACE, OTHER, NONE = range(5)
+LETTER, NUMBER, SPACE, OTHER, NONE, UNKNOWN = range(6)
 SPECIAL = "<|endoftext|>"
+WINDOW = 1 << 20
 
 
 @functools.cache
-def classes() -> np.ndarray:
+def _classes() -> np.ndarray:
     kind = {"L": LETTER, "N": NUMBER}
-    out = np.array([kind.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)], np.uint8)
+    out = np.array([UNKNOWN if (c := unicodedata.category(chr(i))) == "Cn" else kind.get(c[0], OTHER) for i in range(0x110000)], np.uint8)
     out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
     return out
 
 
+def classes(cp: np.ndarray) -> np.ndarray:
+    """The class of each code point."""
+    known = _classes()
+    out = known[cp]
+    new = np.unique(cp[out == UNKNOWN])
+    if len(new):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        for c in new.tolist():
+            whole = [len(split(x + chr(c))) == 1 for x in "a1!"]
+            known[c] = whole.index(True) if whole[:2] != [False, False] else OTHER
+        out = known[cp]
+    return out
+
+
 @functools.cache
 def _values() -> np.ndarray:
     return wk.mix(np.arange(1, 0x110001, dtype=np.uint64))
@@ -37,7 +58,7 @@ def starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     n = len(cp)
     if not n:
         return np.zeros(0, np.int64)
-    cls = classes()[cp]
+    cls = classes(cp)
     head = np.zeros(n + 1, bool)
     head[first] = True
     prev = np.full(n, NONE, np.uint8)
@@ -65,10 +86,12 @@ def starts(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts, by chunk. encode: a list of pre-tokens to a list of id lists."""
+    """Ids of whole texts, by chunk. encode: a list of pre-tokens to a list of id lists; stream: the parts of one
+    pre-token to its ids."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], special_id: int, slots: int = 1 << 22, most: int = 1 << 21):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], special_id: int, stream: Callable[[Iterable[bytes]], Iterator[int]] | None = None, slots: int = 1 << 22, most: int = 1 << 21):
         self.encode_pieces, self.special_id, self.most = encode, special_id, most
+        self.stream = stream or (lambda parts: iter(encode([b"".join(parts).decode()])[0]))
         self.mask = np.uint64(slots - 1)
         self.key, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
         self.clear()
@@ -113,6 +136,41 @@ class Encoder:
         ids = self.ids[np.arange(stop[-1]) + np.repeat(self.off[entry] - stop[:-1], size)]
         return ids, stop[np.searchsorted(begin, first)]
 
+    def long(self, data: np.ndarray, window: int = WINDOW) -> Iterator[np.ndarray]:
+        """Ids of one text, window by window."""
+        mark = SPECIAL.encode()
+        raw, at = memoryview(data), 0
+        find = data.tobytes().find if len(data) <= window else functools.partial(_find, raw)
+        while True:
+            cut = find(mark, at)
+            yield from self._plain(raw[at : cut if cut >= 0 else len(raw)], window)
+            if cut < 0:
+                return
+            yield np.array([self.special_id], np.int32)
+            at = cut + len(mark)
+
+    def _plain(self, raw: memoryview, window: int) -> Iterator[np.ndarray]:
+        at, size = 0, len(raw)
+        while at < size:
+            end = min(size, at + window)
+            while end < size and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            if end < size:
+                text = bytes(raw[at:end]).decode()
+                cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                begin = starts(cp, np.zeros(1, np.int64))
+                begin = begin[begin < len(cp) - 3]
+                if begin[-1] == 0:  # one pre-token fills the window
+                    parts = _Giant(raw, at, window, int(classes(cp[min(1, len(cp) - 1) :][:1])[0]), cp)
+                    for ids in _batched(self.stream(parts)):
+                        yield np.array(ids, np.int32)
+                    at = parts.end
+                    continue
+                end = at + len(text[: int(begin[-1])].encode())
+            part = np.frombuffer(raw[at:end], np.uint8)
+            yield self.chunk(part, np.array([0, len(part)]))[0]
+            at = end
+
     def _special(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mark = SPECIAL.encode()
         rows = [raw[s:e].split(mark) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -126,3 +184,56 @@ class Encoder:
             out.append(np.concatenate(ids))
             stop.append(stop[-1] + len(out[-1]))
         return np.concatenate(out), np.array(stop)
+
+
+def _find(raw: memoryview, mark: bytes, at: int, window: int = WINDOW) -> int:
+    """bytes.find over a view, window by window."""
+    while at < len(raw):
+        found = bytes(raw[at : at + window + len(mark)]).find(mark)
+        if found >= 0:
+            return at + found
+        at += window
+    return -1
+
+
+def _batched(ids: Iterator[int], most: int = 1 << 16) -> Iterator[list[int]]:
+    held: list[int] = []
+    for i in ids:
+        held.append(i)
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+class _Giant:
+    """Bytes, in parts, of a pre-token that goes on over windows; end: where it ends. White space gives its last
+    character up to what follows it."""
+
+    def __init__(self, raw: memoryview, at: int, window: int, kind: int, cp: np.ndarray):
+        self.raw, self.at, self.window, self.kind, self.end = raw, at, window, kind, at
+
+    def __iter__(self) -> Iterator[bytes]:
+        at, size, first = self.at, len(self.raw), True
+        while at < size:
+            end = min(size, at + self.window)
+            while end < size and self.raw[end] & 0xC0 == 0x80:
+                end -= 1
+            text = bytes(self.raw[at:end]).decode()
+            cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            same = classes(cp) == self.kind
+            if first:
+                same[0] = True
+            stop = len(cp) if same.all() else int(np.argmin(same))
+            over = stop < len(cp)
+            if self.kind == SPACE and not over and end < size:  # hold the last one back
+                stop -= 1
+            if self.kind == SPACE and over and stop > 1:
+                stop -= 1
+            part = text[:stop].encode()
+            yield part
+            at += len(part)
+            self.end, first = at, False
+            if over:
+                return

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .bpe import default_vocabulary
+from .bpe import _whole, default_vocabulary
 from .common import Stage, fields, shuffle_partitions, table
 from .pieces import SPECIAL, Encoder
 
@@ -57,7 +57,7 @@ def _encode(path: str, end_id: int):
         encoder, seq = _library(path), 0
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(b.column("text")):
-                ids, first = encoder.chunk(data, offsets)
+                ids, first = _whole(encoder, data, offsets)
                 rows = hi - lo
                 ids = np.insert(ids, first[1:], end_id).astype(np.int32)
                 first = first + np.arange(rows + 1)

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -85,3 +86,38 @@ def test_files(spark, odd, none, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in plan
     token_files.write_ids(none, str(tmp_path / "none"), PATH)
     assert token_files.file_digests(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_every_code_point_is_classed_as_the_library_does():
+    for lo in range(0, 0x110000, 1 << 14):
+        points = [c for c in range(lo, lo + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"{chr(c)}'s x{chr(c)}'ll 1{chr(c)}!'re{chr(c)} \n" for c in points)
+        if not text:
+            continue
+        if lo >= 0x40000 and lo & 0x3FFFF:  # unassigned planes: a part of each
+            continue
+        (got,), want = encode([text], 1 << 30), LIBRARY.encode(text, add_special_tokens=False).ids
+        assert got == want, hex(lo)
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "word " * 900, " " * 3000 + "x", "x" + "\n " * 2000, "don't " * 700, "日本" * 900 + " é" * 500, "!?" * 2000 + "a", "1" * 3000 + "b" * 3000, "ab'" * 1500, "x<|endoftext|>" * 300, "'ll" * 900, "\u3000" * 2000 + "z", " a" + "b" * 3000 + " \t\n" * 800])
+@pytest.mark.parametrize("window", [97, 1000])
+def test_windows_give_the_whole_texts_ids(text, window):
+    _, encoder = bpe.transducer(PATH)
+    got = [i for part in encoder.long(np.frombuffer(text.encode(), np.uint8), window) for i in part.tolist()]
+    assert got == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_take_the_memory_of_a_window(spark):
+    text = "some words and don't 日本 " * 40_000
+    _, encoder = bpe.transducer(PATH)
+    peaks = []
+    for times in (1, 1, 4):  # the first fills tables that stay
+        data = np.frombuffer((text * times).encode(), np.uint8)
+        tracemalloc.start()
+        n = sum(len(x) for x in encoder.long(data, 1 << 16))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < 1.3 * peaks[1] and n > 1_000_000
+    (row,) = bpe.digests(spark.createDataFrame([(1, text * 4)], "doc_id long, text string"), PATH).collect()
+    assert (row["n_tokens"], row["decoded_sha256"]) == (n, hashlib.sha256((text * 4).encode()).hexdigest())
