@@ -75,10 +75,10 @@ def by_key(df: DataFrame, *then: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key", *then)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """Batches of by_key, cut between keys. With `most`, a key of more rows comes alone, in pieces that say True."""
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of by_key, cut between keys."""
     held: list[pa.RecordBatch] = []
-    key, begun = 0, False
+    key = 0
 
     def joined() -> pa.RecordBatch:
         return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -88,20 +88,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[t
             continue
         k = b.column("key").to_numpy()
         cut = 0
-        if held or begun:
+        if held:
             cut = int(np.searchsorted(k, key, "right"))
             if cut:
                 held.append(b.slice(0, cut))
         if cut < b.num_rows:
             if held:
-                yield joined(), begun
-            key, begun = int(k[-1]), False
+                yield joined()
+            key = int(k[-1])
             last = int(np.searchsorted(k, key))
             if last > cut:
-                yield b.slice(cut, last - cut), False
+                yield b.slice(cut, last - cut)
             held = [b.slice(last)]
-        if most and sum(x.num_rows for x in held) > most:
-            yield joined(), True
-            held, begun = [], True
     if held:
-        yield joined(), begun
+        yield joined()

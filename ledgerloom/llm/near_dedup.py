@@ -4,13 +4,15 @@ A document's set: distinct k-word shingles (A-Z lower-cased; with fewer words th
 folded to one vertex. Each set gets minwise values at COORDINATES coordinates; four bits of each make its sketch.
 
 Search (on sketches only). Each of `roots` independent trees puts a set at the root node of its minwise value. A node
-of at most `leaf` sets is compared exhaustively. A larger one is compared with PIVOTS of its sets; sets within CORE
-sketch positions of a pivot are done there (whatever is near them is within CORE + near of that pivot, by the triangle
-inequality, and is tied to it), all others branch to `branches` child nodes by their values at coordinates chosen by
-the node's own hash. A node beyond `levels` is compared in full, so no pair is dropped. Two sets of similarity s share
-a root but for (1 - s)**9 (4e-8 at 0.85, 5e-7 at 0.8), a child node of one tree but for (1 - s)**5 a level, and their
-sketches agree in at least `agree` of 64 positions (38 at 0.85, 34 at 0.8) but for 1e-7. A task ties the sets of a
-node together by fewer links than it has sets; never by all of its pairs.
+of at most `leaf` sets is compared exhaustively. A larger one is compared with PIVOTS of its sets: whatever is within
+near + CORE sketch positions of a pivot is tied to it. Sets not tied to the pivots that most are tied to, if they are few, meet
+all sets of the node. If they are many, they branch, with those tied but further than CORE from all pivots, to `branches`
+child nodes by their values at two coordinates each, chosen by the node's own hash. (Whatever is near a set within CORE of
+a pivot is tied to that pivot, by the triangle inequality: those sets are done.) A node beyond `levels` is compared in
+full, so no pair is dropped. Two sets of similarity s share a root but for (1 - s)**9 (4e-8 at 0.85, 5e-7 at 0.8), a
+child node of one tree but for about (1 - s * s)**10 a level (3e-6 and 4e-5), and their sketches agree in at least `agree` of 64 positions (38 at
+0.85, 34 at 0.8) but for 1e-7. A task ties the sets of a node together by links of about as many as it has sets; never
+by all of its pairs.
 
 Confirmation (on full sets). What is tied together is a cluster; two linked sets are in one. A cluster's full sets meet in
 one task, which finds its true components: from each set reached, all sets not yet reached are compared, exactly, so
@@ -18,8 +20,8 @@ copies of one text are settled by one set's comparisons. A cluster beyond `task_
 in parts that all hold a few of its sets; then those outside its largest component meet all of it, block by block.
 Links join into components by distributed star rounds.
 
-Hot nodes, those with over 1/16384 of all entries, are at most 16384: they alone are broadcast, and dealt
-out over tasks, each part with the node's pivots.
+Hot nodes, those with over 1/16384 of all entries or HOT of them, are dealt out over tasks in parts of about CHUNK, each
+part with the node's pivots. Their names are broadcast behind a check of their number.
 
 Nulls and texts without words: empty set, linked with nothing, component of its own. Rows are documents of their own,
 also where doc_ids repeat or are null: rows of one id with different texts have different sets. component_id is the
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
@@ -42,6 +44,9 @@ from .components import components
 COORDINATES, POOL = 64, 24
 PIVOTS, CORE = 4, 10
 CHUNK = 2048  # sets a task takes of a hot node
+HOT = 1 << 16  # sets of a node that one task may take
+FEW, WORK = 1024, 1 << 22  # others of a hot node that all its sets meet; comparisons of others in a node's task
+TIE, MAIN, OTHER, RIM = range(4)  # rows of the search: ties; a part's main pivot; sets not tied to it; those tied, but far
 _ODD = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 KEYS = ["k1", "k2", "k3", "k4"]  # four bits of each coordinate, sixteen coordinates a long
 _ONES = np.uint64(0x1111111111111111)
@@ -110,9 +115,8 @@ class Search:
 
     def __init__(self, near: int, percent: int, leaf: int, last: bool):
         self.near, self.percent, self.leaf, self.last = near, percent, leaf, last
-        self.pivots: tuple[int, np.ndarray, np.ndarray] | None = None
         self.ties: list[np.ndarray] = []
-        self.down: list[np.ndarray] = []
+        self.rows: list[tuple[int, np.ndarray, int]] = []  # node, sets, kind
 
     def close(self, k: np.ndarray, n: np.ndarray, k2: np.ndarray, n2: np.ndarray) -> np.ndarray:
         return (np.minimum(n, n2) * 100 >= np.maximum(n, n2) * self.percent) & (_apart(k, k2) <= self.near)
@@ -158,58 +162,78 @@ class Search:
                 queue += found.tolist()
                 left = left[~hit]
 
-    def large(self, key: int, v: np.ndarray, k: np.ndarray, fresh: bool) -> None:
-        """Pivots: a node's first sets; the rest is tied to them, done, or goes down."""
-        if fresh or self.pivots is None or self.pivots[0] != key:
-            self.pivots = (key, v[:PIVOTS].copy(), k[:PIVOTS].copy())
-        _, pv, pk = self.pivots
+    def join(self, some: np.ndarray, v: np.ndarray, n: np.ndarray, k: np.ndarray) -> None:
+        """Some sets meet all; one is tied only to what no earlier tie reaches."""
+        label = np.arange(len(v))
+        for i in some.tolist():
+            hit = np.flatnonzero(self.close(k, n, k[i], n[i]) & (label != label[i]))
+            if len(hit):
+                old, one = np.unique(label[hit], return_index=True)
+                self.ties.append(np.stack([np.full(len(one), v[i]), v[hit[one]]], 1))
+                label[np.isin(label, old)] = label[i]
+
+    def large(self, node: int, v: np.ndarray, n: np.ndarray, k: np.ndarray, hot: bool) -> None:
+        """Pivots: a node's first sets. Sets tied to the pivots most are tied to are settled among themselves; the
+        others meet all sets, here if these are all of the node and few enough."""
+        pv, pk = v[:PIVOTS], k[:PIVOTS]
         apart = np.stack([_apart(k, p) for p in pk], 1)
         tied = apart <= self.near + CORE
-        first = np.argmax(tied, 1)
-        some = tied.any(1)
+        first, some = np.argmax(tied, 1), tied.any(1)
         self.ties.append(np.stack([pv[first[some]], v[some]], 1))
+        part = np.arange(len(pv))  # pivots tied by a set they share
         for p in range(1, len(pv)):
-            both = np.unique(first[some & tied[:, p]])
-            self.ties.append(np.stack([pv[both], np.full(len(both), pv[p])], 1))
-        go = apart.min(1) > CORE
-        if go.any():
-            self.down.append(np.unique(v[go]))
-
-    def take(self, b: pa.RecordBatch, piece: bool) -> Iterator[pa.RecordBatch]:
-        key, v, n = (b.column(c).to_numpy() for c in ("key", "v", "n"))
-        node = b.column("node").to_numpy()
+            for q in np.unique(first[tied[:, p]]).tolist():
+                self.ties.append(np.array([[pv[q], pv[p]]]))
+                part[part == part[p]] = part[q]
+        mine = np.where(some, part[first], -1)
+        main = int(np.bincount(mine[some]).argmax())
+        other = np.flatnonzero(mine != main)
+        if hot:
+            self.rows.append((node, pv[[main]], MAIN))
+        elif len(other) * len(v) <= WORK:
+            self.join(other, v, n, k)
+            return
+        self.rows.append((node, np.unique(v[other]), OTHER))
+        self.rows.append((node, np.unique(v[(mine == main) & (apart.min(1) > CORE)]), RIM))
+
+    def take(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, node, v, n = (b.column(c).to_numpy() for c in ("key", "node", "v", "n"))
         hot = b.column("hot").to_numpy(zero_copy_only=False)
         k = np.stack([b.column(c).to_numpy().view(np.uint64) for c in KEYS], 1)
-        self.ties, out = [], []
-        if piece:
-            self.down = []
-            self.large(int(key[0]), v, k, False)
-            out += [(int(node[0]), x) for x in self.down]
-        else:
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            size = np.diff(edge)
-            each = np.where(np.repeat(hot[edge[:-1]], size), 17, np.repeat(size, size))
-            self.small(key, v, n, k, each)
-            for g in np.flatnonzero((size > 16) | hot[edge[:-1]]).tolist():
-                s, e = int(edge[g]), int(edge[g + 1])
-                if (size[g] > self.leaf or hot[s]) and not self.last:
-                    self.down = []
-                    self.large(int(key[s]), v[s:e], k[s:e], True)
-                    out += [(int(node[s]), x) for x in self.down]
-                else:
-                    self.all(v[s:e], n[s:e], k[s:e])
+        self.ties, self.rows = [], []
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size = np.diff(edge)
+        self.small(key, v, n, k, np.where(np.repeat(hot[edge[:-1]], size), 17, np.repeat(size, size)))
+        for g in np.flatnonzero((size > 16) | hot[edge[:-1]]).tolist():
+            s, e = int(edge[g]), int(edge[g + 1])
+            if (size[g] > self.leaf or hot[s]) and not self.last:
+                self.large(int(node[s]), v[s:e], n[s:e], k[s:e], bool(hot[s]))
+            else:
+                self.all(v[s:e], n[s:e], k[s:e])
+        yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
         ties = np.concatenate(self.ties) if self.ties else np.zeros((0, 2), np.int64)
         ties = ties[ties[:, 0] != ties[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1]), pa.array(np.zeros(len(ties), bool))], ["a", "b", "down"])
-        for at, x in out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), at)), pa.array(x), pa.array(np.ones(len(x), bool))], ["a", "b", "down"])
+        for at, x, kind in [(ties[:, 0], ties[:, 1], TIE), *((np.full(len(x), node), x, kind) for node, x, kind in self.rows)]:
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(x), pa.array(np.full(len(x), kind, np.int32))], ["a", "b", "kind"])
+
+    def meet(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Sets of role 1 meet all of their key; a set that meets several is tied to each."""
+        key, v, n, role = (b.column(c).to_numpy() for c in ("key", "v", "n", "role"))
+        k = np.stack([b.column(c).to_numpy().view(np.uint64) for c in KEYS], 1)
+        self.ties, self.rows = [], []
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            self.join(np.flatnonzero(role[s:e]), v[s:e], n[s:e], k[s:e])
+        yield from self.out()
 
 
-def _meet(near: int, percent: int, leaf: int, last: bool):
+def _meet(near: int, percent: int, leaf: int, last: bool, others: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(near, percent, leaf, last)
-        for b, piece in whole_groups(batches, 0 if last else max(2 * leaf, 1 << 16)):
-            yield from search.take(b, piece)
+        for b in whole_groups(batches):
+            yield from search.meet(b) if others else search.take(b)
 
     return run
 
@@ -265,7 +289,7 @@ def _links(percent: int):
     """Of each key's sets: links that give its components. Sets of role 1, if there are any, meet all of another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _ in whole_groups(batches):
+        for b in whole_groups(batches):
             key = b.column("key").to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             a_out, b_out = [], []
@@ -316,48 +340,64 @@ def _links(percent: int):
 def _ties(stage: Stage, heads: DataFrame, percent: int, roots: int, branches: int, levels: int, leaf: int, near: int) -> DataFrame:
     """heads(v, n, k1..k4, sig) to ties (a, b): linked sets are tied together."""
 
-    def choose(count: int, node: Column | None) -> Column:
-        at = (lambda i: i) if node is None else (lambda i: F.pmod(F.xxhash64(node) + i * 7, F.lit(POOL)).cast("int") + roots)
-        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(at(i).alias("i"), F.get("sig", at(i)).alias("x"))))
-
+    first = F.explode(F.transform(F.sequence(F.lit(0), F.lit(roots - 1)), lambda i: F.struct(i.alias("i"), F.get("sig", i).alias("x")))).alias("c")
+    # a child is named by the values at two coordinates, which differ from node to node
+    pool = lambda i, j: F.get("sig", F.pmod(F.xxhash64("node", i, F.lit(j)), F.lit(POOL)).cast("int") + roots)
+    child = F.explode(F.transform(F.sequence(F.lit(0), F.lit(branches - 1)), lambda i: F.struct(i.alias("i"), pool(i, 0).alias("x"), pool(i, 1).alias("y")))).alias("c")
     found: list[DataFrame] = []
-    rows = heads.select("v", "n", *KEYS, choose(roots, None).alias("c")).select(F.xxhash64("c.i", "c.x").alias("node"), "v", "n", *KEYS)
+    rows = heads.select("v", "n", *KEYS, first).select(F.xxhash64("c.i", "c.x").alias("node"), "v", "n", *KEYS)
     total, down = heads.count() * roots, None
+    zero = F.lit(0).cast("long")
+    parts, seat = F.ceil(F.col("c") / CHUNK), F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / CHUNK))
+    spread = F.explode(F.sequence(zero, parts - 1)).alias("part")
     for level in range(levels + 1):
         last = level == levels
-        single = rows.withColumn("key", F.col("node")).withColumn("hot", F.lit(False)).withColumn("role", F.lit(1))
+        dealt = rows.withColumn("key", F.col("node")).withColumn("hot", F.lit(False)).withColumn("role", F.lit(1))
+        hot = None
         if not last:
-            most = max(CHUNK, total // 16384)
-            hot = stage.write(rows.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") > most), "hot")  # at most 16384
-            if not hot.isEmpty():
-                hot = F.broadcast(hot)
-                seat = F.xxhash64("v", F.lit(level))
-                pivot = F.min(F.struct(seat.alias("s"), "v", "n", *KEYS)).alias("p")
-                pivots = rows.join(hot, "node").groupBy("node", "c", F.pmod(seat, F.lit(PIVOTS))).agg(pivot)
-                parts = F.ceil(F.col("c") / CHUNK)
-                key = F.xxhash64("node", "part")
-                led = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("node", "p.v", "p.n", *[f"p.{x}" for x in KEYS], key.alias("key"), F.lit(True).alias("hot"), F.lit(0).alias("role"))
-                dealt = rows.join(hot, "node", "left").withColumn("part", F.pmod(F.xxhash64("v"), parts))
-                dealt = dealt.select("node", "v", "n", *KEYS, F.when(F.col("c").isNull(), F.col("node")).otherwise(key).alias("key"), F.col("c").isNotNull().alias("hot"), F.lit(1).alias("role"))
-                single = dealt.unionByName(led)
-        met = stage.write(by_key(single, "role").mapInArrow(_meet(near, percent, leaf, last), "a long, b long, down boolean"), "met")
+            hot = stage.write(rows.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") > min(max(CHUNK, total // 16384), HOT)), "hot")
+            many = hot.count()
+            hot = (F.broadcast(hot) if many <= 1 << 17 else hot) if many else None
+        if hot is not None:
+            key, order = F.xxhash64("node", "part").alias("key"), F.xxhash64("v", F.lit(level))
+            pivots = rows.join(hot, "node").groupBy("node", "c", F.pmod(order, F.lit(PIVOTS))).agg(F.min(F.struct(order.alias("s"), "v", "n", *KEYS)).alias("p"))
+            led = pivots.select("node", "p.v", "p.n", *[f"p.{x}" for x in KEYS], spread).select("node", "v", "n", *KEYS, key, F.lit(True).alias("hot"), F.lit(0).alias("role"))
+            dealt = rows.join(hot, "node", "left").withColumn("part", seat)
+            dealt = dealt.select("node", "v", "n", *KEYS, F.when(F.col("c").isNull(), F.col("node")).otherwise(F.xxhash64("node", "part")).alias("key"), F.col("c").isNotNull().alias("hot"), F.lit(1).alias("role")).unionByName(led)
+        met = stage.write(by_key(dealt, "role", "v").mapInArrow(_meet(near, percent, leaf, last), _MET), "met")
+        found.append(met.where(F.col("kind") == TIE).select("a", "b"))
+        rest = met.where(F.col("kind") >= OTHER).select(F.col("a").alias("node"), F.col("b").alias("v"), "kind")
+        if hot is not None:
+            # hot nodes with one main pivot and few others: these meet all sets of the node, part by part
+            count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+            told = met.where(F.col("kind") != TIE).groupBy(F.col("a").alias("node")).agg(F.min(F.when(F.col("kind") == MAIN, F.col("b"))).alias("m0"), F.max(F.when(F.col("kind") == MAIN, F.col("b"))).alias("m1"), count(OTHER).alias("others"))
+            settled = stage.write(told.where((F.col("m0") == F.col("m1")) & (F.col("others") <= FEW)).select("node", "others"), "settled")
+            rest = rest.join(settled, "node", "left_anti")
+            some = settled.where("others > 0")
+            if not some.isEmpty():
+                every = rows.join(hot, "node").join(some, "node")
+                out = met.where(F.col("kind") == OTHER).select(F.col("a").alias("node"), F.col("b").alias("v")).join(some, "node")
+                out = out.join(hot, "node").join(heads.select("v", "n", *KEYS), "v").select("node", "v", "n", *KEYS, spread, F.lit(1).alias("role"))
+                every = every.select("node", "v", "n", *KEYS, seat.alias("part"), F.lit(0).alias("role")).unionByName(out).withColumn("key", F.xxhash64("node", "part"))
+                found.append(stage.write(by_key(every, "v").mapInArrow(_meet(near, percent, leaf, last, True), _MET), "others").select("a", "b"))
         stage.release()
-        found.append(met.where("not down").select("a", "b"))
-        rest = met.where("down").select(F.col("a").alias("node"), F.col("b").alias("v")).distinct()
-        if down is not None:
-            stage.drop(down)
-        if last or (total := met.where("down").count() * branches) == 0:
+        if last:
+            break
+        down = stage.write(rest.select("node", "v").distinct().join(heads.select("v", "n", *KEYS, "sig"), "v"), "down")
+        if (total := down.count() * branches) == 0:
             break
-        down = stage.write(rest.join(heads.select("v", "n", *KEYS, "sig"), "v"), "down")
-        rows = down.select("v", "n", *KEYS, "node", choose(branches, F.col("node")).alias("c")).select(F.xxhash64(F.lit(level + 1), "node", "c.i", "c.x").alias("node"), "v", "n", *KEYS)
+        rows = down.select("v", "n", *KEYS, "node", child).select(F.xxhash64(F.lit(level + 1), "node", "c.i", "c.x", "c.y").alias("node"), "v", "n", *KEYS)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out.toDF("u", "v")
 
 
+_MET = "a long, b long, kind int"
+
+
 def near_duplicates(
-    spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, roots: int = 9, branches: int = 5, levels: int = 8, leaf: int = 256, agree: int = 34, task_sets: int = 4096, task_hashes: int = 1 << 21
+    spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, roots: int = 9, branches: int = 10, levels: int = 4, leaf: int = 2048, agree: int = 34, task_sets: int = 4096, task_hashes: int = 1 << 21
 ) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id, kept for every row; `agree` belongs to `percent`."""
     stage = Stage(spark, "near-dedup")
