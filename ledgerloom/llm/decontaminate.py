@@ -9,7 +9,7 @@ missed, however long it is. Documents too small for a partition are skipped. Can
 containment of the whole item in the whole document.
 
 Document shingles stream through the join with the sketches, which are handed to all tasks behind a check of their
-number and shuffled otherwise; only verified pairs (doc_id, item_id) are aggregated, in each task first. Everything is
+number, as the items' own shingles are behind a check of theirs; beyond either both are shuffled. Only verified pairs (doc_id, item_id) are aggregated, in each task first. Everything is
 DataFrame expressions.
 
 Nulls, empty texts and items without words match nothing. Repeated items count each by item_id; items sharing an id
@@ -35,11 +35,11 @@ def shingles_of(words: str, k: Column) -> Column:
     return F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, broadcast_rows: int = 1 << 17) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, broadcast_rows: int = 1 << 17, broadcast_hashes: int = 1 << 22) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment for every document that holds at least threshold of an item.
 
-    Up to broadcast_rows sketch rows, each with its item's shingles, are handed to all tasks, and a candidate is
-    verified where its document's shingles are; beyond that candidates are found by a shuffled join and verified in a
+    Up to broadcast_rows sketch rows (24 bytes each) and items of up to broadcast_hashes shingles (8 bytes each) are
+    handed to all tasks, and a candidate is verified where its document's shingles are; beyond that candidates are found by a shuffled join and verified in a
     second reading of their documents."""
     stage = Stage(spark, "decontaminate")
     docs = fields(docs, doc_id="long", text="string").where("doc_id is not null")
@@ -47,24 +47,28 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
     items = fields(items, item_id="long", text="string").where("item_id is not null").withColumn("w", words_of("text")).where("size(w) > 0")
     items = items.select("item_id", F.least(F.size("w"), F.lit(shingle)).alias("k"), "w")
     items = items.withColumn("own", F.sort_array(shingles_of("w", F.col("k")))).withColumn("n", F.size("own")).withColumn("part", F.ceil(F.log2(F.col("n").cast("double"))).cast("int")).select("item_id", "k", "own", "n", "part")
-    items = stage.write(items.withColumn("upper", F.least(F.expr("cast(pow(2, part) as int)"), F.lit(1 << 30))), "items")
+    items = items.withColumn("upper", F.least(F.expr("cast(pow(2, part) as int)"), F.lit(1 << 30)))
     spare = F.greatest(F.col("upper") - need(F.col("upper")), F.col("n") - need(F.col("n"))) + 1
-    sketch = items.select("item_id", "k", "n", "own", F.explode(F.slice("own", 1, F.least(spare, F.col("n")))).alias("h"))
+    # items that share an id are one item each text, so they need a name of their own
+    items = stage.write(items.withColumn("item", F.monotonically_increasing_id()), "named")
+    sketch = items.select("item", "item_id", "k", "n", F.explode(F.slice("own", 1, F.least(spare, F.col("n")))).alias("h"))
     lengths = {r["k"]: r["many"] for r in sketch.groupBy("k").agg(F.count("*").alias("many")).collect()}  # at most `shingle` rows
+    hashes = {r["k"]: r["many"] for r in items.groupBy("k").agg(F.sum("n").alias("many")).collect()}
     out = spark.createDataFrame([], "doc_id long, item_id long, n_item int, n_shared int")
     for k, many in sorted(lengths.items()):
         sets = docs.select("doc_id", words_of("text").alias("w")).select("doc_id", shingles_of("w", F.lit(k)).alias("s"))
         mine = sketch.where(F.col("k") == k).drop("k")
         shared = F.size(F.array_intersect("own", "s")).alias("n_shared")
         # outer: a filter inferred for explode would be pushed below the words and split the text for every shingle
-        if many <= broadcast_rows:
+        if many <= broadcast_rows and hashes[k] <= broadcast_hashes:
             told = sets.select("doc_id", "s", F.size("s").alias("size"), F.explode_outer("s").alias("h"))
-            both = told.join(F.broadcast(mine), "h").where(F.col("size") >= need(F.col("n"))).select("doc_id", "item_id", F.col("n").alias("n_item"), shared)
+            met = told.join(F.broadcast(mine), "h").where(F.col("size") >= need(F.col("n")))
+            both = met.join(F.broadcast(items.select("item", "own")), "item").select("doc_id", "item_id", F.col("n").alias("n_item"), shared)
         else:
             told = sets.select("doc_id", F.size("s").alias("size"), F.explode_outer("s").alias("h"))
-            met = stage.write(told.join(mine.drop("own"), "h").where(F.col("size") >= need(F.col("n"))).select("doc_id", "item_id").distinct(), "candidates")
+            met = stage.write(told.join(mine, "h").where(F.col("size") >= need(F.col("n"))).select("doc_id", "item").distinct(), "candidates")
             stage.release()
-            whole = met.join(sets, "doc_id").join(items.where(F.col("k") == k).select("item_id", "own", "n"), "item_id")
+            whole = met.join(sets, "doc_id").join(items.select("item", "item_id", "own", "n"), "item")
             both = whole.select("doc_id", "item_id", F.col("n").alias("n_item"), shared)
         out = out.union(both.where(F.col("n_shared") >= need(F.col("n_item"))))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("m"))

@@ -4,19 +4,19 @@ Tokens: white-space words (A-Z lower-cased), then one end. Corpus counts of ever
 texts (pre-aggregated in each chunk). The model: `states` latent states emit symbols; the `own` most frequent words
 and the end are symbols of their own, every other word belongs to a class (by its last two bytes), and the word within
 its class has probability (c + 0.1) / (N_class + 0.1 * (V_class + 1)), so that unseen words have some. Training is
-one incremental Baum-Welch pass: the training texts are dealt into `rounds` equal parts by hash, and each round runs
-the scaled forward and backward recursions over its part, so that every training text is counted, once. Expected
-transitions and emissions are summed by chunk, then by partition, then over the part; what reaches the driver is the
-model's own size. The new sums replace all but `keep` of the earlier ones. A text's
-score is its exact log10 likelihood by the scaled forward recursion plus its words' log10 shares of their classes.
+incremental Baum-Welch: the training texts are dealt into `rounds` equal parts by hash, and each round runs the scaled
+forward and backward recursions over its part, so that a pass counts every training text once. Expected transitions
+and emissions are summed by chunk, then by partition, then over the part; what reaches the driver is the model's own
+size. In the first pass new sums replace all but `keep` of the earlier ones; in later ones they replace their own
+part's, so that the model then rests on all texts. Passes go on until the mean log likelihood of a token, of which
+`trace` has a value a pass, gains less than `gain`, at most `passes`. A text's score is its exact log10 likelihood by the scaled forward recursion plus its words' log10 shares of their classes.
 
 The `table_words` most frequent words' counts (a fixed bound) are handed to the tasks; the counts of all others are
 joined by hash, so no count is dropped. Encoded texts (two bytes a token) are kept as a table for the rounds.
 
 Nulls and empty texts: the end token alone. Without training texts all counts are 0 and the model is uniform.
 Repeated rows and null doc_ids (counted as training text with an empty id) are scored row by row; other columns are
-ignored. An empty table gives an empty result. Very long texts: the forward recursion is exact over the whole text; the
-backward one restarts each `segment` tokens, where the forward state is carried on.
+ignored. An empty table gives an empty result. Both recursions are exact over texts of any length.
 """
 
 from __future__ import annotations
@@ -156,45 +156,64 @@ def log10_likelihood(m: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(m: Model, texts: list[np.ndarray], segment: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch sums over texts: starts, transitions and emissions."""
+def expected(m: Model, texts: list[np.ndarray], segment: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch sums over texts: starts, transitions, emissions; and the log likelihood.
+
+    Texts longer than `segment` are read forwards once, keeping the state before each segment; then segments are taken
+    from the last to the first, each with the backward values of the one behind it. So sums are exact at any length,
+    and memory holds one segment of a batch."""
     n, states = m.emit.shape
-    begin, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((n, states))
+    begin, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((n, states)), 0.0
     turn, emits = np.ascontiguousarray(m.move.T), np.ascontiguousarray(m.emit.T)
+    before: dict[tuple[int, int], np.ndarray] = {}  # the state ahead of a text's segment
+    for i, text in enumerate(texts):
+        if len(text) > segment:
+            state = m.start
+            for t in range((len(text) - 1) // segment * segment):
+                a = (state if not t else turn @ state) * emits[:, text[t]]
+                state = a / a.sum()
+                if (t + 1) % segment == 0:
+                    before[i, t + 1] = state
+    behind: dict[int, np.ndarray] = {}  # backward values that the segment behind hands on
     carried = [(t[s : s + segment], i, s) for i, t in enumerate(texts) for s in range(0, len(t), segment)]
-    held: dict[int, np.ndarray] = {}
-    for wave in sorted({s for _, _, s in carried}):  # a text's later segments start from where the earlier ended
+    for wave in sorted({s for _, _, s in carried}, reverse=True):
         part = [(t, i) for t, i, s in carried if s == wave]
         for rows in batches_of([t for t, _ in part]):
             sym, live = padded([t for t, _ in part], rows)
             size, width = sym.shape
             alpha, weight = np.zeros((size, states, width)), np.zeros((size, states, width))
-            first = np.array([turn @ held[part[r][1]] if wave else m.start for r in rows]).T
+            ahead_of = np.array([before[part[r][1], wave] if wave else m.start for r in rows]).T
+            first = turn @ ahead_of if wave else ahead_of
             for t in range(size):
                 k = live[t]
                 e = emits[:, sym[t, :k]]
                 a = (first[:, :k] if not t else turn @ alpha[t - 1, :, :k]) * e
                 c = 1.0 / np.add.reduce(a, 0)
+                log -= float(np.log(c).sum())
                 np.multiply(a, c, out=alpha[t, :, :k])
                 np.multiply(e, c, out=weight[t, :, :k])
-            for c, r in enumerate(rows):  # the last state is carried on
-                held[part[r][1]] = alpha[len(part[r][0]) - 1, :, c].copy()
             beta = np.ones((states, width))
+            for c, r in enumerate(rows):
+                if (got := behind.pop(part[r][1], None)) is not None:
+                    beta[:, c] = got
             for t in range(size - 1, -1, -1):
                 k = live[t]
-                if t:
-                    ahead = weight[t, :, :k] * beta[:, :k]
-                    move += alpha[t - 1, :, :k] @ ahead.T
-                    alpha[t, :, :k] *= beta[:, :k]
+                ahead = weight[t, :, :k] * beta[:, :k]
+                if t or wave:
+                    move += (alpha[t - 1, :, :k] if t else ahead_of[:, :k]) @ ahead.T
+                alpha[t, :, :k] *= beta[:, :k]
+                if t or wave:
                     beta[:, :k] = m.move @ ahead
                 else:
-                    alpha[t, :, :k] *= beta[:, :k]
-                    begin += alpha[t, :, :k].sum(1) if not wave else 0.0
+                    begin += alpha[t, :, :k].sum(1)
+            if wave:
+                for c, r in enumerate(rows):
+                    behind[part[r][1]] = beta[:, c].copy()
             on = np.arange(width)[None, :] < live[:, None]
             flat = sym[on]
             for s in range(states):
                 emit[:, s] += np.bincount(flat, alpha[:, s, :][on], n)
-    return begin, move * m.move, emit
+    return begin, move * m.move, emit, np.array([log])
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
@@ -236,7 +255,38 @@ def _score(m: Model):
     return run
 
 
-def scores(spark: SparkSession, docs: DataFrame, states: int = 8, own: int = 2000, table_words: int = 1 << 16, rounds: int = 4, keep: float = 0.5) -> DataFrame:
+def train_model(encoded: DataFrame, weights: np.ndarray, states: int, rounds: int, keep: float, passes: int, gain: float, trace: list[float] | None = None) -> Model:
+    """encoded(row_id, n_tokens, symbols) to a model."""
+    n, model, trace = len(weights), initial(states, weights), [] if trace is None else trace
+    parts: list[np.ndarray] = []  # each part's latest sums
+    x = np.zeros(states + states * states + n * states)
+    for turn in range(passes):
+        log = 0.0
+        for at in range(rounds):
+            part = F.pmod(F.xxhash64("row_id"), F.lit(rounds)) == at
+            sums = encoded.where(part).select("n_tokens", "symbols").mapInArrow(_round(model), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()  # the model's size
+            new = np.zeros(len(x) + 1)
+            new[sums["cell"].to_numpy(np.int64)] = sums["x"].to_numpy()
+            log, new = log + new[-1], new[:-1]
+            if not turn:
+                x = x * keep + new
+                parts.append(new)
+            else:
+                parts[at] = new
+                x = np.sum(parts, axis=0)
+            begin, move, emit = x[:states] + 1e-3, x[states : states + states * states].reshape(states, states) + 1e-3, x[states + states * states :].reshape(n, states)
+            emit = emit + weights[:, None] / weights.sum() * 5.0  # the corpus as prior, so that no symbol is impossible
+            model = Model(begin / begin.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        total = sum(float(p[states + states * states :].sum()) for p in parts)  # tokens
+        trace.append(log / total if total else 0.0)
+        if turn and trace[-1] - trace[-2] < gain:
+            break
+    return model
+
+
+def scores(
+    spark: SparkSession, docs: DataFrame, states: int = 8, own: int = 2000, table_words: int = 1 << 16, rounds: int = 4, keep: float = 0.5, passes: int = 2, gain: float = 0.01, trace: list[float] | None = None
+) -> DataFrame:
     """docs(doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     stage = Stage(spark, "hmm")
     docs = fields(docs, doc_id="long", text="string")
@@ -270,17 +320,7 @@ def scores(spark: SparkSession, docs: DataFrame, states: int = 8, own: int = 200
     encoded = stage.write(docs.mapInArrow(_encode(lexicon, base, share, CLASSES, end_log, int(ends > 0)), "doc_id long, row_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, share double, symbols binary"), "symbols")
     stage.release()
     weights = np.concatenate([n_class + 1.0, [ends + 1.0], c[: min(own, len(top))]])
-    model = initial(states, weights)
-    n = len(weights)
-    x = np.zeros(states + states * states + n * states)
-    for turn in range(rounds if ends else 0):
-        part = F.pmod(F.xxhash64("row_id"), F.lit(rounds)) == turn
-        sums = encoded.where("not held_out").where(part).select("n_tokens", "symbols").mapInArrow(_round(model), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()  # the model's size
-        x *= keep
-        np.add.at(x, sums["cell"].to_numpy(), sums["x"].to_numpy())
-        begin, move, emit = x[:states] + 1e-3, x[states : states + states * states].reshape(states, states) + 1e-3, x[states + states * states :].reshape(n, states)
-        emit = emit + weights[:, None] / weights.sum() * 5.0  # the corpus as prior, so that no symbol is impossible
-        model = Model(begin / begin.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    model = train_model(encoded.where("not held_out"), weights, states, rounds, keep, passes if ends else 0, gain, trace)
     chain = encoded.mapInArrow(_score(model), "doc_id long, row_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, share double, chain double")
     levels = F.element_at(F.array(*map(F.lit, class_norm.tolist())), F.col("class") + 1)
     rare = docs.select("row_id", "text").mapInArrow(_rare(lexicon.hashes), "h long, row_id long, class int").join(counts.select("h", "c"), "h", "left")

@@ -70,7 +70,8 @@ def _place_anchors(window: int):
                 w = wk.words(data, offsets, False)
                 at, row, h = _anchors(w, window)
                 pos = (at - w.first[row]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(wk.signed(h)), b.column("row_id").slice(lo, hi - lo).take(pa.array(row)), pa.array(pos)], ["h", "row_id", "pos"])
+                ids = [b.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("row_id", "row_no")]
+                yield pa.RecordBatch.from_arrays([pa.array(wk.signed(h)), *ids, pa.array(pos)], ["h", "row_id", "row_no", "pos"])
 
     return run
 
@@ -94,7 +95,10 @@ def _candidates(window: int):
                 good = hits[at + v] > hits[at]
                 at, h = at[good], h[good]
                 row = np.searchsorted(w.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(wk.signed(h)), b.column("row_id").slice(lo, rows).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))], ["h", "row_id", "pos"])
+                # a second hash, over other values of the words
+                g = (wk.segment_hash(wk.mix(w.hash ^ np.uint64(0xA0761D6478BD642F)), at, at + window, wk._BASE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                ids = [b.column(c).slice(lo, rows).take(pa.array(row)) for c in ("row_id", "row_no")]
+                yield pa.RecordBatch.from_arrays([pa.array(wk.signed(h)), pa.array(g), *ids, pa.array((at - w.first[row]).astype(np.int32))], ["h", "g", "row_id", "row_no", "pos"])
 
     return run
 
@@ -150,22 +154,31 @@ def _replace(window: int, names: list[str], at: str):
     return run
 
 
+ROW = ["row_id", "row_no"]
+
+
+def _row_key(doc_id: str, text: str) -> list:
+    """A row's own key, of 96 bits, which holds where doc_ids are missing or repeat; equal rows share it."""
+    return [F.xxhash64(doc_id, text), F.hash(text, doc_id)]
+
+
 def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
-    """keyed(row_id, text) to row_id and the start of each window that starts anywhere else too."""
+    """keyed(row_id, row_no, text) to the row and the start of each window that starts anywhere else too. Windows are
+    told apart by 96 bits of two hashes."""
     repeated = stage.write(
         keyed.select("text").mapInArrow(_count_anchors(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors"
     )
     stage.release()
-    placed = keyed.select("row_id", "text").mapInArrow(_place_anchors(window), "h long, row_id long, pos int")
-    found = stage.write(placed.join(repeated, "h").groupBy("row_id").agg(F.collect_list("pos").alias("at")), "places")
+    placed = keyed.select(*ROW, "text").mapInArrow(_place_anchors(window), "h long, row_id long, row_no int, pos int")
+    found = stage.write(placed.join(repeated, "h").groupBy(*ROW).agg(F.collect_list("pos").alias("at")), "places")
     stage.drop(repeated)
     stage.release()
-    windows = stage.write(keyed.join(found, "row_id").select("row_id", "text", "at").mapInArrow(_candidates(window), "h long, row_id long, pos int"), "windows")
+    windows = stage.write(keyed.join(found, ROW).select(*ROW, "text", "at").mapInArrow(_candidates(window), "h long, g int, row_id long, row_no int, pos int"), "windows")
     stage.drop(found)
     stage.release()
-    again = stage.write(windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats")
+    again = stage.write(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "repeats")
     stage.release()
-    gone = stage.write(windows.join(again, "h").groupBy("row_id").agg(F.collect_list("pos").alias("at")), "gone")
+    gone = stage.write(windows.join(again, ["h", "g"]).groupBy(*ROW).agg(F.collect_list("pos").alias("at")), "gone")
     stage.drop(windows, again)
     stage.release()
     return gone
@@ -174,19 +187,20 @@ def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
     """docs(doc_id, text) to one row a document: doc_id, n_words, n_removed, kept_sha256."""
     docs = fields(docs, doc_id="long", text="string")
-    keyed = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))  # a row's own key, which holds where doc_ids are missing or repeat
+    keyed = docs.withColumns(dict(zip(ROW, _row_key("doc_id", "text"), strict=True)))
     gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed, window)
-    return keyed.join(gone, "row_id", "left").select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return keyed.join(gone, ROW, "left").select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
     """docs with all their columns; texts that lose words become their kept words joined by one space, others stay as
     they are. n_chars, where there is one, is counted anew."""
     names = docs.columns
-    key, at = (next(n for n in (f"_{x}{'_' * i}" for i in range(len(names) + 1)) if n not in names) for x in ("row", "at"))
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select(F.col(key).alias("row_id"), F.col("text").cast("string").alias("text")), window)
-    out = keyed.join(gone.toDF(key, at), key, "left").select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
+    lower = {n.lower() for n in names}
+    key, no, at = (next(n for n in (f"_{x}{'_' * i}" for i in range(len(names) + 1)) if n not in lower) for x in ("row", "no", "at"))
+    keyed = docs.withColumns(dict(zip((key, no), _row_key("doc_id", "text"), strict=True)))
+    gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select(F.col(key).alias("row_id"), F.col(no).alias("row_no"), F.col("text").cast("string").alias("text")), window)
+    out = keyed.join(gone.toDF(key, no, at), [key, no], "left").select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

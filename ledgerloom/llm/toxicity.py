@@ -3,7 +3,8 @@
 A noisy channel turns words into what is written: letters into look-alikes (1d10t), letters doubled (idiooot), letters
 apart (i d i o t, i.d.i.o.t). A token that the channel may have touched becomes a lattice of what each of its
 characters can stand for; Viterbi decoding under a character trigram model finds the likeliest reading. A token of
-letters alone, none of them twice in a row, has one reading and is taken as it stands. Look-alikes at a token's end may
+letters alone, none of them twice in a row, has one reading and is taken as it stands; one whose letters stand twice at
+most is decoded pair by pair, which is exact too. Look-alikes at a token's end may
 be letters or punctuation, and a doubled letter may be meant: such tokens have several readings, which count as one
 word, by the best of them. Features of the restored text are its words and their first four and five bytes.
 
@@ -15,8 +16,7 @@ set in the gap of the training rows. lang, source, labels and ids are no inputs
 
 Nulls and empty texts: score of no evidence. No usable labels: every score is 0.0. A label given twice counts as toxic
 if one of them says so. Repeated rows are scored row by row; a null doc_id is held out if the crc32 of the empty text
-says so; other columns are ignored. Empty table: empty result. Long texts are read whole, long tokens in runs of 48
-characters.
+says so; other columns are ignored. Empty table: empty result. Long texts and long tokens are read whole.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 APART = ".-_*~'`,"
 SUBSTITUTED, DROPPED, REPEATED, BROKEN = 1.0, 4.5, 0.7, 3.0  # costs of the channel, in nats
 ENDING = "!$|+()@"  # look-alikes that also end words
-BEAM, RUN = 24, 48
+ENDS = 16  # runs of look-alikes at a token's end, each of which may be letters or punctuation
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _NOISE = np.zeros(256, bool)
@@ -80,13 +80,15 @@ def character_model(counts: np.ndarray) -> np.ndarray:
 
 def restore(token: str, model: np.ndarray) -> str:
     """The likeliest reading of one token (lower case); spaces part words."""
-    return " ".join(_viterbi(token[s : s + RUN], model) for s in range(0, len(token), RUN)).strip()
+    return _viterbi(token, model, [len(token)])[0].strip()
 
 
-def _viterbi(token: str, model: np.ndarray) -> str:
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    last = ""
-    for c in token:
+def _viterbi(token: str, model: np.ndarray, cuts: list[int]) -> list[str]:
+    """The likeliest readings of the token's first characters, for each number in cuts. Exact: every pair of symbols
+    that readings so far may end in is kept, with the cheapest way there."""
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    last, out, ends = "", [], set(cuts)
+    for i, c in enumerate(token, 1):
         readings: list[tuple[str, float]] = []
         if c.isalpha():
             readings.append((c, 0.0))
@@ -97,8 +99,8 @@ def _viterbi(token: str, model: np.ndarray) -> str:
         else:
             readings += [("", REPEATED if c in APART or c == " " else DROPPED), (" ", BROKEN)]
         last = c
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (cost, text) in paths.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (p, q), (cost, way) in paths.items():
             for x, price in readings:
                 total, a, b = cost + price, p, q
                 for byte in x.encode():
@@ -106,32 +108,27 @@ def _viterbi(token: str, model: np.ndarray) -> str:
                     total += model[a, b, s]
                     a, b = b, s
                 if (a, b) not in after or total < after[a, b][0]:
-                    after[a, b] = (total, text + x)
-        paths = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:BEAM])
-    return min((cost + model[p, q, 0], text) for (p, q), (cost, text) in paths.items())[1]
-
-
-_memo: dict[str, str] = {}
-
-
-def _restored(token: str, model: np.ndarray) -> str:
-    if token not in _memo:
-        if len(_memo) > 100_000:
-            _memo.clear()
-        _memo[token] = restore(token, model)
-    return _memo[token]
+                    after[a, b] = (total, (way, x) if x else way)
+        paths = after
+        if i in ends:
+            way = min(((cost + model[p, q, 0], p, q) for (p, q), (cost, _) in paths.items()))
+            step, text = paths[way[1], way[2]][1], []
+            while step is not None:
+                step, x = step
+                text.append(x)
+            out.append("".join(reversed(text)))
+    return out
 
 
 def readings(token: str, model: np.ndarray) -> tuple[str, ...]:
-    """What a token may stand for, once without the look-alikes at its end and once with each run of them; and its
-    letters as they are, if it has no others."""
+    """What a token may stand for, once without the look-alikes at its end and once with each run of them (with all, if
+    they are over ENDS runs); and its letters as they are, if it has no others."""
     whole = token.rstrip(APART)
     stem = whole.rstrip(ENDING + APART)
-    cuts, end = [stem] if stem else [], whole[len(stem) :]
-    if len(end) <= RUN:
-        cuts += [stem + end[:i] for i in range(1, len(end)) if end[i] != end[i - 1]]
-    cuts.append(whole)
-    found = [_restored(x, model) for x in dict.fromkeys(cuts)]
+    end = whole[len(stem) :]
+    runs = [len(stem) + i for i in range(1, len(end)) if end[i] != end[i - 1]]
+    cuts = sorted({n for n in [len(stem), *(runs if len(runs) <= ENDS else []), len(whole)] if n})
+    found = [x.strip() for x in _viterbi(whole, model, cuts)]
     return tuple(dict.fromkeys([*found, stem] if stem.isalpha() else found))
 
 
@@ -139,15 +136,18 @@ _tokens: dict[bytes, tuple[bytes, ...]] = {}
 
 
 def _readings(token: bytes, model: np.ndarray) -> tuple[bytes, ...]:
-    if token not in _tokens:
+    if (got := _tokens.get(token)) is None:
+        got = tuple(x.encode() + b" " for x in readings(token.decode("utf-8", "replace"), model))
         if len(_tokens) > 100_000:
             _tokens.clear()
-        _tokens[token] = tuple(x.encode() + b" " for x in readings(token.decode("utf-8", "replace"), model))
-    return _tokens[token]
+        if len(token) <= 64:
+            _tokens[token] = got
+    return got
 
 
 def suspects(w: wk.Words) -> list[tuple[int, int]]:
-    """Byte spans of tokens, or of runs of single letters, that have more than one reading."""
+    """Byte spans of tokens, or of runs of single letters, that need a lattice: look-alikes, marks before letters,
+    letters three times in a row, letters of more bytes twice."""
     d, n = w.data, len(w.data)
     if not len(w.starts):
         return []
@@ -155,7 +155,7 @@ def suspects(w: wk.Words) -> list[tuple[int, int]]:
     mark = np.zeros(n + 1, bool)
     mark[: n - 1] |= noise[:-1] & letter[1:]  # a mark before a letter
     mark[:n] |= _LOOK[d]
-    mark[1:n] |= letter[1:] & (d[1:] == d[:-1]) & (d[1:] < 128)
+    mark[2:n] |= letter[2:] & (d[2:] == d[1:-1]) & (d[2:] == d[:-2]) & (d[2:] < 128)
     for wide, lead in ((2, 0xC2), (3, 0xE0)):  # letters of more bytes twice
         if n >= 2 * wide:
             same = d[wide:] == d[:-wide]
@@ -179,45 +179,85 @@ def suspects(w: wk.Words) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of letters."""
+    letter = np.zeros(len(data) + 2, bool)
+    letter[1:-1] = _LETTER[data]
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    return edge[::2], edge[1::2]
+
+
+def doubled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The second letters of pairs in runs of letters that the likeliest reading drops. A pair's two readings leave the
+    same two symbols behind after the next letter, so pairs are decided one by one, all at once; longer repetitions
+    are none of theirs."""
+    n = len(data)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    same = np.zeros(n + 1, bool)
+    same[1:n] = (data[1:] == data[:-1]) & _LETTER[data[1:]] & (data[1:] < 128)
+    at = np.flatnonzero(same[:n] & ~same[1:])
+    at = at[~same[at - 1]]
+    if not len(at):
+        return at
+    run = np.searchsorted(starts, at, side="right") - 1
+    sym = _SYMBOL[data]
+    c = sym[at]
+    q = np.where(at - 1 > starts[run], sym[np.maximum(at - 2, 0)], 0)
+    r = np.where(at + 1 < ends[run], sym[np.minimum(at + 1, n - 1)], 0)
+    return at[model[q, c, c] + model[c, c, r] > model[q, c, r] + REPEATED]
+
+
 def features(data: np.ndarray, offsets: np.ndarray, model: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hashes by kind, word) of every word of the restored texts; hash 0 where a word is too short for the kind.
     word is the word's own hash; in further readings of a token it is that of the token's first word."""
     w = wk.words(data, offsets, False)
     spans = suspects(w) if model is not None else []
+    extra: list[bytes] = []
+    span: list[int] = []
+    first: list[bool] = []
     if spans:
         raw = data.tobytes()
         data = data.copy()
         rows = np.searchsorted(offsets, [s for s, _ in spans], side="right") - 1
-        extra: list[bytes] = []
-        span: list[int] = []
-        first: list[bool] = []
         for i, (s, e) in enumerate(spans):
             data[s:e] = 32
             for k, x in enumerate(_readings(raw[s:e], model)):
                 extra.append(x)
                 span.append(i)
                 first.append(not k)
+    starts, ends = _runs(data)
+    row, h = np.searchsorted(offsets, starts, side="right") - 1, _hashes(data, starts, ends)
+    out = [(row, h, h[0].copy())]
+    if model is not None and len(gone := doubled(data, starts, ends, model)):
+        run = np.unique(np.searchsorted(starts, gone, side="right") - 1)
+        keep = np.ones(len(data), bool)
+        keep[gone] = False
+        less = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(keep, out=less[1:])
+        short = _hashes(data[keep], less[starts[run]], less[ends[run]])
+        name = np.where(short[0] > 0, short[0], h[0, run])  # both readings count as one word
+        out[0][2][run] = name
+        out.append((row[run], short, name))
+    if spans:
         tail = np.concatenate([[0], np.cumsum([len(x) for x in extra])])
-        one, two = _words(data, offsets), _words(np.frombuffer(b"".join(extra), np.uint8), tail)
-        own, main = np.asarray(span, np.int64)[two[0]], np.asarray(first, bool)[two[0]]
-        word = two[1][0].copy()
-        long = np.flatnonzero(word)
-        token, at = np.unique(own[long], return_index=True)  # each token's first word
+        joined = np.frombuffer(b"".join(extra), np.uint8)
+        s, e = _runs(joined)
+        at, more = np.searchsorted(tail, s, side="right") - 1, _hashes(joined, s, e)
+        own, main = np.asarray(span, np.int64)[at], np.asarray(first, bool)[at]
+        long = np.flatnonzero(more[0])
+        token, place = np.unique(own[long], return_index=True)  # each token's first word
         head = np.zeros(len(spans), np.uint64)
-        head[token] = word[long[at]]
-        word = np.where(main, word, head[own])
-        return np.concatenate([one[0], rows[own]]), np.concatenate([one[1], two[1]], axis=1), np.concatenate([one[1][0], word])
-    row, h = _words(data, offsets)
-    return row, h, h[0]
+        head[token] = more[0][long[place]]
+        out.append((rows[own], more, np.where(main, more[0], head[own])))
+    if len(out) == 1:
+        return out[0]
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out], axis=1), np.concatenate([x[2] for x in out])
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of letters and their hashes."""
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """By kind, the hashes of runs."""
     n = len(data)
-    letter = np.zeros(n + 2, bool)
-    letter[1:-1] = _LETTER[data]
-    edge = np.flatnonzero(letter[1:] != letter[:-1])
-    starts, ends = edge[::2], edge[1::2]
     p, inv = wk.powers(wk._BASE, n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(wk._BYTE[data] * p[:n], out=sums[1:])
@@ -226,7 +266,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         stop = ends if not k else np.minimum(starts + k, ends)
         h = wk.mix((sums[stop] - sums[starts]) * inv[starts] + _SALT[i])
         out[i] = np.where(ends - starts > (k or 2), h, 0)
-    return np.searchsorted(offsets, starts, side="right") - 1, out
+    return out
 
 
 class Weights(NamedTuple):
@@ -286,24 +326,24 @@ def _restore_texts(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(_lower(b.column("text"))):
-                raw, at, parts = data.tobytes(), 0, []
+                raw, rest = data.tobytes(), data.copy()
+                changes = []
+                done = 0
                 for s, e in sorted(suspects(wk.words(data, offsets, False))):
-                    if s >= at:
-                        parts += [raw[at:s], _restored(raw[s:e].decode("utf-8", "replace"), model).encode()]
-                        # what was restored may end in another row only if its span did, and spans don't cross rows
-                        at = e
-                text, cut = b"".join(parts) + raw[at:], []
-                shift, spans = 0, [(s, e) for s, e in sorted(suspects(wk.words(data, offsets, False)))]
-                k, done = 0, 0
-                for o in offsets.tolist():
-                    while k < len(spans) and spans[k][1] <= o:
-                        s, e = spans[k]
-                        if s >= done:
-                            shift += len(_restored(raw[s:e].decode("utf-8", "replace"), model).encode()) - (e - s)
-                            done = e
+                    if s >= done:
+                        changes.append((s, e, restore(raw[s:e].decode("utf-8", "replace"), model).encode()))
+                        rest[s:e] = 32
+                        done = e
+                changes += [(i, i + 1, b"") for i in doubled(rest, *_runs(rest), model).tolist()]
+                changes.sort()
+                out, k = [], 0
+                for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    parts, at = [], s
+                    while k < len(changes) and changes[k][0] < e:
+                        parts += [raw[at : changes[k][0]], changes[k][2]]
+                        at = changes[k][1]
                         k += 1
-                    cut.append(o + shift)
-                out = [text[s:e].decode("utf-8", "replace") for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                    out.append((b"".join(parts) + raw[at:e]).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return run
@@ -322,15 +362,24 @@ def restored(docs: DataFrame, model: np.ndarray) -> DataFrame:
     return fields(docs, doc_id="long", text="string").mapInArrow(_restore_texts(model), "doc_id long, text string")
 
 
-def _first(df: DataFrame, slot, most: int) -> int:
-    """The slot before which df has at most `most` rows; a count a slot is gathered, of a few thousand slots."""
-    sizes = sorted((r["slot"], r["n"]) for r in df.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect())
-    total = 0
-    for at, n in sizes:
-        total += n
-        if total > most:
-            return at
-    return 1 << 30
+def _first(df: DataFrame, order, most: int) -> int:
+    """The value of order (a long from 0 to 2**60) below which df has at most `most` rows, and nearly as many if it has
+    more. Found twelve bits at a time: at most 4096 counts are gathered at once."""
+    prefix, taken = 0, 0
+    for shift in (48, 36, 24, 12, 0):
+        inside = F.shiftright(order, shift + 12) == prefix if shift < 48 else F.lit(True)
+        slot = F.shiftright(order, shift).bitwiseAND(F.lit(4095).cast("long"))
+        sizes = sorted((r["slot"], r["n"]) for r in df.where(inside).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect())
+        for at, n in sizes:
+            if taken + n > most:
+                break
+            taken += n
+        else:
+            return 1 << 60 if shift == 48 else (prefix + 1) << (shift + 12)
+        prefix = prefix << 12 | at
+        if taken >= 0.9 * most:
+            return prefix << shift
+    return prefix
 
 
 def training_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
@@ -343,9 +392,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows:
     docs = fields(docs, doc_id="long", text="string")
     model = fit_character_model(docs)
     mine = fields(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("int")
+    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 4)
     sample = mine.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    sample = sample.where(slot < _first(sample, slot, max_train_rows))
+    sample = sample.where(order < _first(sample, order, max_train_rows))
     # at most max_train_rows ids and labels are handed to the tasks
     train = stage.write(training_rows(docs, sample), "train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -362,7 +411,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows:
     odds = F.log((t + 0.5) / (T + 1)) - F.log((c + 0.5) / (C + 1))
     # as many features may stand out as were tested; at most a fixed number is kept, the strongest
     found = counted.select("f", g2.alias("g2"), odds.alias("w")).where((F.col("w") > 1.5) & (F.col("g2") > 2 * max(7.0, math.log(tested + 1) - 3)))
-    rank = F.lit(1024) - F.floor(F.log2("g2") * 32).cast("int")  # strong ones first, in classes of like strength
+    # strong ones first, in classes of like strength, by hash in a class
+    rank = (F.lit(4095) - F.least(F.floor(F.log2("g2") * 64), F.lit(4095))).cast("long") * F.lit(1 << 48) + F.shiftrightunsigned(F.xxhash64("f"), 16)
     kept = found.where(rank < _first(found, rank, max_features)).orderBy("f").toPandas()
     h = kept["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
