@@ -335,54 +335,6 @@ def w4_clamped_depth(spark, sf_dir):
     return e.select("event_id", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).alias("depth"))
 
 
-# Outlines are held against what their formats' rules give for small files, stated as values.
-_SOURCES = {
-    "yaml": ("k8s.yaml", "apiVersion: v1\nkind: Pod\n# note\nmetadata:\n  name: x\n  labels:\n    a: b\nlist:\n- one\n- two\n", [(1, 1, "apiVersion"), (2, 3, "kind"), (4, 7, "metadata: {name, labels, a}"), (8, 10, "list: list[2]")]),
-    "toml": ("Cargo.toml", 'top = 1\n\n[package]\nname = "x"\nversion = "1"\n\n[[bin]]\nname = "a"\n', [(1, 2, "root: top"), (3, 6, "[package] — name, version"), (7, 8, "[[bin]] — name")]),
-    "dockerfile": ("Dockerfile", "# c\nFROM --platform=x golang:1.24 AS build\nRUN a\nRUN b\nCOPY . .\n\nFROM alpine\nCMD x\n", [(2, 6, "FROM golang:1.24 AS build — RUN, COPY"), (7, 8, "FROM alpine — CMD")]),
-    "makefile": ("Makefile", "X := 1\n.PHONY: build test\nbuild: a\n\t# c\n\tgo build ./...\n\ntest:\n\tgo test\ninclude y\n", [(3, 6, "build (phony): go build ./..."), (7, 8, "test (phony): go test")]),
-    "python": ("m.py", '"""Doc."""\nimport os\nfrom a import b\n\n@dec\nclass A(B):\n    def f(self):\n        pass\n    async def g(self):\n        pass\n\ndef top():\n    return 1\n\nx = 1\n', [(2, 3, "imports"), (5, 11, "class A — methods: f, g"), (12, 15, "def top")]),
-    "json": ("a.json", '{\n  "a": 1,\n  "b": {\n    "y": 1,\n    "x": 2\n  },\n  "c": [1, 2]\n}\n', [(1, 2, "a: 1"), (2, 5, "b: object {x, y}"), (6, 7, "c: array[2]")]),
-    "sql": ("s.sql", "-- c\nCREATE TABLE users (\n  id int\n);\nCREATE UNIQUE INDEX i ON users (id);\nCREATE FUNCTION f() RETURNS int AS $$\n select 1;\n$$ LANGUAGE sql;\n", [(2, 4, "table users"), (5, 5, "index i on users"), (6, 8, "function f")]),
-    "proto": ("p.proto", 'package a.b;\nmessage M {\n  string x = 1; // }\n}\nservice S {\n  rpc Get (M) returns (M);\n  rpc Put (M) returns (M) {}\n}\n', [(2, 4, "message M"), (5, 8, "service S — Get, Put")]),
-    "hcl": ("m.tf", 'resource "aws_x" "y" {\n  a = "}"\n}\nlocals {\n  t = <<EOT\n{\nEOT\n}\n', [(1, 3, "resource aws_x.y"), (4, 8, "locals")]),
-    "typescript": ("a.ts", "import x from 'y'\nconst f = require('f')\n\nexport abstract class A {\n  m() { return '}' }\n}\nexport const k = 1\nfunction g() {\n}\nconst h = () => {\n  return 1\n}\nconst plain = 2\nexport default class {\n}\n", [(1, 2, "imports"), (4, 6, "export abstract class A"), (7, 7, "export const k"), (8, 9, "function g"), (10, 12, "const h"), (14, 15, "export default")]),
-    "rust": ("l.rs", "//! Does things.\nuse a::b;\n\n#[derive(Debug)]\npub struct S {\n    x: u8,\n}\n\nimpl T for S {\n    fn f() {}\n}\npub(crate) fn g() -> u8 { 1 }\nmod m;\n", [(2, 2, "use declarations"), (4, 7, "pub struct S"), (9, 11, "impl S"), (12, 12, "pub fn g"), (13, 13, "mod m")]),
-    "java": ("A.java", "package a;\n/* class No {\n*/\n@X\npublic final class A {\n  // {\n  private int n = 1;\n  public int f(int x) {\n    return g(x);\n  }\n  static { h(); }\n  List<String> names() { return null; }\n}\ninterface B\n{\n  void m();\n}\n", [(5, 13, "final class A — f, names"), (14, 17, "interface B — m")]),
-    "zig": ("src/m.zig", 'const std = @import("std");\npub const P = struct {\n    pub fn inner() void {}\n};\nfn a() void {}\npub fn b() u8 { return 1; }\nexport fn c() void {}\nfn d() void {}\n', [(1, 8, "module m — P, a, b, c (+1)")]),
-    "haskell": ("M.hs", "{- a\n{- b -} data No = No -}\nmodule A.B where\nimport X\ndata T = T\nclass Eq a => C a where\n  m :: a\nf, g :: Int\nf = 1\n", [(1, 9, "module A.B — T, C, f, g")]),
-    "erlang": ("m.erl", "%% c\n-module(m).\n-record(r, {a}).\n-type t() :: any().\nf() -> ok.\nf(A, {B, C}, \"x,y\") ->\n  g(A).\nf(A, B, C) -> 1.\n", [(1, 8, "module m — r, t, f/0, f/3")]),
-    "ocaml": ("m.ml", "(* let no = 1\n   (* *) *)\nopen X\nmodule M = Y\ntype 'a t = A\nlet rec f x = x\nlet _ = f 1\n  let inner = 2\nexception E\n", [(1, 9, "module m — M, t, E, f")]),
-    "fsharp": ("m.fs", "(* let no = 1 *)\nmodule A.B\nopen X\ntype T = A | B\nlet rec f x =\n  let inner = 1\n  x\nlet s = \"\"\"\nlet hidden = 1\n\"\"\"\nlet inline g y = y\n", [(1, 11, "module A.B — T, f, s, g")]),
-    "clojure": ("c.clj", "; (def no 1)\n(ns a.b (:require [x]))\n(defrecord R [a])\n(defn- f [x]\n  (def inner 1))\n(defmacro m [] \"(\")\n(defonce v 1)\n(def w 2)\n", [(1, 8, "module a.b — R, f, m, v (+1)")]),
-    "r": ("a.R", "# f <- function(no)\nsetClass('P', representation(x = 'numeric'))\nQ <- R6Class('Q', list(\n  inner = function() 1\n))\nf <- function(x) {\n  g <- function(y) y\n}\nsetGeneric(\"area\", function(s) 1)\n", [(1, 9, "module a — P, Q, f, area")]),
-    "lua": ("m.lua", "--[[ function no() ]]\nlocal function f(x)\n  for i = 1, 2 do local g = function() end end\nend\nM.h = function()\n  local s = [[ function q( ]]\nend\nfunction M:k() end\n", [(1, 8, "module m — f, M.h, M:k")]),
-    "graphql": ("s.graphql", "# c\ntype A implements N {\n  x: Int # }\n}\nunion U =\n  | A\n  | B\nscalar Date\nextend type A { y: Int }\nquery { a }\nschema {\n  query: Q\n}\n", [(2, 4, "type A"), (5, 7, "union U"), (8, 8, "scalar Date"), (9, 9, "type A"), (10, 10, "query (anonymous #1)"), (11, 13, "schema")]),
-    "ruby": ("a.rb", "# class No\nclass A < B\n  def self.make(x)\n    x.each do |y|\n      z\n    end\n  end\n  def ok? = true\n  def one; 1; end\n  T = <<~EOS\n    class Hidden\n  EOS\nend\n\nmodule M\nend\n", [(2, 13, "class A — self.make, ok?, one"), (15, 16, "module M")]),
-    "elixir": ("m.ex", "defmodule A.B do\n  @moduledoc \"\"\"\n  def no do\n  \"\"\"\n  use X\n  def f(x), do: x\n  def f(y) do\n    Enum.map(y, fn z -> z end)\n  end\n  defp g do\n    'end'\n  end\nend\ndefimpl P, for: A do\nend\n", [(1, 13, "defmodule A.B — f, g"), (14, 15, "defimpl P for A")]),
-    "shell": ("x.sh", "#!/bin/bash\n# c\nbuild() {\n  if x; then { y; }\n  fi\n}\nfunction one { echo; }\nbuild\n", [(3, 6, "build"), (7, 7, "one")]),
-}
-
-
-def _outline_query(name: str, parser: str):
-    from ..operators import outline, scanners
-
-    path, text, want = _SOURCES[parser]
-    values = ", ".join(f"({s}, {e}, {_sql_text(k)})" for s, e, k in want)
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = spark.createDataFrame([(path, text), ("none", "nothing here\n")], "path string, text string")
-        made = outline.outline(files, parser) if parser in outline.OUTLINES else scanners.outline(files, parser)
-        return made.select("start_line", "end_line", "kind")
-
-    run.__name__ = name
-    query(f"SELECT * FROM (VALUES {values}) AS v(start_line, end_line, kind)")(run)
-
-
-for _name, _parser in (("f2_outline_typescript", "typescript"), ("f4_outline_rust", "rust"), ("f17_outline_java", "java"), ("f26_outline_haskell", "haskell"), ("f33_outline_zig", "zig"), ("f28_outline_ocaml", "ocaml"), ("f32_outline_erlang", "erlang"), ("f31_outline_fsharp", "fsharp"), ("f27_outline_r", "r"), ("f25_outline_lua", "lua"), ("f14_outline_graphql", "graphql"), ("f15_outline_ruby", "ruby"), ("f24_outline_elixir", "elixir"), ("f30_outline_clojure", "clojure"), ("f10_outline_shell", "shell"), ("f3_outline_python", "python"), ("f5_outline_json", "json"), ("f6_outline_yaml", "yaml"), ("f7_outline_toml", "toml"), ("f8_outline_dockerfile", "dockerfile"), ("f9_outline_makefile", "makefile"), ("f11_outline_hcl", "hcl"), ("f12_outline_proto", "proto"), ("f13_outline_sql", "sql")):
-    _outline_query(_name, _parser)
-
-
 _GREP = _PLAN.replace("(t + 650) * 0.8", "(((b // 2) + 3) // 4 + 650) * 0.8").replace("WHEN b <= 0 THEN 'PASSTHROUGH'", "WHEN b <= 0 THEN 'DIRECT'")
 
 
@@ -433,5 +385,8 @@ def j2_r13_price_overrides(spark, sf_dir):
 def r15_map_report(spark, sf_dir):
     from ..operators import scanners
 
-    path, text, _ = _SOURCES["sql"]
-    return reports.map_report(scanners.outline(spark.createDataFrame([(path, text)], "path string, text string"), "sql"))
+    text = "-- c\nCREATE TABLE users (\n  id int\n);\nCREATE UNIQUE INDEX i ON users (id);\nCREATE FUNCTION f() RETURNS int AS $$\n select 1;\n$$ LANGUAGE sql;\n"
+    return reports.map_report(scanners.outline(spark.createDataFrame([("s.sql", text)], "path string, text string"), "sql"))
+
+
+from . import outlines  # noqa: E402, F401  (adds its queries)

@@ -54,16 +54,15 @@ def explain(log: DataFrame, tool: str | None = None, target: str | None = None,
 
 
 def map_report(entries: DataFrame, tool: str = "loom") -> DataFrame:
-    """File-map texts from outline entries (path, ord, lines or start_line and end_line, kind[, symbol, summary])."""
+    """File-map texts from outline entries (path, ord, lines or start_line and end_line, kind[, summary, symbols, notes])."""
     from ..functions.text import line_range
 
     e = entries if "lines" in entries.columns else entries.withColumn("lines", line_range(F.col("start_line"), F.col("end_line")))
-    symbol = F.col("symbol") if "symbol" in e.columns else F.lit("")
-    summary = F.first("summary") if "summary" in e.columns else F.lit("")
-    g = e.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "lines", "kind", symbol.alias("symbol")))).alias("x"), summary.alias("summary"))
+    e = e.withColumns({c: F.lit(None).cast(t) for c, t in (("summary", "string"), ("symbols", "array<string>"), ("notes", "string")) if c not in e.columns})
+    g = e.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "lines", "kind"))).alias("x"), *[F.first(c).alias(c) for c in ("summary", "symbols", "notes")])
     m = F.struct(
-        F.col("summary"), F.transform("x", lambda v: F.struct(v["lines"].alias("lines"), v["kind"].alias("kind"))).alias("map"),
-        F.slice(F.array_distinct(F.filter(F.transform("x", lambda v: v["symbol"]), lambda s: s != "")), 1, 40).alias("symbols"), F.lit("").alias("notes"),
+        F.coalesce("summary", F.lit("")).alias("summary"), F.transform("x", lambda v: F.struct(v["lines"].alias("lines"), v["kind"].alias("kind"))).alias("map"),
+        F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"), F.coalesce("notes", F.lit("")).alias("notes"),
     )
     one = F.lit(1)
     return g.select("path", render.file_map(m, F.col("path"), tool, one, one, one, one).alias("text"))
