@@ -83,11 +83,22 @@ def restore(token: str, model: np.ndarray) -> str:
     return _viterbi(token, model, [len(token)])[0].strip()
 
 
+_nested: tuple[np.ndarray | None, list] = (None, [])
+
+
+def _as_lists(model: np.ndarray) -> list:
+    """The model as nested lists, which are read faster one by one."""
+    global _nested
+    if _nested[0] is not model:
+        _nested = (model, model.tolist())
+    return _nested[1]
+
+
 def _viterbi(token: str, model: np.ndarray, cuts: list[int]) -> list[str]:
     """The likeliest readings of the token's first characters, for each number in cuts. Exact: every pair of symbols
     that readings so far may end in is kept, with the cheapest way there."""
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    last, out, ends = "", [], set(cuts)
+    last, out, ends, costs = "", [], set(cuts), _as_lists(model)
     for i, c in enumerate(token, 1):
         readings: list[tuple[str, float]] = []
         if c.isalpha():
@@ -99,19 +110,19 @@ def _viterbi(token: str, model: np.ndarray, cuts: list[int]) -> list[str]:
         else:
             readings += [("", REPEATED if c in APART or c == " " else DROPPED), (" ", BROKEN)]
         last = c
+        symbols = {x: _SYMBOL[list(x.encode())].tolist() if x else [] for x, _ in readings}
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (p, q), (cost, way) in paths.items():
             for x, price in readings:
                 total, a, b = cost + price, p, q
-                for byte in x.encode():
-                    s = int(_SYMBOL[byte])
-                    total += model[a, b, s]
+                for s in symbols[x]:
+                    total += costs[a][b][s]
                     a, b = b, s
                 if (a, b) not in after or total < after[a, b][0]:
                     after[a, b] = (total, (way, x) if x else way)
         paths = after
         if i in ends:
-            way = min(((cost + model[p, q, 0], p, q) for (p, q), (cost, _) in paths.items()))
+            way = min((cost + costs[p][q][0], p, q) for (p, q), (cost, _) in paths.items())
             step, text = paths[way[1], way[2]][1], []
             while step is not None:
                 step, x = step
@@ -169,13 +180,13 @@ def suspects(w: wk.Words) -> list[tuple[int, int]]:
     np.cumsum(letter | _LOOK[d], out=signs[1:])
     odd = (count[w.ends] > count[w.starts]) & (signs[w.ends] - signs[w.starts] > 1)
     out = list(zip(w.starts[odd].tolist(), w.ends[odd].tolist(), strict=True))
-    single = (w.ends - w.starts == 1) & (letter[w.starts] | noise[w.starts])
-    row = np.searchsorted(w.first, np.arange(len(single)), side="right")
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        for r in np.split(np.arange(s, e), np.flatnonzero(np.diff(row[s:e])) + 1):
-            if len(r) > 1:
-                out.append((int(w.starts[r[0]]), int(w.ends[r[-1]])))
+    single = np.flatnonzero((w.ends - w.starts == 1) & (letter[w.starts] | noise[w.starts]))
+    if len(single) > 1:
+        row = np.searchsorted(w.first, single, side="right")
+        cut = np.flatnonzero((np.diff(single) != 1) | (np.diff(row) != 0)) + 1
+        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(single)]]) - 1
+        many = last > first
+        out += zip(w.starts[single[first[many]]].tolist(), w.ends[single[last[many]]].tolist(), strict=True)
     return out
 
 
