@@ -103,6 +103,23 @@ def shell_quote(x: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("'\\''")), F.lit("'"))
 
 
+def redirect(cmd: Column, own: str, patterns: tuple[str, ...] = NOISY_COMMANDS) -> Column:
+    """What to run instead of a noisy command; null for quiet commands and the tool's own. A command with shell signs is
+    handed to a shell whole."""
+    quoted = "'" + own.replace("'", "'\\''") + "'" if re.search(r"[\s'\"$`\\]", own) else own
+    found = first_match(cmd, list(patterns))
+    instead = F.when(shell_meta(cmd), F.concat(F.lit(f"{quoted} run -- sh -c "), shell_quote(cmd))).otherwise(F.concat(F.lit(f"{quoted} run -- "), cmd))
+    text = F.concat(
+        F.lit("this command tends to produce large output (matched /"), found, F.lit("/).\nRe-run it as follows so the full output is captured to a log and you get a digest:\n\n  "), instead, F.lit("\n"),
+    )
+    return F.when(~self_command(cmd, own), text)
+
+
+def is_regular(exists: Column, is_dir: Column) -> Column:
+    """A path that stands for a file."""
+    return F.coalesce(exists & ~is_dir, F.lit(False))
+
+
 def partial(seen_bytes: Column, all_bytes: Column) -> Column:
     return (all_bytes > 0) & (seen_bytes > 0) & (seen_bytes < all_bytes)
 
@@ -112,6 +129,15 @@ def valid_map(d: Column) -> Column:
     return (F.length(F.trim(d["summary"])) > 0) & (F.size(d["map"]) > 0) & F.forall(d["map"], lambda e: e["lines"].rlike(r"^\d+(-\d+)?$"))
 
 
+def valid_clusters(d: Column) -> Column:
+    """A digest with a summary and clusters."""
+    return F.coalesce((d["summary"] != "") & (F.size(d["clusters"]) > 0), F.lit(False))
+
+
+def valid_run(d: Column) -> Column:
+    return F.coalesce(d["summary"] != "", F.lit(False))
+
+
 def escalates(raw: Column) -> Column:
     return F.coalesce(F.get_json_object(raw, "$.escalate") == "true", F.lit(False))
 

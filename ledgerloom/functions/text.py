@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space that trimming removes at either end.
@@ -99,3 +99,23 @@ def net_braces(line: Column, opening: str = "{", closing: str = "}") -> Column:
     bare = F.regexp_replace(line, r"""("(?:[^"\\]|\\.)*("|$)|'(?:[^'\\]|\\.)*('|$)|`[^`]*(`|$)|//.*$)""", "")
     count = lambda sign: F.length(bare) - F.length(F.replace(bare, F.lit(sign), F.lit("")))
     return count(opening) - count(closing)
+
+
+def with_depth(df: DataFrame, net: Column, by: str, order: str) -> DataFrame:
+    """Adds depth_before and depth: the clamped running sum of net before and after each row."""
+    w = Window.partitionBy(by).orderBy(order)
+    out = df.withColumn("_sum", F.sum(net).over(w))
+    out = out.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
+    return out.withColumn("depth_before", F.coalesce(F.lag("depth").over(w), F.lit(0))).drop("_sum")
+
+
+def with_section(lines: DataFrame, opens: Column, by: str = "path", order: str = "line_no") -> DataFrame:
+    """One row a section: where a line opens it, up to the line before the next opening, else to the last line."""
+    w = Window.partitionBy(by).orderBy(order)
+    heads = lines.withColumn("_last", F.max(order).over(Window.partitionBy(by))).where(opens)
+    return heads.withColumn("end_line", F.coalesce(F.lead(order).over(w) - 1, F.col("_last"))).withColumnRenamed(order, "start_line").drop("_last")
+
+
+def sticky(mark: Column, by: str, order: str) -> Column:
+    """The last mark that is not null, up to each row."""
+    return F.last(mark, ignorenulls=True).over(Window.partitionBy(by).orderBy(order))

@@ -65,16 +65,25 @@ def evaluate(orig: Column, worker_in: Column, worker_out: Column, in_price: Colu
     }
 
 
-def plan_reads(df: DataFrame, size: str, lines: str, prices: DataFrame, ratio: Column | float = DEFAULT_RATIO, max_lines: int = 150, max_bytes: int = 60_000, worker: str = "claude-haiku-4-5-20251001", session: str = "claude-opus-5-5") -> DataFrame:
-    """Adds the plan of reading each file: threshold first, then the economics."""
+def plan_reads(
+    df: DataFrame, size: str, lines: str, prices: DataFrame, ratio: Column | float = DEFAULT_RATIO, max_lines: int = 150, max_bytes: int = 60_000, worker: str = "claude-haiku-4-5-20251001", session: str = "claude-opus-5-5",
+    mapped: str | None = None, reuse: str | None = None,
+) -> DataFrame:
+    """Adds the plan of reading each file: threshold first, then an outline where there is one (`mapped`, a boolean
+    column), then the economics. `reuse` is a column of how often the file was read in its session; below the threshold
+    nothing is read, and it counts 0."""
     ratio = F.lit(ratio) if isinstance(ratio, float) else ratio
     df = with_price(with_price(df.withColumns({"w_model": F.lit(worker), "s_model": F.lit(session)}), prices, "w_model", "w_"), prices, "s_model", "s_")
     orig = token_estimate(F.col(size))
     out = (orig * ratio).cast("int")
     e = evaluate(orig, orig + OVERHEAD_TOKENS, out, F.col("w_input_price"), F.col("w_output_price"), F.col("s_input_price"))
     over = (F.col(lines) > max_lines) | (F.col(size) > max_bytes)
+    outlined = F.coalesce(F.col(mapped), F.lit(False)) if mapped else F.lit(False)
     df = df.withColumns({"orig_tokens": orig, "worker_tokens_out": out, **e})
-    df = df.withColumns({"strategy": F.when(over, F.col("strategy")).otherwise("PASSTHROUGH"), "should_intercept": over & F.col("should_intercept")})
+    pays = F.col("should_intercept")
+    strategy = F.when(~over, "PASSTHROUGH").when(outlined, "DETERMINISTIC").when(pays, "CHEAP_WORKER").otherwise("DIRECT")
+    times = F.when(over, F.coalesce(F.col(reuse), F.lit(0)) if reuse else F.lit(0)).otherwise(0)
+    df = df.withColumns({"strategy": strategy, "should_intercept": over & (outlined | pays), "reuse_count": times.cast("int"), "predicted_ratio": F.when(over & ~outlined, ratio)})
     return df.drop("w_model", "s_model", *[f"{p}{c}_price" for p in ("w_", "s_") for c in ("input", "output", "cache_write", "cache_read")])
 
 
@@ -127,10 +136,23 @@ def cache_lookup(items: DataFrame, cache: DataFrame, key: str = "key") -> tuple[
     return items.join(cache, key), items.join(cache.select(key), key, "left_anti")
 
 
+def cache_put(cache: DataFrame, items: DataFrame, key: str = "key", mtime: str = "mtime") -> DataFrame:
+    """The cache with items in it; of several entries of a key the latest stands."""
+    every = cache.unionByName(items)
+    rest = F.struct(mtime, *[c for c in every.columns if c not in (key, mtime)])
+    return every.groupBy(key).agg(F.max(rest).alias("r")).select(key, "r.*").select(*every.columns)
+
+
 def sweep(cache: DataFrame, now: Column, age: str = "7 days", mtime: str = "mtime") -> DataFrame:
     return cache.where(F.col(mtime) >= now - F.expr(f"interval {age}"))
 
 
+def cache_counts(cache: DataFrame, now: Column, size: str = "bytes", age: str = "7 days", mtime: str = "mtime") -> DataFrame:
+    """Entries and whole KB of the cache, and how many entries a sweep removes."""
+    old = F.col(mtime) < now - F.expr(f"interval {age}")
+    return cache.agg(F.count("*").alias("entries"), F.floor(F.coalesce(F.sum(size), F.lit(0)) / 1024).alias("kb"), F.count_if(old).alias("swept"))
+
+
 def _with_models(df: DataFrame, prices: DataFrame, worker: str, session: str) -> DataFrame:
     return with_price(with_price(df.withColumns({"w_model": F.lit(worker), "s_model": F.lit(session)}), prices, "w_model", "w_"), prices, "s_model", "s_")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -250,22 +250,11 @@ def s5_tolerant_log_scan(spark, sf_dir):
     return ledger.by_tool(ledger.parse_log(lines, ledger.LEDGER_SCHEMA)).select("tool", "calls", "saved")
 
 
-@query("SELECT c_custkey, CASE WHEN contains(lower(c_mktsegment), 'build') THEN 1 ELSE 0 END AS hit FROM customer")
-def p16_case_fold_filter(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.contains(F.lower("c_mktsegment"), F.lit("build")).cast("int").alias("hit"))
-
-
 @query("SELECT doc_id, strlen(array_to_string(string_split(text, chr(10))[1:3], chr(10)))::INTEGER AS head_bytes FROM documents")
 def l7_heads(spark, sf_dir):
     return measure.first_lines(_table(spark, sf_dir, "documents"), 3).select("doc_id", F.octet_length("first").alias("head_bytes"))
 
 
-@query("SELECT doc_id, md5(substr(text, greatest(1, len(text) - 63), 64)) AS tail FROM documents WHERE strlen(text) = len(text)")
-def s12_tails(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return measure.tail(d, 64).select("doc_id", F.md5("tail").alias("tail"))
-
-
 @query("SELECT doc_id, md5(encode(text)[-64:]) AS tail FROM documents")
 def s12_byte_tails(spark, sf_dir):
     """Of all texts: a tail may begin inside a character."""
@@ -300,12 +289,6 @@ def c3_c4_a11_w10_git_reducers(spark, sf_dir):
     return reduce.reduce_output(spark.createDataFrame([(_DIFF,), (_LOG,)], "text string")).select("kind", "output", "complete")
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 3 AS many, string_split(text, chr(10))[1] AS first FROM documents")
-def l5_first_of_many(spark, sf_dir):
-    items = F.filter(F.split("text", "\n"), lambda x: x != "")
-    return _table(spark, sf_dir, "documents").select("doc_id", (F.size(items) > 3).alias("many"), F.get(F.split("text", "\n"), 0).alias("first"))
-
-
 @query(f"""SELECT {_sql_text(render.FRAMING + "a.go is large — digest instead of full contents." + chr(10) * 2 + "sums" + chr(10) * 2 + "Structure:" + chr(10) + "  1-3        func A" + chr(10) + chr(10) + "Key symbols: A, B" + chr(10) + chr(10) + "For exact lines, Read again with offset/limit on the range you need." + chr(10) + "To force the full file: loom cat a.go" + chr(10))} AS out""")
 def r8_render_file_map(spark, sf_dir):
     m = spark.createDataFrame([(("sums", [("1-3", "func A")], ["A", "B"], ""),)], f"m {render.MAP_TYPE}")
@@ -319,22 +302,6 @@ def r11_prediction_gap(spark, sf_dir):
     return ledger.prediction_gap(e).select("event_id", F.round("gap_usd", 9).alias("gap_usd"), "gap_kind")
 
 
-@query("WITH h AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id FROM events) SELECT event_id, coalesce(floor(epoch(n)) - floor(epoch(ts)), -1)::BIGINT AS until_next FROM h")
-def w3_section_ends(spark, sf_dir):
-    """Each header's section ends where the next begins."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _table(spark, sf_dir, "events").withColumn("next", F.lead("ts").over(w))
-    return e.select("event_id", F.coalesce(F.unix_timestamp(F.col("next").cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp")), F.lit(-1)).cast("long").alias("until_next"))
-
-
-@query("""WITH n AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END AS d FROM events), s AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM n)
-SELECT event_id, (s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id)))::BIGINT AS depth FROM s""")
-def w4_clamped_depth(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = _table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(-1).alias("d")).withColumn("s", F.sum("d").over(w))
-    return e.select("event_id", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).alias("depth"))
-
-
 _GREP = _PLAN.replace("(t + 650) * 0.8", "(((b // 2) + 3) // 4 + 650) * 0.8").replace("WHEN b <= 0 THEN 'PASSTHROUGH'", "WHEN b <= 0 THEN 'DIRECT'")
 
 
@@ -389,4 +356,4 @@ def r15_map_report(spark, sf_dir):
     return reports.map_report(scanners.outline(spark.createDataFrame([("s.sql", text)], "path string, text string"), "sql"))
 
 
-from . import outlines  # noqa: E402, F401  (adds its queries)
+from . import more, outlines  # noqa: E402, F401  (they add their queries)

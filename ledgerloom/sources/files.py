@@ -27,3 +27,13 @@ def hook_events(raw: DataFrame, value: str = "value") -> DataFrame:
     """Events, the tool's input as JSON text beside its parsed forms."""
     e = raw.select(F.from_json(value, HOOK_SCHEMA).alias("e")).where("e.tool_name is not null").select("e.*")
     return e.withColumns({"read": F.from_json("tool_input", READ_SCHEMA), "bash": F.from_json("tool_input", BASH_SCHEMA), "grep": F.from_json("tool_input", GREP_SCHEMA)})
+
+
+def regular_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files under a path, with their sizes and times; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+
+
+def write_state(df: DataFrame, path: str) -> None:
+    """A state document a row; what was there goes once the new one is written."""
+    df.write.mode("overwrite").json(path)
