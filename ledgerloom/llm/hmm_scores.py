@@ -83,8 +83,8 @@ def _encode(lexicon: Lexicon, base_log: np.ndarray, share_log: np.ndarray, end:
                 packed = [raw[2 * s : 2 * e] for s, e in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
                 rows = hi - lo
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, rows), b.column("row_id").slice(lo, rows), b.column("held_out").slice(lo, rows), pa.array(sizes), pa.array(np.rint(many).astype(np.int64) + end_known), pa.array(sizes - 1 - np.rint(many).astype(np.int64)), pa.array(base + end_log), pa.array(share), pa.array(packed, pa.binary())],
-                    ["doc_id", "row_id", "held_out", "n_tokens", "n_known", "n_rare", "base", "share", "symbols"],
+                    [*(b.column(c).slice(lo, rows) for c in ("doc_id", "row_id", "row_no", "held_out")), pa.array(sizes), pa.array(np.rint(many).astype(np.int64) + end_known), pa.array(sizes - 1 - np.rint(many).astype(np.int64)), pa.array(base + end_log), pa.array(share), pa.array(packed, pa.binary())],
+                    ["doc_id", "row_id", "row_no", "held_out", "n_tokens", "n_known", "n_rare", "base", "share", "symbols"],
                 )
 
     return run
@@ -101,8 +101,8 @@ def _rare(hashes: np.ndarray):
                 rare = np.flatnonzero(hashes[at] != w.hash) if len(hashes) else np.arange(len(w.hash))
                 row = (np.searchsorted(w.first, rare, side="right") - 1).astype(np.int32)
                 kind = classes_of(w)[rare].astype(np.int32) if len(w.hash) else np.zeros(0, np.int32)
-                ids = b.column("row_id").slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(wk.signed(w.hash[rare])), ids, pa.array(kind)], ["h", "row_id", "class"])
+                ids = [b.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("row_id", "row_no")]
+                yield pa.RecordBatch.from_arrays([pa.array(wk.signed(w.hash[rare])), *ids, pa.array(kind)], ["h", "row_id", "row_no", "class"])
 
     return run
 
@@ -290,7 +290,7 @@ def scores(
     """docs(doc_id, text) to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     stage = Stage(spark, "hmm")
     docs = fields(docs, doc_id="long", text="string")
-    docs = docs.withColumn("row_id", F.xxhash64("doc_id", "text")).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
+    docs = docs.withColumns({"row_id": F.xxhash64("doc_id", "text"), "row_no": F.hash("text", "doc_id")}).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0)
     train = docs.where("not held_out")
     counts = stage.write(train.select("text").mapInArrow(_counts, "h long, class int, n long").groupBy("h").agg(F.sum("n").alias("c"), F.min("class").alias("class")), "counts")
     ends = train.count()
@@ -317,17 +317,17 @@ def scores(
     share = np.where(is_own, 0.0, np.log10(lexicon.counts + 0.1) - class_norm[top["class"].to_numpy()[order]]) if len(top) else np.zeros(0)
     base = np.log10(lexicon.counts + 0.1) - norm
     end_log = float(np.log10(ends + 0.1)) - norm
-    encoded = stage.write(docs.mapInArrow(_encode(lexicon, base, share, CLASSES, end_log, int(ends > 0)), "doc_id long, row_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, share double, symbols binary"), "symbols")
+    encoded = stage.write(docs.mapInArrow(_encode(lexicon, base, share, CLASSES, end_log, int(ends > 0)), "doc_id long, row_id long, row_no int, held_out boolean, n_tokens long, n_known long, n_rare long, base double, share double, symbols binary"), "symbols")
     stage.release()
     weights = np.concatenate([n_class + 1.0, [ends + 1.0], c[: min(own, len(top))]])
     model = train_model(encoded.where("not held_out"), weights, states, rounds, keep, passes if ends else 0, gain, trace)
-    chain = encoded.mapInArrow(_score(model), "doc_id long, row_id long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, share double, chain double")
+    chain = encoded.mapInArrow(_score(model), "doc_id long, row_id long, row_no int, held_out boolean, n_tokens long, n_known long, n_rare long, base double, share double, chain double")
     levels = F.element_at(F.array(*map(F.lit, class_norm.tolist())), F.col("class") + 1)
-    rare = docs.select("row_id", "text").mapInArrow(_rare(lexicon.hashes), "h long, row_id long, class int").join(counts.select("h", "c"), "h", "left")
+    rare = docs.select("row_id", "row_no", "text").mapInArrow(_rare(lexicon.hashes), "h long, row_id long, row_no int, class int").join(counts.select("h", "c"), "h", "left")
     lg = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))
-    seen = rare.groupBy("row_id").agg(F.sum(lg - F.lit(norm)).alias("base2"), F.sum(lg - levels).alias("share2"), F.count("c").alias("known2"), F.count("*").alias("many"))
-    copies = chain.join(stage.write(seen, "rare"), "row_id", "left")
-    # rows that repeat share a row_id, and each has the sums of one
+    seen = rare.groupBy("row_id", "row_no").agg(F.sum(lg - F.lit(norm)).alias("base2"), F.sum(lg - levels).alias("share2"), F.count("c").alias("known2"), F.count("*").alias("many"))
+    copies = chain.join(stage.write(seen, "rare"), ["row_id", "row_no"], "left")
+    # rows that repeat share a key, and each has the sums of one
     once = lambda x: F.coalesce(F.col(x) * F.col("n_rare") / F.col("many"), F.lit(0.0))
     return copies.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.round(once("known2")).cast("long")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

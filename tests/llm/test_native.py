@@ -46,4 +46,8 @@ def test_licenses(spark, odd, none):
     for r in df.collect():
         t = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")
         assert r["doc_id"] is None or got[r["doc_id"]]["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t))
+    body = next(t for _, t in licenses.TEMPLATES if len(t.split()) > 48)
+    far = "x " * 333 + body.replace("free of charge", "free  of\ncharge,").upper() + " y" * 100
+    rows = licenses.scan(spark, spark.createDataFrame([(1, far), (2, far.replace("SUBLICENSE AND OR SELL", "X")), (3, "x " * 500)], "doc_id long, text string"), (("body", body),)).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {1: "body", 2: "body", 3: ""} and {r["doc_id"]: r["score"] for r in rows}[2] < 1.0
     assert licenses.scan(spark, df).count() == df.count() and licenses.scan(spark, none).count() == 0
