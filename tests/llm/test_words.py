@@ -151,3 +151,18 @@ def test_sets_of_short_texts():
     (_, _, data, offsets), *_ = list(wk.chunks(pa.array(["a b", "", "a b c d e f", "x x x x x x x"])))
     h, first = shingle_sets(wk.words(data, offsets, True), 5)
     assert list(np.diff(first)) == [1, 0, 2, 1] and len(h) == 4
+
+
+def test_recall_of_the_defaults(spark):
+    rng = np.random.default_rng(17)
+    rows, near = [], 0
+    for i in range(150):  # pairs from about 0.75 to 0.95
+        a = [f"p{x}" for x in rng.integers(0, 10**6, 300)]
+        b = list(a)
+        for k in rng.choice(300, int(rng.integers(2, 9)), replace=False):
+            b[k] = "edit"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = ({tuple(w[k : k + 5]) for k in range(296)} for w in (a, b))
+        near += 100 * len(x & y) >= 80 * len(x | y)
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("not kept").count()
+    assert near > 80 and got == near
