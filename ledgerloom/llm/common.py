@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_key(doc_id: str | Column, text: str | Column) -> list[Column]:
+    """A row's own key, of 96 bits, which holds where doc_ids are missing or repeat; equal rows share it."""
+    return [F.xxhash64(doc_id, text), F.hash(text, doc_id)]
+
+
+def handed_out(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df, a few numbers a row, marked to be handed to all tasks if it has at most `most` rows; else as it is, for a
+    shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def by_key(df: DataFrame, *then: str) -> DataFrame:
     """df with the rows of a `key` (long) in one partition, in the order of key and `then`."""
     return df.repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key", *then)

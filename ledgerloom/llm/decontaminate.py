@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, fields, table
+from .common import Stage, fields, handed_out, table
 
 
 def words_of(text: str) -> Column:
@@ -75,6 +75,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
     return best.select("doc_id", "item_id", "m.n_item", "m.n_shared", "m.containment")
 
 
+def without_items(spark: SparkSession, docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """docs, with all their columns, less the rows that hold an item; equal rows share a verdict. Texts are not moved
+    while the rows found are few."""
+    lower = {c.lower() for c in docs.columns}
+    key = next(x for i in range(len(docs.columns) + 1) if (x := f"_row{'_' * i}") not in lower)
+    # the search takes one number a row; two rows that share it by chance share the verdict of either
+    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"], docs["text"]))
+    found = Stage(spark, "without-items").write(contaminated(spark, keyed.select(F.col(key).alias("doc_id"), docs["text"].alias("text")), items, **how).select(F.col("doc_id").alias(key)).distinct(), "found")
+    return keyed.join(handed_out(found), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import Stage, by_key, fields, table, whole_groups
+from .common import Stage, by_key, fields, handed_out, row_key, table, whole_groups
 from .components import components
 
 COORDINATES, POOL = 64, 24
-PIVOTS, CORE = 4, 10
+PIVOTS, CORE = 4, 4
 CHUNK = 2048  # sets a task takes of a hot node
 HOT = 1 << 16  # sets of a node that one task may take
-FEW, WORK = 1024, 1 << 22  # others of a hot node that all its sets meet; comparisons of others in a node's task
+FEW, WORK = 4096, 1 << 23  # others of a hot node that all its sets meet; comparisons of others in a node's task
 TIE, MAIN, OTHER, RIM = range(4)  # rows of the search: ties; a part's main pivot; sets not tied to it; those tied, but far
 _ODD = np.random.default_rng(7).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 KEYS = ["k1", "k2", "k3", "k4"]  # four bits of each coordinate, sixteen coordinates a long
@@ -97,7 +97,7 @@ def _summaries(k: int, roots: int):
                 nibble = wk.mix(least) >> np.uint64(60)
                 keys = [wk.signed(np.bitwise_or.reduce(nibble[:, g : g + 16] << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)) for g in range(0, COORDINATES, 16)]
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * wide), pa.array(wk.signed(np.ascontiguousarray(least[:, :wide])).ravel()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "r")), pa.array(size.astype(np.int64)), pa.array(wk.signed(one)), pa.array(wk.signed(two)), *map(pa.array, keys), values], ["doc_id", "r", "n", "s1", "s2", *KEYS, "sig"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "r", "no")), pa.array(size.astype(np.int64)), pa.array(wk.signed(one)), pa.array(wk.signed(two)), *map(pa.array, keys), values], ["doc_id", "r", "no", "n", "s1", "s2", *KEYS, "sig"])
 
     return run
 
@@ -357,7 +357,7 @@ def _ties(stage: Stage, heads: DataFrame, percent: int, roots: int, branches: in
         if not last:
             hot = stage.write(rows.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") > min(max(CHUNK, total // 16384), HOT)), "hot")
             many = hot.count()
-            hot = (F.broadcast(hot) if many <= 1 << 17 else hot) if many else None
+            hot = handed_out(hot) if many else None
         if hot is not None:
             key, order = F.xxhash64("node", "part").alias("key"), F.xxhash64("v", F.lit(level))
             pivots = rows.join(hot, "node").groupBy("node", "c", F.pmod(order, F.lit(PIVOTS))).agg(F.min(F.struct(order.alias("s"), "v", "n", *KEYS)).alias("p"))
@@ -396,13 +396,16 @@ def _ties(stage: Stage, heads: DataFrame, percent: int, roots: int, branches: in
 _MET = "a long, b long, kind int"
 
 
-def near_duplicates(
+def row_groups(
     spark: SparkSession, docs: DataFrame, percent: int = 80, shingle: int = 5, roots: int = 9, branches: int = 10, levels: int = 4, leaf: int = 2048, agree: int = 34, task_sets: int = 4096, task_hashes: int = 1 << 21
 ) -> DataFrame:
-    """docs(doc_id, text) to doc_id, n_shingles, component_id, kept for every row; `agree` belongs to `percent`."""
+    """docs(doc_id, text) to doc_id, r, no, n, label, component_id for every row: r and no are row_key's hashes, n the
+    size of the row's set, label its group (null for empty sets), component_id the least doc_id there. `agree` belongs to
+    `percent`."""
     stage = Stage(spark, "near-dedup")
-    docs = fields(docs, doc_id="long", text="string").withColumn("r", F.xxhash64("doc_id", "text"))
-    every = stage.write(docs.mapInArrow(_summaries(shingle, roots), f"doc_id long, r long, n long, s1 long, s2 long, {', '.join(f'{k} long' for k in KEYS)}, sig array<long>"), "sets")
+    docs = fields(docs, doc_id="long", text="string")
+    docs = docs.withColumns(dict(zip(("r", "no"), row_key("doc_id", "text"), strict=True)))
+    every = stage.write(docs.mapInArrow(_summaries(shingle, roots), f"doc_id long, r long, no int, n long, s1 long, s2 long, {', '.join(f'{k} long' for k in KEYS)}, sig array<long>"), "sets")
     # equal sets fold to one vertex, which the row of the least r stands for
     vertex = every.where("n > 0").groupBy("s1", "s2", "n", *KEYS, "sig").agg(F.min("doc_id").alias("id"), F.min("r").alias("r"))
     heads = stage.write(vertex.withColumn("v", F.monotonically_increasing_id()), "heads")
@@ -414,8 +417,9 @@ def near_duplicates(
     # full sets of the clusters' rows; up to a million row keys are handed out, so that other texts stay where they are
     asked = clusters.select("r", "v", "cluster", "s1", "s2")
     texts = docs.select("r", "text")
-    if clusters.count() <= 1 << 20:
-        texts = texts.join(F.broadcast(clusters.select("r")), "r", "left_semi")
+    wanted = clusters.select("r")
+    if (some := handed_out(wanted)) is not wanted:
+        texts = texts.join(some, "r", "left_semi")
     sets = stage.write(texts.join(asked, "r").select("v", "cluster", "s1", "s2", "text").mapInArrow(_sets(shingle), "v long, cluster long, n long, set binary"), "full")
     stage.release()
     size = clusters.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("hashes"))
@@ -451,12 +455,40 @@ def near_duplicates(
     label = components(stage, links).select(F.col("node").alias("v"), F.col("component").alias("label"))
     named = stage.write(heads.select("v", "s1", "s2", "id").join(label, "v", "left").withColumn("label", F.coalesce("label", "v")), "labels")
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = stage.write(named.join(least, "label").select("s1", "s2", "component_id"), "components")
+    named = stage.write(named.join(least, "label").select("s1", "s2", "label", "component_id"), "components")
     stage.drop(sets, clusters, heads)
+    out = stage.write(every.select("doc_id", "r", "no", "n", "s1", "s2").join(named, ["s1", "s2"], "left").drop("s1", "s2"), "rows")
+    stage.drop(every, named)
     stage.release()
-    out = every.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(named, ["s1", "s2"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """docs(doc_id, text) to doc_id, n_shingles, component_id, kept for every row; how: row_groups' parameters."""
+    rows = row_groups(spark, docs, **how)
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """docs, with all their columns, less the near copies: of each group the row of the least doc_id stays, of rows
+    without one the first by hash; of equal rows one. Rows without words all stay. Kept texts are not moved, but for those
+    of rows that repeat."""
+    rows = row_groups(spark, docs, **how).where("n > 0")
+    stage = Stage(spark, "without-copies")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "r", "no")
+    stay = rows.groupBy("label").agg(F.min(rank).alias("k"), F.count("*").alias("c")).select("k.r", "k.no", "c")
+    keys = rows.groupBy("r", "no").agg(F.count("*").alias("n")).join(stay.select("r", "no", F.lit(True).alias("stays")), ["r", "no"], "left")
+    keys = stage.write(keys.where("stays is null or n > 1"), "keys")
+    lower = {c.lower() for c in docs.columns}
+    own = [next(x for i in range(len(docs.columns) + 1) if (x := f"_{c}{'_' * i}") not in lower) for c in ("r", "no")]
+    keyed = docs.withColumns(dict(zip(own, row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")), strict=True)))
+    left = keyed.join(handed_out(keys.where("stays is null").select("r", "no").toDF(*own)), own, "left_anti")
+    again = keys.where("stays").select("r", "no").toDF(*own)
+    if not again.isEmpty():
+        again = handed_out(again)
+        left = left.join(again, own, "left_anti").unionByName(left.join(again, own, "left_semi").dropDuplicates(own))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import Stage, fields, table
+from .common import Stage, fields, row_key, table
 
 #: Perfect difference sets by period: every residue is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -157,11 +157,6 @@ def _replace(window: int, names: list[str], at: str):
 ROW = ["row_id", "row_no"]
 
 
-def _row_key(doc_id: str, text: str) -> list:
-    """A row's own key, of 96 bits, which holds where doc_ids are missing or repeat; equal rows share it."""
-    return [F.xxhash64(doc_id, text), F.hash(text, doc_id)]
-
-
 def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
     """keyed(row_id, row_no, text) to the row and the start of each window that starts anywhere else too. Windows are
     told apart by 96 bits of two hashes."""
@@ -187,7 +182,7 @@ def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
     """docs(doc_id, text) to one row a document: doc_id, n_words, n_removed, kept_sha256."""
     docs = fields(docs, doc_id="long", text="string")
-    keyed = docs.withColumns(dict(zip(ROW, _row_key("doc_id", "text"), strict=True)))
+    keyed = docs.withColumns(dict(zip(ROW, row_key("doc_id", "text"), strict=True)))
     gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed, window)
     return keyed.join(gone, ROW, "left").select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -198,7 +193,7 @@ def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame
     names = docs.columns
     lower = {n.lower() for n in names}
     key, no, at = (next(n for n in (f"_{x}{'_' * i}" for i in range(len(names) + 1)) if n not in lower) for x in ("row", "no", "at"))
-    keyed = docs.withColumns(dict(zip((key, no), _row_key("doc_id", "text"), strict=True)))
+    keyed = docs.withColumns(dict(zip((key, no), row_key("doc_id", "text"), strict=True)))
     gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select(F.col(key).alias("row_id"), F.col(no).alias("row_no"), F.col("text").cast("string").alias("text")), window)
     out = keyed.join(gone.toDF(key, no, at), [key, no], "left").select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -46,7 +46,7 @@ SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def plain_near(rows):
-    """Rows that stay: of each group linked at four fifths, the least id, then a row of the least text hash."""
+    """Rows that stay: of each group linked at four fifths, the one of the least id."""
     sets = []
     for _, t in rows:
         w = SPACE.findall(t.lower())
