@@ -13,7 +13,6 @@ there is no oracle; tests hold the stages against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontaminate, near_dedup, substring_dedup
 from ledgerloom.llm import toxicity as tox
@@ -26,26 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.without_toxic(docs, *tox.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
-def _key(docs: DataFrame) -> str:
-    """A name that no column of docs has."""
-    name = "row_key"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row is a document under a key of its own; the key is written once, so that all readings of a row agree."""
-    key = _key(docs)
-    stage = Stage(spark, "pipeline-rows")
-    keyed = stage.write(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    groups = near_dedup.near_duplicates(spark, keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
-    # the least doc_id of a group stays, of rows without one the first by text; equal rows differ by their keys only
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(key).alias("row"))
-    rows = stage.write(groups.select(F.col("doc_id").alias("row"), "component_id").join(keyed.select(F.col(key).alias("row"), rank.alias("rank")), "row"), "groups")
-    stay = rows.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.row").alias("row"))
-    gone = rows.join(stay, "row", "left_anti").select(F.col("row").alias(key))
-    return keyed.join(gone, key, "left_anti").select(docs.columns)
+    return near_dedup.without_copies(spark, docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +34,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = _key(docs)
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))  # equal rows share a verdict
-    found = decontaminate.contaminated(spark, keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(found, key, "left_anti").select(docs.columns)
+    return decontaminate.without_items(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
