@@ -5,7 +5,7 @@ have one shift d < v that brings both onto cover positions; so two equal windows
 window - v + 1 words. Steps, each a written table or one shuffle:
 
 1. hash the anchors at cover positions only (5 of 21 positions), count by hash, keep hashes seen twice or more;
-2. bring these back to their documents; a window that holds a repeated anchor is a candidate (every repeated window
+2. bring these back to their documents (a Bloom filter of fixed size keeps most other anchors from moving); a window that holds a repeated anchor is a candidate (every repeated window
    does, at the shift it shares with its copy);
 3. extend: hash the whole candidate windows, count, keep those that start at two places or more;
 4. remove each word that such a window covers.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import Stage, fields, row_key, table
+from .common import Stage, fields, handed_out, row_key, table
 
 #: Perfect difference sets by period: every residue is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -63,12 +63,37 @@ def _count_anchors(window: int):
     return run
 
 
-def _place_anchors(window: int):
+BLOOM_BITS = 1 << 26
+
+
+def _bloom(hashes: DataFrame) -> np.ndarray:
+    """Bits at two places a hash, of a fixed number: what reaches the driver is at most their 8 MB, by word."""
+    mask = F.lit(BLOOM_BITS - 1)
+    at = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
+    words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(BLOOM_BITS // 64, np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    mask, found = np.uint64(BLOOM_BITS - 1), np.ones(len(h), bool)
+    for at in (h & mask, (h >> np.uint64(32)) & mask):
+        found &= (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def _place_anchors(window: int, bloom: np.ndarray):
+    """Places of anchors that may be repeated ones; few others pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in wk.chunks(b.column("text")):
                 w = wk.words(data, offsets, False)
                 at, row, h = _anchors(w, window)
+                some = _in_bloom(bloom, h)
+                at, row, h = at[some], row[some], h[some]
                 pos = (at - w.first[row]).astype(np.int32)
                 ids = [b.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("row_id", "row_no")]
                 yield pa.RecordBatch.from_arrays([pa.array(wk.signed(h)), *ids, pa.array(pos)], ["h", "row_id", "row_no", "pos"])
@@ -157,6 +182,19 @@ def _replace(window: int, names: list[str], at: str):
 ROW = ["row_id", "row_no"]
 
 
+def _beside(keyed: DataFrame, lists: DataFrame, row: list[str], all_rows: bool) -> DataFrame:
+    """keyed rows with the lists of their keys, or (all_rows) null. While the keys are few, other rows' texts stay where
+    they are."""
+    wanted = lists.select(*row)
+    some = handed_out(wanted)
+    if some is wanted:
+        return keyed.join(lists, row, "left" if all_rows else "inner")
+    with_list = keyed.join(some, row, "left_semi").join(lists, row)
+    if not all_rows:
+        return with_list
+    return keyed.join(some, row, "left_anti").withColumn(lists.columns[-1], F.lit(None).cast("array<int>")).unionByName(with_list)
+
+
 def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
     """keyed(row_id, row_no, text) to the row and the start of each window that starts anywhere else too. Windows are
     told apart by 96 bits of two hashes."""
@@ -164,11 +202,11 @@ def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
         keyed.select("text").mapInArrow(_count_anchors(window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors"
     )
     stage.release()
-    placed = keyed.select(*ROW, "text").mapInArrow(_place_anchors(window), "h long, row_id long, row_no int, pos int")
+    placed = keyed.select(*ROW, "text").mapInArrow(_place_anchors(window, _bloom(repeated)), "h long, row_id long, row_no int, pos int")
     found = stage.write(placed.join(repeated, "h").groupBy(*ROW).agg(F.collect_list("pos").alias("at")), "places")
     stage.drop(repeated)
     stage.release()
-    windows = stage.write(keyed.join(found, ROW).select(*ROW, "text", "at").mapInArrow(_candidates(window), "h long, g int, row_id long, row_no int, pos int"), "windows")
+    windows = stage.write(_beside(keyed, found, ROW, False).select(*ROW, "text", "at").mapInArrow(_candidates(window), "h long, g int, row_id long, row_no int, pos int"), "windows")
     stage.drop(found)
     stage.release()
     again = stage.write(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "repeats")
@@ -184,7 +222,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> Da
     docs = fields(docs, doc_id="long", text="string")
     keyed = docs.withColumns(dict(zip(ROW, row_key("doc_id", "text"), strict=True)))
     gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed, window)
-    return keyed.join(gone, ROW, "left").select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _beside(keyed, gone, ROW, True).select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
@@ -195,7 +233,7 @@ def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame
     key, no, at = (next(n for n in (f"_{x}{'_' * i}" for i in range(len(names) + 1)) if n not in lower) for x in ("row", "no", "at"))
     keyed = docs.withColumns(dict(zip((key, no), row_key("doc_id", "text"), strict=True)))
     gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select(F.col(key).alias("row_id"), F.col(no).alias("row_no"), F.col("text").cast("string").alias("text")), window)
-    out = keyed.join(gone.toDF(key, no, at), [key, no], "left").select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
+    out = _beside(keyed, gone.toDF(key, no, at), [key, no], True).select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

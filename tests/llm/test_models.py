@@ -1,3 +1,5 @@
+import itertools
+import os
 import time
 
 import numpy as np
@@ -169,3 +171,68 @@ def test_generated_pages():
     for _ in range(300):
         page, text = pages_by_rule(rng)
         assert html_text.main_text(page) == text
+
+
+def plain_viterbi(token, model):
+    """The cheapest reading, by every combination of what each character can stand for."""
+    best = None
+    options = []
+    for i, c in enumerate(token):
+        if c.isalpha():
+            options.append([(c, 0.0), *([("", toxicity.REPEATED)] if i and token[i - 1] == c else [])])
+        elif c in toxicity.LOOKS:
+            options.append([*((x, toxicity.SUBSTITUTED) for x in toxicity.LOOKS[c]), ("", toxicity.DROPPED), (" ", toxicity.BROKEN)])
+        else:
+            options.append([("", toxicity.REPEATED if c in toxicity.APART or c == " " else toxicity.DROPPED), (" ", toxicity.BROKEN)])
+    for way in itertools.product(*options):
+        text = "".join(x for x, _ in way)
+        cost, a, b = sum(p for _, p in way), 0, 0
+        for byte in [*text.encode(), None]:
+            s = 0 if byte is None else int(toxicity._SYMBOL[byte])
+            cost += model[a, b, s]
+            a, b = b, s
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, text)
+    return best
+
+
+def test_decoding_is_exact():
+    rng = np.random.default_rng(6)
+    model = toxicity.character_model(rng.integers(0, 50, toxicity.SYMBOLS**3))
+    for _ in range(150):
+        token = "".join(rng.choice(list("aabbcé0134$!.- "), int(rng.integers(1, 8))))
+        cost, text = plain_viterbi(token, model)
+        assert toxicity._viterbi(token, model, [len(token)])[0] == text, token
+    long = "id10t" * 300 + "aab" * 500  # long tokens are decoded whole
+    assert " " not in toxicity._viterbi("a" * 60, toxicity.character_model(np.ones(toxicity.SYMBOLS**3)), [60])[0] and len(toxicity._viterbi(long, model, [len(long)])) == 1
+
+
+def test_pairs_of_letters_are_decided_as_the_lattice_does():
+    rng = np.random.default_rng(7)
+    model = toxicity.character_model(rng.integers(0, 50, toxicity.SYMBOLS**3))
+    for _ in range(300):
+        letters = rng.choice(list("abc"), int(rng.integers(1, 6)))
+        letters = [c for i, c in enumerate(letters) if not i or letters[i - 1] != c]
+        token = "".join(c * int(rng.integers(1, 3)) for c in letters)
+        data = np.frombuffer(token.encode(), np.uint8)
+        gone = set(toxicity.doubled(data, np.array([0]), np.array([len(data)]), model).tolist())
+        assert "".join(c for i, c in enumerate(token) if i not in gone) == plain_viterbi(token, model)[1], token
+
+
+def test_samples_of_any_size_are_taken(spark):
+    df = spark.range(100_000).select((F.col("id") * 0 + 77).alias("same"), F.shiftrightunsigned(F.xxhash64("id"), 4).alias("order"))
+    for most in (10, 1000, 50_000, 10**6):
+        n = df.where(F.col("order") < toxicity._first(df, F.col("order"), most)).count()
+        assert 0.85 * min(most, 100_000) <= n <= most
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_held_out_labels(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity.op7_toxicity(spark, SF).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r["score"] for r in rows if r["toxic"] == t] for t in (0, 1))
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert auc > 0.75 and sum(r["predicted"] for r in rows if not r["toxic"]) <= 0.02 * len(good)

@@ -1,10 +1,13 @@
 import hashlib
+import os
 import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow import orc
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -121,3 +124,25 @@ def test_long_texts_take_the_memory_of_a_window(spark):
     assert peaks[2] < 1.3 * peaks[1] and n > 1_000_000
     (row,) = bpe.digests(spark.createDataFrame([(1, text * 4)], "doc_id long, text string"), PATH).collect()
     assert (row["n_tokens"], row["decoded_sha256"]) == (n, hashlib.sha256((text * 4).encode()).hexdigest())
+
+
+def test_stripes_are_read_alone_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    docs = spark.range(0, 60_000, 2).selectExpr("id as doc_id", "concat('some text of document ', id, ' ', repeat('word ', cast(id % 40 as int))) as text")
+    token_files.write_ids(docs, path, PATH, files=1, stripe_bytes=1 << 18)
+    (name,) = [f for f in os.listdir(path) if f.endswith(".orc")]
+    file = orc.ORCFile(f"{path}/{name}")
+    assert file.nstripes > 2
+    stripes = [file.read_stripe(i) for i in reversed(range(file.nstripes))]  # in any order, each by itself
+    ids = np.concatenate([s.column(s.schema.get_field_index("doc_id")).to_numpy() for s in reversed(stripes)])
+    assert (ids == np.arange(0, 60_000, 2)).all()
+
+    def rows_read(doc_id):
+        df = token_files.read_ids(spark, path).where(F.col("doc_id") == doc_id)
+        found = df.collect()
+        return len(found), df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    found, read = rows_read(30_000)
+    assert found == 1 and 0 < read <= 4000  # row groups of 2000 rows
+    found, read = rows_read(30_001)  # within a group's range, but not in its Bloom filter
+    assert (found, read) == (0, 0)
