@@ -10,9 +10,10 @@ word, by the best of them. Features of the restored text are its words and their
 
 Trained here: the character model from all documents (counts summed in each task, then over the corpus); label weights
 from at most `max_train_rows` labelled rows whose crc32(doc_id as text) mod 5 is not 0, taken in hash order, equal
-texts of one label counted once. A feature gets its log odds if its G2 statistic stands out
-for as many features as were tested (a few may by chance; a text needs more evidence than one). A text's score is the logistic of its distinct words' weights over a threshold
-set in the gap of the training rows. lang, source, labels and ids are no inputs of a score.
+texts of one label counted once. A feature gets its log odds if its G2 statistic passes a bar. The bar, one of BARS,
+and the threshold are those with the fewest errors when every training row is judged by counts that it is taken out of:
+features that only a few texts speak for, as words of copies do, then err on other texts. A text's score is the
+logistic of its distinct words' weights over the threshold. lang, source, labels and ids are no inputs of a score.
 
 Nulls and empty texts: score of no evidence. No usable labels: every score is 0.0. A label given twice counts as toxic
 if one of them says so. Repeated rows are scored row by row; a null doc_id is held out if the crc32 of the empty text
@@ -414,34 +415,77 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows:
     if not toxic or not clean:
         return model, nothing
     counted = stage.write(train.mapInArrow(_label_counts(model), "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "counts")
-    tested = counted.count()
     n, T, C, t, c = float(toxic + clean), float(toxic), float(clean), F.col("t"), F.col("c")
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(F.lit(0.0))
     both = t + c
     g2 = 2 * (term(t, both * T / n) + term(c, both * C / n) + term(T - t, (n - both) * T / n) + term(C - c, (n - both) * C / n))
     odds = F.log((t + 0.5) / (T + 1)) - F.log((c + 0.5) / (C + 1))
-    # as many features may stand out as were tested; at most a fixed number is kept, the strongest
-    found = counted.select("f", g2.alias("g2"), odds.alias("w")).where((F.col("w") > 1.5) & (F.col("g2") > 2 * max(7.0, math.log(tested + 1) - 3)))
+    found = counted.select("f", "t", "c", g2.alias("g2")).where((odds > ODDS) & (F.col("g2") > LEAST_G2))
     # strong ones first, in classes of like strength, by hash in a class
     rank = (F.lit(4095) - F.least(F.floor(F.log2("g2") * 64), F.lit(4095))).cast("long") * F.lit(1 << 48) + F.shiftrightunsigned(F.xxhash64("f"), 16)
-    kept = found.where(rank < _first(found, rank, max_features)).orderBy("f").toPandas()
+    kept = found.where(rank < _first(found, rank, max_features)).toPandas()
     h = kept["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    weights = Weights(h[order], np.minimum(kept["w"].to_numpy(float)[order], 6.0), 0.0)
-    bins = train.mapInArrow(_evidence_with_label(model, weights), "toxic int, x double").groupBy("toxic", F.round(F.least("x", F.lit(60.0)) * 4).alias("x")).agg(F.count("*").alias("n")).toPandas()
-    return model, weights._replace(threshold=_threshold(bins["x"].to_numpy(float) / 4, bins["toxic"].to_numpy(int), bins["n"].to_numpy(float)))
+    h, t_of, c_of = h[order], kept["t"].to_numpy(float)[order], kept["c"].to_numpy(float)[order]
+    if not len(h):
+        return model, nothing
+    bars = np.geomspace(LEAST_G2, max(float(kept["g2"].max()) * 0.99, LEAST_G2 + 1), BARS)
+    # a row is judged by counts that it is taken out of
+    tables = [[_values(t_of - y, c_of - 1 + y, T - y, C - 1 + y, bar) for bar in bars] for y in (0, 1)]
+    bins = train.mapInArrow(_left_out(model, h, tables), "bar int, toxic int, x int, n long").groupBy("bar", "toxic", "x").agg(F.sum("n").alias("n")).toPandas()
+    best: tuple[float, int, float] | None = None
+    for bar in range(BARS):
+        own = bins[bins["bar"] == bar]
+        errors, threshold = _threshold(own["x"].to_numpy(float) / 4, own["toxic"].to_numpy(int), own["n"].to_numpy(float))
+        if best is None or (errors, -bar) < best[:2]:
+            best = (errors, -bar, threshold)
+    values = _values(t_of, c_of, T, C, bars[-best[1]])
+    some = values > 0
+    return model, Weights(h[some], values[some], best[2])
+
+
+ODDS, LEAST_G2, BARS = 1.5, 14.0, 16
+
+
+def _values(t: np.ndarray, c: np.ndarray, toxic: float, clean: float, bar: float) -> np.ndarray:
+    """Log odds of features whose G2 statistic passes the bar, 6 at most; 0 for others."""
+    t, c, n = np.maximum(t, 0.0), np.maximum(c, 0.0), toxic + clean
+    both = t + c
+    g2 = np.zeros(len(t))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for x, e in ((t, both * toxic / n), (c, both * clean / n), (toxic - t, (n - both) * toxic / n), (clean - c, (n - both) * clean / n)):
+            g2 += np.where(x > 0, 2 * x * np.log(x / e), 0.0)
+    odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+    return np.where((odds > ODDS) & (g2 > bar), np.minimum(odds, 6.0), 0.0)
+
+
+def _left_out(model: np.ndarray, hashes: np.ndarray, tables: list[list[np.ndarray]]):
+    """Counts of rows by bar, label and evidence (in quarters), by the tables of the row's own label."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int, int], int] = {}
+        for b in batches:
+            for lo, hi, data, offsets in wk.chunks(_lower(b.column("text"))):
+                found = features(data, offsets, model)
+                toxic = b.column("toxic").slice(lo, hi - lo).to_numpy()
+                for y in (0, 1):
+                    for bar, values in enumerate(tables[y]):
+                        x = evidence(*found, hi - lo, Weights(hashes, values, 0.0))[toxic == y]
+                        for q, n in zip(*np.unique(np.rint(np.minimum(x, 60.0) * 4).astype(int), return_counts=True), strict=True):
+                            total[bar, y, int(q)] = total.get((bar, y, int(q)), 0) + int(n)
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([total[k] for k in keys], pa.int64())], ["bar", "toxic", "x", "n"])
 
-def _evidence_with_label(model: np.ndarray, weights: Weights):
-    return _evidence(model, weights, "toxic")
+    return run
 
 
-def _threshold(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> float:
-    """The middle of the gap with the fewest errors."""
+def _threshold(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """The fewest errors, and the middle of the first gap that has them."""
     cuts = np.unique(x)
-    middles = np.concatenate([[cuts[0] - 0.5], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 0.5]])
-    errors = [n[(x > m) & (toxic == 0)].sum() + n[(x <= m) & (toxic == 1)].sum() for m in middles]
-    return float(middles[int(np.argmin(errors))])
+    middles = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 0.5]])
+    errors = [float(n[(x > m) & (toxic == 0)].sum() + n[(x <= m) & (toxic == 1)].sum()) for m in middles]
+    at = int(np.argmin(errors))
+    return errors[at], float(middles[at])
 
 
 def scores(docs: DataFrame, model: np.ndarray, weights: Weights) -> DataFrame:
