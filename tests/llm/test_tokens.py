@@ -128,7 +128,7 @@ def test_long_texts_take_the_memory_of_a_window(spark):
 
 def test_stripes_are_read_alone_and_pruned(spark, tmp_path):
     path = str(tmp_path / "ids")
-    docs = spark.range(0, 60_000, 2).selectExpr("id as doc_id", "concat('some text of document ', id, ' ', repeat('word ', cast(id % 40 as int))) as text")
+    docs = spark.range(0, 60_000, 2).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 3), i -> md5(string(id * 10 + i)))) as text")
     token_files.write_ids(docs, path, PATH, files=1, stripe_bytes=1 << 18)
     (name,) = [f for f in os.listdir(path) if f.endswith(".orc")]
     file = orc.ORCFile(f"{path}/{name}")
