@@ -41,7 +41,7 @@ def _ends(sections: DataFrame) -> DataFrame:
 
 def _numbered(entries: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("start_line", "kind")
-    return entries.select("path", F.row_number().over(w).alias("ord"), "start_line", "end_line", "kind", line_range(F.col("start_line"), F.col("end_line")).alias("lines"))
+    return entries.select("path", F.row_number().over(w).alias("ord"), "start_line", "end_line", "kind", line_range(F.col("start_line"), F.col("end_line")).alias("lines"), "names")
 
 
 def _more(items: Column, k: int, fmt: str) -> Column:
@@ -64,7 +64,7 @@ def yaml(files: DataFrame, text: str = "text") -> DataFrame:
     g = _ends(g.where("section > 0").join(all_lines, "path")).where("opened")
     braces = F.concat(F.col("key"), F.lit(": {"), F.array_join(F.slice("children", 1, 5), ", "), F.lit("}"), F.when(F.size("children") > 5, F.format_string(" (+%d more)", F.size("children") - 5)).otherwise(""))
     kind = F.when(F.size("children") > 0, braces).when(F.col("items") > 0, F.format_string("%s: list[%d]", "key", "items")).otherwise(F.col("key"))
-    return _numbered(g.withColumn("kind", kind))
+    return _numbered(g.withColumn("kind", kind).withColumn("names", F.array("key")))
 
 
 def yaml_summary(entries: DataFrame) -> DataFrame:
@@ -93,7 +93,8 @@ def toml(files: DataFrame, text: str = "text") -> DataFrame:
     g = _ends(g)
     root = F.concat(F.lit("root: "), F.array_join(F.slice("keys", 1, 6), ", "))
     named = F.when(F.size("keys") == 0, F.col("head")).otherwise(F.concat(F.col("head"), F.lit(" — "), _more(F.col("keys"), 6, " (+%d more)")))
-    return _numbered(g.where("section > 0 or size(keys) > 0").withColumn("kind", F.when(F.col("section") == 0, root).otherwise(named)))
+    kind, names = F.when(F.col("section") == 0, root).otherwise(named), F.when(F.col("section") == 0, F.col("keys")).otherwise(F.array("head"))
+    return _numbered(g.where("section > 0 or size(keys) > 0").withColumns({"kind": kind, "names": names}))
 
 
 def dockerfile(files: DataFrame, text: str = "text") -> DataFrame:
@@ -106,7 +107,7 @@ def dockerfile(files: DataFrame, text: str = "text") -> DataFrame:
     g = _ends(g).where("section > 0")
     alias = F.regexp_extract("head", head, 2)
     kind = F.concat(F.lit("FROM "), F.regexp_extract("head", head, 1), F.when(alias != "", F.concat(F.lit(" AS "), alias)).otherwise(""), F.when(F.size("verbs") > 0, F.concat(F.lit(" — "), F.array_join("verbs", ", "))).otherwise(""))
-    return _numbered(g.withColumn("kind", kind))
+    return _numbered(g.withColumn("kind", kind).withColumn("names", F.array("kind")))
 
 
 def makefile(files: DataFrame, text: str = "text") -> DataFrame:
@@ -124,7 +125,7 @@ def makefile(files: DataFrame, text: str = "text") -> DataFrame:
     g = _ends(g.where("section > 0")).where("opened").join(names, ["path", "name"], "left")
     shown = F.when(F.octet_length("recipe") > 60, F.concat(F.substring(F.col("recipe").cast("binary"), 1, 57).cast("string"), F.lit("..."))).otherwise(F.col("recipe"))
     kind = F.concat(F.col("name"), F.when(F.col("phony"), " (phony)").otherwise(""), F.when(F.col("recipe").isNotNull(), F.concat(F.lit(": "), shown)).otherwise(""))
-    return _numbered(g.withColumn("kind", kind))
+    return _numbered(g.withColumn("kind", kind).withColumn("names", F.array("name")))
 
 
 def python(files: DataFrame, text: str = "text") -> DataFrame:
@@ -157,7 +158,8 @@ def python(files: DataFrame, text: str = "text") -> DataFrame:
     # a function reaches to the line before the next entry; one that starts on the last line doesn't count
     after = F.min("start_line").over(Window.partitionBy("path").orderBy("start_line").rangeBetween(1, Window.unboundedFollowing))
     end = F.when(F.col("kind").startswith("def "), F.when(after < F.col("last"), after - 1).otherwise(F.col("last"))).otherwise(F.col("end_line"))
-    return _numbered(every.withColumn("end_line", F.greatest(F.col("start_line"), end)))
+    name = F.regexp_extract("kind", r"^(?:class |def )?(\w+)", 1)
+    return _numbered(every.withColumns({"end_line": F.greatest(F.col("start_line"), end), "names": F.when(F.col("kind") == "imports", F.array().cast("array<string>")).otherwise(F.array(name))}))
 
 
 #: Parser name (see predicates.parser_of) to outline.
@@ -168,6 +170,45 @@ def outline(files: DataFrame, parser: str, text: str = "text") -> DataFrame:
     return OUTLINES[parser](files, text)
 
 
-def is_generated(text: Column, lines: int = 5) -> Column:
+def is_generated(text: Column, lines: int = 5, marks: str = GENERATED) -> Column:
     """A marker among the first lines says that the file is generated."""
-    return F.substring_index(text, "\n", lines).rlike(GENERATED)
+    return F.substring_index(text, "\n", lines).rlike(marks)
+
+
+def _toml_summary(base: Column, heads: Column) -> Column:
+    full = F.transform(F.filter(heads, lambda h: F.startswith(h, F.lit("["))), lambda h: F.regexp_replace(h, r"^\[+|\]+$", ""))
+    has = lambda x: F.exists(full, lambda h: (h == x) | F.startswith(h, F.lit(x + ".")))
+    return (
+        F.when(base == "cargo.toml", "Cargo package manifest").when(base == "pyproject.toml", "Python project config (pyproject.toml)").when(base == "poetry.toml", "Poetry config")
+        .when(has("package") & (has("dependencies") | has("dev-dependencies")), "Cargo package manifest").when(has("tool") & has("build-system"), "Python project config (pyproject.toml)")
+        .when(F.array_contains(full, "tool.poetry"), "Poetry project config").otherwise(F.format_string("TOML config — %d section(s)", F.col("n")))
+    )
+
+
+def described(files: DataFrame, parser: str, text: str = "text") -> DataFrame:
+    """path, summary, symbols and notes of every file that has an outline."""
+    entries = outline(files, parser, text)
+    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "names"))), lambda x: x["names"]))
+    g = entries.groupBy("path").agg(F.count("*").alias("n"), ordered.alias("all")).join(files.select("path", F.col(text).alias("_text")), "path")
+    base = F.lower(base_name(F.col("path")))
+    names = F.array_distinct("all") if parser in ("python", "toml") else F.col("all")
+    marks = GENERATED if parser in ("python", "toml", "yaml") else "@generated|DO NOT EDIT|autogenerated"
+    noted = parser in ("python", "yaml")
+    if parser == "yaml":
+        g = g.join(yaml_summary(entries), "path")
+        summary = F.col("summary")
+    elif parser == "toml":
+        summary = _toml_summary(base, F.col("all"))
+    elif parser == "python":
+        doc = F.regexp_extract("_text", r"""(?s)^(?:\s*#[^\n]*\n|\s)*(?:\"{3}|'{3})\s*([^\n]*?)\s*(?:\"{3}|'{3}|\n|$)""", 1)
+        summary = F.when(doc != "", doc).otherwise("Python module")
+    elif parser == "dockerfile":
+        summary = F.format_string("Dockerfile — %d stage%s", F.col("n"), F.when(F.col("n") == 1, "").otherwise("s"))
+    else:
+        summary = F.format_string("Makefile — %d target(s)", F.col("n"))
+    made = is_generated(F.col("_text"), marks=marks)
+    suffix = F.when(made, " — generated file, do not edit directly" if noted else " — generated, do not edit directly").otherwise("")
+    notes = F.when(made, "generated file — edit the generator, not this file").otherwise("") if noted else F.lit("")
+    if parser == "makefile":
+        notes = F.when(F.col("n") > 40, F.format_string("showing first 40 of %d targets", F.col("n"))).otherwise("")
+    return g.select("path", F.concat(summary, suffix).alias("summary"), F.slice(names, 1, 40).alias("symbols"), notes.alias("notes"))

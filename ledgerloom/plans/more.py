@@ -9,7 +9,7 @@ from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import cost, ledger, measure, outline, reduce, render, scanners, search, worker
 from ..sources import files as sources
-from . import reading
+from . import reading, reports
 from .registry import _FILES, _LEDGER, _events, _files, _sql_text, _table, query
 
 
@@ -426,3 +426,14 @@ def l6_capped_paths(spark, sf_dir):
     text = F.concat(F.lit("On branch main\nYour branch is up to date.\n\nChanges not staged for commit:\n  (use \"git add <file>...\" to update what will be committed)\n  (use \"git restore <file>...\" to discard changes in working directory)\n"), changed, F.lit("\n\nno changes added to commit (use \"git add\" and/or \"git commit -a\")\n"))
     d = reduce.reduce_output(_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
     return d.select("doc_id", F.size(F.expr("regexp_extract_all(output, 'modified: ', 0)")).alias("shown"), F.contains("output", F.lit("more]")).alias("more"))
+
+
+_RATIOS = (("_worker", 12, 0.25, 0.125, 0.5), ("build", 3, 0.5, 0.25, 0.25))
+_PRICE_LINES = [(1001 + i, f"  {m:<28s} {a:8.2f} {b:8.2f} {c:8.2f} {d:8.2f}") for i, (m, a, b, c, d) in enumerate(sorted(cost.PRICES))]
+_RATIO_LINES = [(2001 + i, f"  {k:<16s} n={n} mean={m:.3f} sd={sd:.3f} conservative={r:.3f}") for i, (k, n, m, sd, r) in enumerate(sorted(_RATIOS))]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({o}, {_sql_text(x)})' for o, x in [*_PRICE_LINES, *_RATIO_LINES])}) AS v(ord, line)")
+def r13_pricing_report(spark, sf_dir):
+    ratios = spark.createDataFrame(list(_RATIOS), "kind string, count long, mean_ratio double, stddev double, conservative_ratio double")
+    return reports.pricing(spark, ratios)

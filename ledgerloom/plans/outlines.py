@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import outline, scanners
 from .registry import _sql_text, _table, query
 
-#: Parser: number of its operator, path, text, entries (start, end, kind, symbol), and summary, symbols and notes where
-#: the outline has them. Zed and zed are followed by the supplier's key.
+#: Parser: number of its operator, path, text, entries (start, end, kind, symbol), summary, symbols and notes. Zed and zed are followed by the supplier's key.
 SOURCES = {
     'go': (
         1, 'auth.go',
@@ -30,7 +29,7 @@ SOURCES = {
         3, 'm.py',
         '"""Doc."""\nimport os\nfrom a import b\n\n@dec\nclass Zed(B):\n    def f(self):\n        pass\n    async def g(self):\n        pass\n\ndef top():\n    return 1\n\nx = 1\n',
         [(2, 3, 'imports', None), (5, 11, 'class Zed — methods: f, g', None), (12, 15, 'def top', None)],
-        None, None, None,
+        'Doc.', ['Zed', 'top'], '',
     ),
     'rust': (
         4, 'l.rs',
@@ -48,25 +47,25 @@ SOURCES = {
         6, 'k8s.yaml',
         'apiVersion: v1\nkind: Pod\n# note\nZed:\n  name: x\n  labels:\n    a: b\nlist:\n- one\n- two\n',
         [(1, 1, 'apiVersion', None), (2, 3, 'kind', None), (4, 7, 'Zed: {name, labels, a}', None), (8, 10, 'list: list[2]', None)],
-        None, None, None,
+        'YAML document — 4 top-level key(s)', ['apiVersion', 'kind', 'Zed', 'list'], '',
     ),
     'toml': (
         7, 'Cargo.toml',
         'top = 1\n\n[Zed]\nname = "x"\nversion = "1"\n\n[[bin]]\nname = "a"\n',
         [(1, 2, 'root: top', None), (3, 6, '[Zed] — name, version', None), (7, 8, '[[bin]] — name', None)],
-        None, None, None,
+        'Cargo package manifest', ['top', '[Zed]', '[[bin]]'], '',
     ),
     'dockerfile': (
         8, 'Dockerfile',
         '# c\nFROM --platform=x golang:1.24 AS zed\nRUN a\nRUN b\nCOPY . .\n\nFROM alpine\nCMD x\n',
         [(2, 6, 'FROM golang:1.24 AS zed — RUN, COPY', None), (7, 8, 'FROM alpine — CMD', None)],
-        None, None, None,
+        'Dockerfile — 2 stages', ['FROM golang:1.24 AS zed — RUN, COPY', 'FROM alpine — CMD'], '',
     ),
     'makefile': (
         9, 'Makefile',
         'X := 1\n.PHONY: build zed\nbuild: a\n\t# c\n\tgo build ./...\n\nzed:\n\tgo zed\ninclude y\n',
         [(3, 6, 'build (phony): go build ./...', None), (7, 8, 'zed (phony): go zed', None)],
-        None, None, None,
+        'Makefile — 2 target(s)', ['build', 'zed'], '',
     ),
     'shell': (
         10, 'x.sh',
@@ -236,17 +235,18 @@ def files(spark: SparkSession, sf_dir: str, parser: str) -> DataFrame:
 
 def _register(parser: str) -> None:
     number, path, _, entries, summary, symbols, notes = SOURCES[parser]
-    native = summary is None
+    native = parser in outline.OUTLINES
     values = ", ".join(f"({i}, {s}, {e}, {_sql_text(k)}, {_sql_text(name or '')})" for i, (s, e, k, name) in enumerate(entries, 1))
-    sql = f"SELECT k || {_sql_text('/' + path)} AS path, ord, start_line, end_line, {_sql_named('kind')} AS kind"
-    if not native:
-        sql += f", {_sql_named('symbol')} AS symbol, {_sql_named(_sql_text(summary))} AS summary, {_sql_named(_sql_text('|'.join(symbols)))} AS symbols, {_sql_text(notes)} AS notes"
+    sql = f"SELECT k || {_sql_text('/' + path)} AS path, ord, start_line, end_line, {_sql_named('kind')} AS kind" + (f", {_sql_named('symbol')} AS symbol" if not native else "")
+    sql += f", {_sql_named(_sql_text(summary))} AS summary, {_sql_named(_sql_text('|'.join(symbols)))} AS symbols, {_sql_text(notes)} AS notes"
     sql += f" FROM (SELECT s_suppkey::VARCHAR AS k FROM supplier), (VALUES {values}) AS v(ord, start_line, end_line, kind, symbol)"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = (outline if native else scanners).outline(files(spark, sf_dir, parser), parser)
+        f = files(spark, sf_dir, parser)
         if native:
-            return found.select("path", "ord", "start_line", "end_line", "kind")
+            found = outline.outline(f, parser).select("path", "ord", "start_line", "end_line", "kind").join(outline.described(f, parser), "path")
+        else:
+            found = scanners.outline(f, parser)
         return found.withColumn("symbols", F.array_join("symbols", "|"))
 
     run.__name__ = f"f{number}_outline_{parser}"

@@ -24,11 +24,8 @@ def outlines(files: DataFrame, parsers: Collection[str] = tuple(P.PARSERS)) -> D
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([f[0] for _, f in rows], pa.string()), pa.array([f[1] for _, f in rows], pa.list_(pa.string())), pa.array([f[2] for _, f in rows], pa.string())], ["path", "summary", "symbols", "notes"])
 
     out = known.where(F.col("parser").isin(*scanners.SCANNERS)).mapInArrow(run, "path string, summary string, symbols array<string>, notes string")
-    none = F.lit(None)
     for parser in set(outline.OUTLINES) & set(parsers):
-        entries = outline.outline(known.where(F.col("parser") == parser), parser)
-        summary = outline.yaml_summary(entries) if parser == "yaml" else entries.select("path").distinct().withColumn("summary", none.cast("string"))
-        out = out.unionByName(summary.select("path", "summary", none.cast("array<string>").alias("symbols"), F.lit("").alias("notes")))
+        out = out.unionByName(outline.described(known.where(F.col("parser") == parser), parser))
     return out
 
 
