@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from itertools import takewhile
 from typing import NamedTuple
 
 from .heads import LOWER, Head, code_of, lines_of
@@ -262,18 +263,25 @@ def _cs_opens(line: str, no: int) -> Block | None:
     return Block(" ".join([*shape, word]), name, no) if name else None
 
 
-_CS_HEAD = re.compile(r"[\w.<>\[\]?,\s@]*", re.A)
+_TYPE_SIGNS = frozenset("_.<>[]?,@ \t")
 _CS_PLACE = re.compile(r"\s([A-Za-z_]\w*)\s*(?=<|$)", re.A)
 
 
+def _is_property(line: str) -> bool:
+    """An accessor right behind a brace."""
+    h = Head(line)
+    return any(x == "{" and y in ("get", "set", "init") for x, y in zip(h.words, h.words[1:], strict=False))
+
+
 def _cs_member(line: str, _: Block) -> str:
     """The last name that stands behind a type and before a parenthesis or type parameters."""
-    if line.startswith("[") or re.search(r"\{\s*(?:get|set|init)\b", line):
+    if line.startswith("[") or _is_property(line):
         return ""
-    head = _CS_HEAD.match(line)[0]
+    head = "".join(takewhile(lambda c: c.isalnum() or c in _TYPE_SIGNS, line))
     called = line[len(head) : len(head) + 1] == "("
-    names = [m[1] for m in _CS_PLACE.finditer(head.rstrip()) if called or m.end() < len(head.rstrip())]
-    name = names[-1] if names and re.match(r"[A-Za-z_@]", head) else ""
+    head = head.rstrip()
+    names = [m[1] for m in _CS_PLACE.finditer(head) if called or m.end() < len(head)]
+    name = names[-1] if names and (head[0] in _NAME or head[0] == "@") else ""
     return "" if name in _CS_WORDS else name
 
 
@@ -296,6 +304,13 @@ _CPP_WORDS = frozenset(
 )
 
 
+def _behind_brace(line: str) -> str:
+    """The name between the last closing brace and the semicolon."""
+    h = Head(line[line.rfind("}") + 1 :])
+    name = h.name()
+    return name if h.next == ";" else ""
+
+
 def _cpp_opens(line: str, no: int) -> Block | None:
     if line.startswith("#"):
         return None
@@ -304,8 +319,8 @@ def _cpp_opens(line: str, no: int) -> Block | None:
         word = h.take({"struct", "union", "enum"})
         if not word or h.next != "{":
             return None
-        name = re.search(r"\}\s*([A-Za-z_]\w*)\s*;", line, re.A) if line.count("{") == line.count("}") else None
-        return Block(word, name[1] if name else "", no, name is not None)
+        name = _behind_brace(line) if line.count("{") == line.count("}") else ""
+        return Block(word, name, no, bool(name))
     if h.take({"template"}) and not h.nested("<", ">"):
         return None
     h.skip(_CPP_BEFORE)
@@ -332,8 +347,8 @@ def _cpp_member(line: str, block: Block) -> str:
 
 
 def _cpp_closes(line: str, block: Block) -> None:
-    if not block.name and (m := re.match(r"\}\s*([A-Za-z_]\w*)\s*;", line, re.A)):
-        block.name = m[1]
+    if not block.name and line.startswith("}"):
+        block.name = _behind_brace(line)
 
 
 _CPP_RAW = re.compile(r'R"(?P<mark>[^(")\s\\]*)\(')
