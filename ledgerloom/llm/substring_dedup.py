@@ -63,17 +63,18 @@ def _count_anchors(window: int):
     return run
 
 
-BLOOM_BITS = 1 << 26
+BLOOM_BITS = 1 << 25
 
 
 def _bloom(hashes: DataFrame) -> np.ndarray:
-    """Bits at two places a hash, of a fixed number: what reaches the driver is at most their 8 MB, by word."""
+    """Bits at two places a hash, of a fixed number: what reaches the driver is at most their 4 MB, by word, with the
+    words' numbers."""
     mask = F.lit(BLOOM_BITS - 1)
     at = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
     words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    got = words.toPandas()
+    got = words.toArrow()
     out = np.zeros(BLOOM_BITS // 64, np.uint64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -180,9 +181,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int = 50,
     size = asked.agg(F.coalesce(F.sum(F.col("dims") * 8 + 16), F.lit(0))).first()[0]
     if size <= query_bytes:
         told: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        got = asked.orderBy("row").toPandas()  # at most query_bytes
-        for d, own in got.groupby("dims"):
-            told[int(d)] = (own["row"].to_numpy(np.int64), own["id"].to_numpy(np.int64), np.array(own["v"].tolist(), np.float64).reshape(-1, int(d)))
+        got = asked.select("row", "id", "dims", "v").toArrow().combine_chunks()  # at most query_bytes
+        for d in got["dims"].unique().to_pylist():
+            own = got.filter(pc.equal(got["dims"], d)).sort_by("row").combine_chunks()
+            told[d] = (own["row"].to_numpy(), own["id"].to_numpy(), _matrix(pa.concat_arrays(own["v"].chunks), d))
         found = good.select("row", "id", "dims", "v").mapInArrow(_stream(told, k, c_rows), _FOUND)
     else:
         def blocks(df: DataFrame, rows: int, p: str) -> DataFrame:

@@ -150,7 +150,7 @@ _tokens: dict[bytes, tuple[bytes, ...]] = {}
 def _readings(token: bytes, model: np.ndarray) -> tuple[bytes, ...]:
     if (got := _tokens.get(token)) is None:
         got = tuple(x.encode() + b" " for x in readings(token.decode("utf-8", "replace"), model))
-        if len(_tokens) > 100_000:
+        if len(_tokens) > 50_000:
             _tokens.clear()
         if len(token) <= 64:
             _tokens[token] = got
