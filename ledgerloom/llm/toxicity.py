@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import Stage, fields, table
+from .common import Stage, fields, shuffle_partitions, table
 
 SYMBOLS = 60
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c"}
@@ -408,7 +408,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train_rows:
     sample = mine.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sample = sample.where(order < _first(sample, order, max_train_rows))
     # at most max_train_rows ids and labels are handed to the tasks
-    train = stage.write(training_rows(docs, sample), "train")
+    train = stage.write(training_rows(docs, sample).repartition(shuffle_partitions(spark)), "train")  # few rows, much work
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     nothing = Weights(np.zeros(0, np.uint64), np.zeros(0), math.inf)
