@@ -29,7 +29,7 @@ def _temporary(spark, name: str) -> str:
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
+    if root is None and not (spark.sparkContext.master + "[").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root or tempfile.mkdtemp(prefix='ledgerloom-')}/{name}-{uuid.uuid4().hex}"
 
