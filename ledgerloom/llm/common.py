@@ -26,11 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts cross to Python workers and back in batches of at most so many rows: each running task holds two."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 class Stage:
     """Intermediate tables of one run, written to the shared folder; a lost executor costs no recomputation beyond them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a written table; its lineage ends here."""
@@ -63,6 +71,7 @@ def fields(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

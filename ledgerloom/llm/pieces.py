@@ -89,7 +89,7 @@ class Encoder:
     """Ids of whole texts, by chunk. encode: a list of pre-tokens to a list of id lists; stream: the parts of one
     pre-token to its ids."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], special_id: int, stream: Callable[[Iterable[bytes]], Iterator[int]] | None = None, slots: int = 1 << 22, most: int = 1 << 21):
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], special_id: int, stream: Callable[[Iterable[bytes]], Iterator[int]] | None = None, slots: int = 1 << 21, most: int = 1 << 20):
         self.encode_pieces, self.special_id, self.most = encode, special_id, most
         self.stream = stream or (lambda parts: iter(encode([b"".join(parts).decode()])[0]))
         self.mask = np.uint64(slots - 1)

@@ -7,6 +7,8 @@ of about 2**-60.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -85,6 +87,21 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    trim()
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between stages, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
