@@ -6,9 +6,10 @@ window - v + 1 words. Steps, each a written table or one shuffle:
 
 1. hash the anchors at cover positions only (5 of 21 positions), count by hash, keep hashes seen twice or more;
 2. bring these back to their documents (a Bloom filter of fixed size keeps most other anchors from moving); a window that holds a repeated anchor is a candidate (every repeated window
-   does, at the shift it shares with its copy);
-3. extend: hash the whole candidate windows, count, keep those that start at two places or more;
-4. remove each word that such a window covers.
+   does, at the shift it shares with its copy); the texts that hold any are written;
+3. extend: hash the whole candidate windows, count the hashes alone, keep those that start at two places or more;
+4. read these texts again: only windows that pass a Bloom filter of the kept hashes move with their places, and meet
+   the kept hashes in a join; remove each word that such a window covers.
 
 Counts are pre-aggregated in each task, so a passage held by a third of all documents is a row a task, and the joins
 that bring hashes back are plain inner joins, which adaptive execution splits. Windows are judged on the input.
@@ -33,6 +34,7 @@ from .common import Stage, fields, handed_out, row_key, table
 
 #: Perfect difference sets by period: every residue is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
+ROW = ["row_id", "row_no"]
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -96,14 +98,15 @@ def _place_anchors(window: int, bloom: np.ndarray):
                 some = _in_bloom(bloom, h)
                 at, row, h = at[some], row[some], h[some]
                 pos = (at - w.first[row]).astype(np.int32)
-                ids = [b.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ("row_id", "row_no")]
+                ids = [b.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in ROW]
                 yield pa.RecordBatch.from_arrays([pa.array(wk.signed(h)), *ids, pa.array(pos)], ["h", "row_id", "row_no", "pos"])
 
     return run
 
 
-def _candidates(window: int):
-    """Of (row_id, text, at: repeated anchors' positions): hash, row and start of each candidate window."""
+def _windows(window: int, bloom: np.ndarray | None = None):
+    """Of (row_id, row_no, text, at: repeated anchors' positions): both hashes of each candidate window; given a Bloom
+    filter of the repeated ones, only those that may be among them, with row and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = cover_for(window)
@@ -119,12 +122,17 @@ def _candidates(window: int):
                 np.cumsum(seen[:n], out=hits[1:])
                 at, h = wk.runs(w, window)
                 good = hits[at + v] > hits[at]
+                if bloom is not None:
+                    good[good] = _in_bloom(bloom, h[good])
                 at, h = at[good], h[good]
-                row = np.searchsorted(w.first, at, side="right") - 1
                 # a second hash, over other values of the words
                 g = (wk.segment_hash(wk.mix(w.hash ^ np.uint64(0xA0761D6478BD642F)), at, at + window, wk._BASE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                ids = [b.column(c).slice(lo, rows).take(pa.array(row)) for c in ("row_id", "row_no")]
-                yield pa.RecordBatch.from_arrays([pa.array(wk.signed(h)), pa.array(g), *ids, pa.array((at - w.first[row]).astype(np.int32))], ["h", "g", "row_id", "row_no", "pos"])
+                out, names = [pa.array(wk.signed(h)), pa.array(g)], ["h", "g"]
+                if bloom is not None:
+                    row = np.searchsorted(w.first, at, side="right") - 1
+                    out += [b.column(c).slice(lo, rows).take(pa.array(row)) for c in ROW] + [pa.array((at - w.first[row]).astype(np.int32))]
+                    names += [*ROW, "pos"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
@@ -180,9 +188,6 @@ def _replace(window: int, names: list[str], at: str):
     return run
 
 
-ROW = ["row_id", "row_no"]
-
-
 def _beside(keyed: DataFrame, lists: DataFrame, row: list[str], all_rows: bool) -> DataFrame:
     """keyed rows with the lists of their keys, or (all_rows) null. While the keys are few, other rows' texts stay where
     they are."""
@@ -207,13 +212,14 @@ def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
     found = stage.write(placed.join(repeated, "h").groupBy(*ROW).agg(F.collect_list("pos").alias("at")), "places")
     stage.drop(repeated)
     stage.release()
-    windows = stage.write(_beside(keyed, found, ROW, False).select(*ROW, "text", "at").mapInArrow(_candidates(window), "h long, g int, row_id long, row_no int, pos int"), "windows")
+    texts = stage.write(_beside(keyed, found, ROW, False).select(*ROW, "text", "at"), "texts")
     stage.drop(found)
     stage.release()
-    again = stage.write(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "repeats")
+    again = stage.write(texts.mapInArrow(_windows(window), "h long, g int").groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "repeats")
     stage.release()
+    windows = texts.mapInArrow(_windows(window, _bloom(again)), "h long, g int, row_id long, row_no int, pos int")
     gone = stage.write(windows.join(again, ["h", "g"]).groupBy(*ROW).agg(F.collect_list("pos").alias("at")), "gone")
-    stage.drop(windows, again)
+    stage.drop(texts, again)
     stage.release()
     return gone
 

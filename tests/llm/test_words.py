@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from ledgerloom.llm import near_dedup
 from ledgerloom.llm import wordkernel as wk
+from ledgerloom.llm.common import Stage
 from ledgerloom.llm.near_dedup import near_duplicates, shingle_sets
 from ledgerloom.llm.substring_dedup import cleaned, cover_for, remove_repeats
 
@@ -68,6 +69,27 @@ def test_substrings_against_brute_force(spark, odd):
     assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 35), strict=True))
 
 
+def test_windows_that_do_not_repeat_are_never_stored(spark, monkeypatch):
+    """Phrases of 25 words in many texts: nearly every window is a candidate, few repeat. No table holds a row a window."""
+    rng = np.random.default_rng(11)
+    phrases = [[f"{'lengthy' * 3}{k}_{i}" for i in range(25)] for k in range(40)]
+    texts = [" ".join(x for k in rng.integers(0, 40, 20) for x in [*phrases[k], f"u{rng.integers(0, 10**9)}"]) for _ in range(300)]
+    texts += [f"{texts[0]} a", " ".join(f"q{i}" for i in range(60))]
+    sizes, write = {}, Stage.write
+    monkeypatch.setattr(Stage, "write", lambda self, df, name: sizes.setdefault(name, write(self, df, name)))
+    counts, drop = {}, Stage.drop
+
+    def counted(self, *tables):
+        counts.update((n, t.count()) for n, t in sizes.items() if any(t is x for x in tables))
+        drop(self, *tables)
+
+    monkeypatch.setattr(Stage, "drop", counted)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 35)))
+    assert 0 < sum(x[1] for x in got.values()) < sum(x[0] for x in got.values()) / 20
+    assert {"anchors", "places"} <= set(counts) and max(counts.values()) < sum(x[0] for x in got.values()) / 10
+
+
 def test_cleaned_keeps_columns(spark, odd, none):
     out = cleaned(spark, odd)
     assert out.columns == odd.columns and out.count() == odd.count()
