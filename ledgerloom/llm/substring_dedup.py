@@ -6,13 +6,15 @@ window - v + 1 words. Steps, each a written table or one shuffle:
 
 1. hash the anchors at cover positions only (5 of 21 positions), count by hash, keep hashes seen twice or more;
 2. bring these back to their documents (a Bloom filter of fixed size keeps most other anchors from moving); a window that holds a repeated anchor is a candidate (every repeated window
-   does, at the shift it shares with its copy); the texts that hold any are written;
-3. extend: hash the whole candidate windows, count the hashes alone, keep those that start at two places or more;
-4. read these texts again: only windows that pass a Bloom filter of the kept hashes move with their places, and meet
-   the kept hashes in a join; remove each word that such a window covers.
+   does, at the shift it shares with its copy);
+3. extend: texts are dealt into units of about 1 MB by their keys; a unit hashes its candidate windows and sends each
+   hash once, packed, to the bucket of that hash; buckets find the hashes that start at two places or more and answer
+   each unit with a bit a hash;
+4. units read the bits beside the same texts; each word that a repeated window covers is removed.
 
-Counts are pre-aggregated in each task, so a passage held by a third of all documents is a row a task, and the joins
-that bring hashes back are plain inner joins, which adaptive execution splits. Windows are judged on the input.
+Counts of anchors are pre-aggregated in each task, and the join that brings anchors back is a plain inner join, which
+adaptive execution splits; so a passage held by a third of all documents is a row a task, and later a hash a unit. No
+window moves with its place: 12 bytes go out, a bit comes back. Windows are judged on the input.
 
 Nulls and texts without words: n_words 0, nothing removed, the hash of an empty string. Repeated rows are copies of
 one another: their windows repeat, so each loses them all. A null doc_id takes part and is returned as null.
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import Stage, fields, handed_out, row_key, table
+from .common import Stage, by_key, fields, handed_out, row_key, shuffle_partitions, table, whole_groups
 
 #: Perfect difference sets by period: every residue is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -104,35 +108,128 @@ def _place_anchors(window: int, bloom: np.ndarray):
     return run
 
 
-def _windows(window: int, bloom: np.ndarray | None = None):
-    """Of (row_id, row_no, text, at: repeated anchors' positions): both hashes of each candidate window; given a Bloom
-    filter of the repeated ones, only those that may be among them, with row and start."""
+#: Bytes of texts a unit, and bytes of texts whose windows share a bucket.
+UNIT_BYTES, BUCKET_BYTES = 1 << 20, 1 << 24
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Each key of by_key with its rows."""
+    for b in whole_groups(batches):
+        k = b.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for lo, hi in pairwise(cuts):
+            yield int(k[lo]), b.slice(lo, hi - lo)
+
+
+class Unit(NamedTuple):
+    rows: list[tuple[int, int]]  # keys of the rows with candidate windows, in order
+    row: np.ndarray  # by candidate window: its row's index in rows
+    pos: np.ndarray  # its start
+    which: np.ndarray  # its hash's index in h
+    h: np.ndarray  # different hashes in order, of 64 and 32 bits
+    g: np.ndarray
+    many: np.ndarray  # whether a hash occurs twice or more in this unit
+    cuts: np.ndarray  # where each bucket's hashes begin
+
+
+def _unit(part: pa.RecordBatch, window: int, buckets: int) -> Unit:
+    """Candidate windows of a unit's rows of kind 0 (at: repeated anchors' positions) and 1 (texts), each kind in the
+    order of row keys; equal rows are alike, so the result is the same whenever it is computed."""
+    v, _ = cover_for(window)
+    begin, end = np.searchsorted(part.column("kind").to_numpy(), (1, 2)).tolist()
+    places, texts = part.slice(0, begin), part.slice(begin, end - begin)
+    known = {k: i for i, k in enumerate(zip(*(places.column(c).to_pylist() for c in ROW), strict=True))}
+    rows = list(zip(*(texts.column(c).to_pylist() for c in ROW), strict=True))
+    some = [i for i, k in enumerate(rows) if k in known]
+    rows = [rows[i] for i in some]
+    all_lists = places.column("at").take(pa.array([known[k] for k in rows], pa.int64()))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
+    for lo, hi, data, offsets in wk.chunks(texts.column("text").take(pa.array(some, pa.int64()))):
+        w = wk.words(data, offsets, False)
+        n = len(w.hash)
+        lists = all_lists.slice(lo, hi - lo)
+        row_of = np.repeat(np.arange(hi - lo), lists.value_lengths().to_numpy(zero_copy_only=False))
+        seen = np.zeros(n + 1, np.int64)
+        seen[w.first[row_of] + lists.flatten().to_numpy()] = 1
+        hits = np.zeros(n + 1, np.int64)
+        np.cumsum(seen[:n], out=hits[1:])
+        at, h = wk.runs(w, window)
+        good = hits[at + v] > hits[at]
+        at, h = at[good], h[good]
+        # a second hash, over other values of the words
+        g = (wk.segment_hash(wk.mix(w.hash ^ np.uint64(0xA0761D6478BD642F)), at, at + window, wk._BASE) >> np.uint64(32)).astype(np.uint32)
+        row = np.searchsorted(w.first, at, side="right") - 1
+        found.append((lo + row, at - w.first[row], h, g))
+    row, pos, h, g = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    h, g, many = h[first], g[first], np.diff(first, append=len(new)) > 1
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return Unit(rows, row, pos, which, h, g, many, np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)))
+
+
+ASKED = "key long, unit long, h binary, g binary, many binary"
+ANSWERS = "key long, bucket int, bits binary"
+
+
+def _ask(window: int, buckets: int):
+    """Of units: their different hashes, packed, by bucket (key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, _ = cover_for(window)
-        for b in batches:
-            for lo, hi, data, offsets in wk.chunks(b.column("text")):
-                w = wk.words(data, offsets, False)
-                n, rows = len(w.hash), hi - lo
-                lists = b.column("at").slice(lo, rows)
-                row_of = np.repeat(np.arange(rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                seen = np.zeros(n + 1, np.int64)
-                seen[w.first[row_of] + lists.flatten().to_numpy()] = 1
-                hits = np.zeros(n + 1, np.int64)
-                np.cumsum(seen[:n], out=hits[1:])
-                at, h = wk.runs(w, window)
-                good = hits[at + v] > hits[at]
-                if bloom is not None:
-                    good[good] = _in_bloom(bloom, h[good])
-                at, h = at[good], h[good]
-                # a second hash, over other values of the words
-                g = (wk.segment_hash(wk.mix(w.hash ^ np.uint64(0xA0761D6478BD642F)), at, at + window, wk._BASE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                out, names = [pa.array(wk.signed(h)), pa.array(g)], ["h", "g"]
-                if bloom is not None:
-                    row = np.searchsorted(w.first, at, side="right") - 1
-                    out += [b.column(c).slice(lo, rows).take(pa.array(row)) for c in ROW] + [pa.array((at - w.first[row]).astype(np.int32))]
-                    names += [*ROW, "pos"]
-                yield pa.RecordBatch.from_arrays(out, names)
+        for unit, part in _parts(batches):
+            u = _unit(part, window, buckets)
+            to = np.flatnonzero(np.diff(u.cuts))
+            ends = list(zip(u.cuts[to].tolist(), u.cuts[to + 1].tolist(), strict=True))
+            packed = [pa.array([x[lo:hi].tobytes() for lo, hi in ends], pa.binary()) for x in (u.h, u.g)]
+            many = pa.array([np.packbits(u.many[lo:hi]).tobytes() for lo, hi in ends], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array(np.full(len(to), unit, np.int64)), *packed, many], ["key", "unit", "h", "g", "many"])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of what was asked, by bucket: for each unit (key) a bit a hash, set if it occurs twice or more anywhere."""
+    for bucket, part in _parts(batches):
+        packed = part.column("h").to_pylist()
+        sizes = [len(x) // 8 for x in packed]
+        h = np.frombuffer(b"".join(packed), np.uint64)
+        g = np.frombuffer(b"".join(part.column("g").to_pylist()), np.uint32)
+        again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(part.column("many").to_pylist(), sizes, strict=True)]).astype(bool)
+        order = np.lexsort((g, h))
+        same = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        ends = np.cumsum(sizes).tolist()
+        bits = [np.packbits(again[hi - n : hi]).tobytes() for n, hi in zip(sizes, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column("unit"), pa.array(np.full(len(bits), bucket, np.int32)), pa.array(bits, pa.binary())], ["key", "bucket", "bits"])
+
+
+def _read_answers(window: int, buckets: int):
+    """Of units with their answers (kind 2): by row key, the starts of repeated windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, part in _parts(batches):
+            u = _unit(part, window, buckets)
+            answers = part.slice(int(np.searchsorted(part.column("kind").to_numpy(), 2)))
+            again = np.zeros(len(u.h), bool)
+            if answers.num_rows != np.count_nonzero(np.diff(u.cuts)):
+                raise ValueError(f"unit {unit} has {answers.num_rows} answers")
+            for q, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+                lo, hi = u.cuts[q : q + 2]
+                if len(bits) != (hi - lo + 7) // 8:
+                    raise ValueError(f"unit {unit} asked other hashes of bucket {q}")
+                again[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
+            first = np.array([not i or k != u.rows[i - 1] for i, k in enumerate(u.rows)], bool)  # one of equal rows
+            good = again[u.which] & first[u.row]
+            n = np.bincount(u.row[good], minlength=len(u.rows))
+            rows = [u.rows[i] for i in np.flatnonzero(n).tolist()]
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n[n > 0]))).astype(np.int32), pa.array(u.pos[good].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] for k in rows], pa.int32()), lists], [*ROW, "at"])
 
     return run
 
@@ -188,16 +285,13 @@ def _replace(window: int, names: list[str], at: str):
     return run
 
 
-def _beside(keyed: DataFrame, lists: DataFrame, row: list[str], all_rows: bool) -> DataFrame:
-    """keyed rows with the lists of their keys, or (all_rows) null. While the keys are few, other rows' texts stay where
-    they are."""
+def _beside(keyed: DataFrame, lists: DataFrame, row: list[str]) -> DataFrame:
+    """keyed rows with the lists of their keys, or null. While the keys are few, other rows' texts stay where they are."""
     wanted = lists.select(*row)
     some = handed_out(wanted)
     if some is wanted:
-        return keyed.join(lists, row, "left" if all_rows else "inner")
+        return keyed.join(lists, row, "left")
     with_list = keyed.join(some, row, "left_semi").join(lists, row)
-    if not all_rows:
-        return with_list
     return keyed.join(some, row, "left_anti").withColumn(lists.columns[-1], F.lit(None).cast("array<int>")).unionByName(with_list)
 
 
@@ -212,14 +306,20 @@ def _repeated_windows(stage: Stage, keyed: DataFrame, window: int) -> DataFrame:
     found = stage.write(placed.join(repeated, "h").groupBy(*ROW).agg(F.collect_list("pos").alias("at")), "places")
     stage.drop(repeated)
     stage.release()
-    texts = stage.write(_beside(keyed, found, ROW, False).select(*ROW, "text", "at"), "texts")
-    stage.drop(found)
-    stage.release()
-    again = stage.write(texts.mapInArrow(_windows(window), "h long, g int").groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "repeats")
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    units, buckets = size // UNIT_BYTES + 1, max(shuffle_partitions(stage.spark), size // BUCKET_BYTES + 1)
+    with_key = [F.pmod("row_id", F.lit(units)).alias("key"), *ROW]
+    texts, wanted = keyed, found.select(*ROW)
+    if (some := handed_out(wanted)) is not wanted:  # other rows' texts stay where they are
+        texts = keyed.join(some, ROW, "left_semi")
+    dealt = found.select(*with_key, "at", F.lit(0).alias("kind")).unionByName(texts.select(*with_key, "text", F.lit(1).alias("kind")), allowMissingColumns=True)
+    order = ["kind", *ROW]
+    asked = by_key(dealt, *order).mapInArrow(_ask(window, buckets), ASKED)
+    answers = stage.write(by_key(asked).mapInArrow(_answer, ANSWERS), "answers")
     stage.release()
-    windows = texts.mapInArrow(_windows(window, _bloom(again)), "h long, g int, row_id long, row_no int, pos int")
-    gone = stage.write(windows.join(again, ["h", "g"]).groupBy(*ROW).agg(F.collect_list("pos").alias("at")), "gone")
-    stage.drop(texts, again)
+    answered = dealt.unionByName(answers.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    gone = stage.write(by_key(answered, *order).mapInArrow(_read_answers(window, buckets), "row_id long, row_no int, at array<int>"), "gone")
+    stage.drop(found, answers)
     stage.release()
     return gone
 
@@ -229,7 +329,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> Da
     docs = fields(docs, doc_id="long", text="string")
     keyed = docs.withColumns(dict(zip(ROW, row_key("doc_id", "text"), strict=True)))
     gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed, window)
-    return _beside(keyed, gone, ROW, True).select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _beside(keyed, gone, ROW).select("doc_id", "text", "at").mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
@@ -240,7 +340,7 @@ def cleaned(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame
     key, no, at = (next(n for n in (f"_{x}{'_' * i}" for i in range(len(names) + 1)) if n not in lower) for x in ("row", "no", "at"))
     keyed = docs.withColumns(dict(zip((key, no), row_key("doc_id", "text"), strict=True)))
     gone = _repeated_windows(Stage(spark, "substring-dedup"), keyed.select(F.col(key).alias("row_id"), F.col(no).alias("row_no"), F.col("text").cast("string").alias("text")), window)
-    out = _beside(keyed, gone.toDF(key, no, at), [key, no], True).select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
+    out = _beside(keyed, gone.toDF(key, no, at), [key, no]).select(*[F.col(f"`{c}`") for c in names], at).mapInArrow(_replace(window, names, at), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
