@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, decontaminate, near_dedup, substring_dedup
 from ledgerloom.llm import toxicity as tox
-from ledgerloom.llm.common import Stage, table
+from ledgerloom.llm.common import Stage, lean, table
 
 ORACLE_SQL = None
 
@@ -26,18 +26,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return near_dedup.without_copies(spark, docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return substring_dedup.cleaned(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return decontaminate.without_items(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean(spark)
     return bpe.digests(docs, bpe.default_vocabulary())
 
 

@@ -33,6 +33,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, rows)
 
 
+def lean(spark: SparkSession) -> None:
+    """Lets executors and driver give back memory that what ran before has left: a JVM's heap stays as large as it once
+    was until it is collected whole, and the next operator's Python workers stand beside it. One short task a core."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stage:
     """Intermediate tables of one run, written to the shared folder; a lost executor costs no recomputation beyond them."""
 

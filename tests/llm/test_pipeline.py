@@ -118,3 +118,12 @@ def test_stages_take_empty_tables(spark, none, tmp_path):
         docs = step(spark, docs, str(tmp_path))
         assert docs.count() == 0, name
         assert name == "bpe" or docs.columns == none.columns
+
+
+def test_stages_begin_with_heaps_given_back(spark, odd, tmp_path):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    odd.select("doc_id", "text").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, before = spark.read.parquet(f"{tmp_path}/documents.parquet"), whole()
+    assert corpus_pipeline.encoding(spark, docs, str(tmp_path)).count() == 0
+    assert whole() > before  # the stages before it have left their JVMs' heaps as large as they once were
