@@ -159,21 +159,24 @@ def log10_likelihood(m: Model, texts: list[np.ndarray]) -> np.ndarray:
 def expected(m: Model, texts: list[np.ndarray], segment: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch sums over texts: starts, transitions, emissions; and the log likelihood.
 
-    Texts longer than `segment` are read forwards once, keeping the state before each segment; then segments are taken
+    Texts longer than `segment` are read forwards once, many side by side, keeping the state before each segment; then segments are taken
     from the last to the first, each with the backward values of the one behind it. So sums are exact at any length,
     and memory holds one segment of a batch."""
     n, states = m.emit.shape
     begin, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((n, states)), 0.0
     turn, emits = np.ascontiguousarray(m.move.T), np.ascontiguousarray(m.emit.T)
     before: dict[tuple[int, int], np.ndarray] = {}  # the state ahead of a text's segment
-    for i, text in enumerate(texts):
-        if len(text) > segment:
-            state = m.start
-            for t in range((len(text) - 1) // segment * segment):
-                a = (state if not t else turn @ state) * emits[:, text[t]]
-                state = a / a.sum()
-                if (t + 1) % segment == 0:
-                    before[i, t + 1] = state
+    long = sorted((i for i, t in enumerate(texts) if len(t) > segment), key=lambda i: -len(texts[i]))
+    for lo in range(0, len(long), 64):  # side by side
+        rows = long[lo : lo + 64]
+        state = np.repeat(m.start[:, None], len(rows), axis=1)
+        for s in range(0, len(texts[rows[0]]) - segment, segment):
+            rows = [i for i in rows if len(texts[i]) > s + segment]
+            state = state[:, : len(rows)]
+            for t, x in enumerate(np.stack([texts[i][s : s + segment] for i in rows], axis=1), s):
+                a = (state if not t else turn @ state) * emits[:, x]
+                state = a / np.add.reduce(a, 0)
+            before.update(((i, s + segment), state[:, c].copy()) for c, i in enumerate(rows))
     behind: dict[int, np.ndarray] = {}  # backward values that the segment behind hands on
     carried = [(t[s : s + segment], i, s) for i, t in enumerate(texts) for s in range(0, len(t), segment)]
     for wave in sorted({s for _, _, s in carried}, reverse=True):

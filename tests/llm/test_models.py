@@ -38,6 +38,22 @@ def test_recursions_against_plain_ones():
         assert np.isclose(log[0] / np.log(10), sum(p[0] for p in plain))
 
 
+def test_long_texts_are_read_side_by_side():
+    rng = np.random.default_rng(5)
+    m = H.initial(8, np.ones(50))
+    texts = [rng.integers(0, 50, 2100 - i) for i in range(70)]
+
+    def seconds(segment):
+        began = time.process_time()
+        *sums, _ = H.expected(m, texts, segment)
+        return time.process_time() - began, sums
+
+    whole, want = min((seconds(4096) for _ in range(2)), key=lambda x: x[0])
+    parts, got = min((seconds(1024) for _ in range(2)), key=lambda x: x[0])
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert parts < 3 * whole  # one by one they took twelve times as long
+
+
 def test_scores(spark, odd, none):
     rng = np.random.default_rng(1)
     words = [[f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]]
